@@ -12,20 +12,11 @@ from marketloom.operators.indicators import cumulative_growth
 from marketloom.operators.reshape import pct_change
 
 
-def rsi(price: str = "close", n: int = 14) -> Column:
+def add_rsi(df: DataFrame, price: str = "close", n: int = 14, output: str = "rsi") -> DataFrame:
     """Relative strength from simple means of gains and losses over n changes.
 
     No losses give 100, no change at all gives NULL.
     """
-    change = F.col(price) - F.lag(price).over(series())
-    gain, loss = gain_loss(change)
-    up, down = rolling(F.avg, gain, n), rolling(F.avg, loss, n)
-    return F.try_divide(F.lit(100.0) * up, up + down)
-
-
-def add_rsi(df: DataFrame, price: str = "close", n: int = 14, output: str = "rsi") -> DataFrame:
-    """RSI column; gains and losses are materialised first because window
-    functions do not nest."""
     change = df.withColumn("_change", F.col(price) - F.lag(price).over(series()))
     gain, loss = gain_loss("_change")
     parts = change.withColumn("_gain", gain).withColumn("_loss", loss)
@@ -102,7 +93,7 @@ def risk_return_summary(prices: DataFrame, price: str = "close", periods: int =
     """Total return at the last row and annualised volatility, per ticker."""
     changed = pct_change(prices, price, "_r")
     grown = changed.withColumn("_growth", cumulative_growth("_r", order="date"))
-    last = F.max_by(F.struct("_growth"), "date")["_growth"]
+    last = F.max_by("_growth", "date")
     return grown.groupBy("ticker").agg(
         (last - 1).alias("total_return"),
         (F.stddev_samp("_r") * F.sqrt(F.lit(float(periods)))).alias("volatility"),
