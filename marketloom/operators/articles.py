@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,10 +56,8 @@ def yahoo_articles(
 ) -> DataFrame:
     """Feed items: publish time or else the nested date, year range, headline
     of at least ten characters."""
-    raw = F.coalesce(F.nullif("providerPublishTime", F.lit("")), F.nullif("providerPublishTime", F.lit("0")))
-    raw = F.when(F.coalesce(F.col("providerPublishTime"), F.lit("")).isin("", "0"), F.col("content.pubDate")).otherwise(
-        F.col("providerPublishTime")
-    )
+    stamp = F.coalesce("providerPublishTime", F.lit(""))
+    raw = F.when(stamp.isin("", "0"), F.col("content.pubDate")).otherwise(stamp)
     title, summary = F.coalesce("content.title", F.lit("")), F.coalesce("content.summary", F.lit(""))
     parsed = items.select(
         "ticker",
@@ -120,17 +119,27 @@ def google_articles(
 
 
 def skip_full_months(articles: DataFrame, n: int) -> DataFrame:
-    """Drop articles of a query month whose month already holds ``n`` articles
-    published under earlier query months of the same ticker.
+    """Drop the articles of a query month whose calendar month already holds
+    ``n`` articles found under earlier query months of the same ticker.
 
-    Needs ``query_month`` and ``month``; works on counts per (ticker, query
-    month, month), so only small aggregates are windowed. The rule looks one
-    step back (articles of skipped months still count), which is exact as long
-    as published months do not run ahead of their query month by more than one.
+    Needs ``query_month`` and ``month``. Whether a month is skipped depends on
+    which earlier ones were, so the decision is sequential per ticker; it is
+    taken on counts per (query month, month), at most a few per calendar month.
     """
-    counts = articles.groupBy("ticker", "query_month", "month").agg(F.count(F.lit(1)).alias("_n"))
-    ahead = counts.where(F.col("month") > F.col("query_month")).groupBy("ticker", "month").agg(F.sum("_n").alias("_n"))
-    full = ahead.where(F.col("_n") >= n).select("ticker", F.col("month").alias("query_month"))
+    counts = articles.groupBy("ticker", "query_month", "month").agg(F.count(F.lit(1)).alias("n"))
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        held: dict[str, int] = {}
+        skipped = []
+        for query_month, rows in pdf.sort_values("query_month").groupby("query_month"):
+            if held.get(query_month, 0) >= n:
+                skipped.append(query_month)
+                continue
+            for month, found in zip(rows["month"], rows["n"]):
+                held[month] = held.get(month, 0) + int(found)
+        return pd.DataFrame({"ticker": pdf["ticker"].iat[0], "query_month": pd.Series(skipped, dtype=object)})
+
+    full = counts.groupBy("ticker").applyInPandas(decide, "ticker string, query_month string")
     return articles.join(full, ["ticker", "query_month"], "left_anti").select(*articles.columns)
 
 
