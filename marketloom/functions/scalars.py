@@ -35,7 +35,11 @@ REGIMES = [("2008-01", "2009-12", -0.3), ("2020-03", "2020-04", -0.4), ("2021-01
 # Ticker symbols whose simulated score the draft rescales.
 COMMODITY_SCALE = [("GC=F", 0.5), ("SI=F", 0.5), ("CL=F", 1.5)]
 
-WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0    　"
+# The characters a Python strip removes.
+WHITESPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0       "
+    "         　"
+)
 MAX_EPOCH_SECONDS = 9_223_372_036
 
 
@@ -49,6 +53,12 @@ def rounding(c: Column | str, digits: int) -> Column:
     return F.rint(_col(c) * F.lit(scale)) / F.lit(scale)
 
 
+def rounding_stable(c: Column | str, digits: int) -> Column:
+    """Rounding of an aggregate: cut the noise of the summation order first, so
+    that a tie falls the same way under every partitioning."""
+    return rounding(rounding(c, 12), digits)
+
+
 def missing_as_null(c: Column | str) -> Column:
     """NaN becomes NULL; used where data enters the library."""
     c = _col(c)

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _clip_unit(r: Column) -> Column:
@@ -82,7 +83,7 @@ def two_sided_p(r: float, n: float) -> float | None:
     return _beta_tail(max(0.0, 1.0 - r * r), (n - 2.0) / 2.0, 0.5)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def pearson_pvalue(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p-value of a Pearson correlation; NULL in gives NULL out.
 

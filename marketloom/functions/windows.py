@@ -28,8 +28,8 @@ def so_far(keys: str | Sequence[str] = "ticker", order: str = "date") -> WindowS
     return series(keys, order).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def onward(keys: str | Sequence[str] = "ticker", order: str = "date") -> WindowSpec:
-    return series(keys, order).rowsBetween(0, Window.unboundedFollowing)
+def whole_series(keys: str | Sequence[str] = "ticker", order: str = "date") -> WindowSpec:
+    return series(keys, order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def rolling(

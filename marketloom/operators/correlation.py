@@ -52,8 +52,11 @@ def _pair_correlation(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.where(valid, r, np.nan), n
 
 
-def _block_job(df: DataFrame, value: str, date: str, block: int, work: Callable, schema: str) -> DataFrame:
-    blocks = df.agg(F.floor(F.max("asset_order") / block).cast("int")).scalar()
+def _block_job(
+    df: DataFrame, value: str, date: str, block: int, work: Callable, schema: str, assets: DataFrame | None
+) -> DataFrame:
+    listed = df if assets is None else assets
+    blocks = listed.agg(F.floor(F.max("asset_order") / block).cast("int")).scalar()
     home = F.floor(F.col("asset_order") / block).cast("int")
     spread = df.select(
         F.col(date).alias("date"),
@@ -81,20 +84,22 @@ def _matrices(pdf: pd.DataFrame, block: int) -> tuple:
 
 
 def rolling_pair_corr(
-    returns: DataFrame, n: int = 21, value: str = "log_return", date: str = "month_end", block: int = 32
+    returns: DataFrame, n: int = 21, value: str = "log_return", date: str = "month_end", block: int = 32,
+    assets: DataFrame | None = None,
 ) -> DataFrame:
     """Correlation of every asset pair over the last n rows ending at each date.
 
     Input: one row per (date, asset_order), every asset on every date. Output:
     (date, i, k, corr) with i < k, one row for every date; the first value
     appears at row position n (the n rows before position n would suffice, but
-    the rule starts one row later), earlier rows carry NULL.
+    the rule starts one row later), earlier rows carry NULL. ``assets`` (with
+    ``asset_order``) spares a pass over the returns to learn how many there are.
     """
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         got = _matrices(pdf, block)
         if got is None or not len(got[5]):
-            return pd.DataFrame({"date": [], "i": [], "k": [], "corr": []})
+            return pd.DataFrame(columns=["date", "i", "k", "corr"], dtype=object)
         dates, a, b, left, right, ii, kk = got
         parts = [np.full((min(n, len(dates)), len(ii)), np.nan)]
         if len(dates) > n:
@@ -111,12 +116,13 @@ def rolling_pair_corr(
             "corr": r.ravel(),
         })
 
-    out = _block_job(returns, value, date, block, work, "date date, i int, k int, corr double")
+    out = _block_job(returns, value, date, block, work, "date date, i int, k int, corr double", assets)
     return out.select(F.col("date").alias(date), "i", "k", F.when(~F.isnan("corr"), F.col("corr")).alias("corr"))
 
 
 def correlation_matrix(
-    df: DataFrame, value: str, date: str = "date", first: int | None = None, block: int = 32
+    df: DataFrame, value: str, date: str = "date", first: int | None = None, block: int = 32,
+    assets: DataFrame | None = None,
 ) -> DataFrame:
     """Full-history correlation of every asset pair (lower triangle as i < k).
 
@@ -129,10 +135,10 @@ def correlation_matrix(
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         got = _matrices(pdf, block)
         if got is None or not len(got[5]):
-            return pd.DataFrame({"i": [], "k": [], "n_obs": [], "corr": []})
+            return pd.DataFrame(columns=["i", "k", "n_obs", "corr"], dtype=object)
         _, a, b, left, right, ii, kk = got
         r, n = _pair_correlation(a.T[None], b.T[None])
         return pd.DataFrame({"i": left[ii], "k": right[kk], "n_obs": n[0, ii, kk].astype("int64"), "corr": r[0, ii, kk]})
 
-    out = _block_job(df, value, date, block, work, "i int, k int, n_obs bigint, corr double")
+    out = _block_job(df, value, date, block, work, "i int, k int, n_obs bigint, corr double", assets)
     return out.select("i", "k", "n_obs", F.when(~F.isnan("corr"), F.col("corr")).alias("corr"))

@@ -131,7 +131,7 @@ def minmax_normalize(
 
 def risk_indicators(
     returns: DataFrame, n: int = 21, periods: int = 252, digits: int | None = 4, block: int = 32,
-    constant: float | None = 0.5,
+    constant: float | None = 0.5, assets: DataFrame | None = None,
 ) -> DataFrame:
     """Five indicators per asset and one correlation per asset pair, scaled.
 
@@ -143,10 +143,11 @@ def risk_indicators(
     per_asset = table.unpivot(["ticker", "month_end"], INDICATORS, "indicator", "value").select(
         "month_end", F.concat_ws("_", "ticker", "indicator").alias("feature"), "value"
     )
-    assets = (returns.agg(F.max("asset_order")).scalar() + 1).cast("bigint")
-    pairs = rolling_pair_corr(returns, n, block=block).select(
+    listed = returns if assets is None else assets
+    n_assets = (listed.agg(F.max("asset_order")).scalar() + 1).cast("bigint")
+    pairs = rolling_pair_corr(returns, n, block=block, assets=assets).select(
         "month_end",
-        F.concat(F.lit("corr_"), pair_index(F.col("i").cast("bigint"), F.col("k"), assets)).alias("feature"),
+        F.concat(F.lit("corr_"), pair_index(F.col("i").cast("bigint"), F.col("k"), n_assets)).alias("feature"),
         F.col("corr").alias("value"),
     )
     scaled = minmax_normalize(per_asset.unionByName(pairs), "feature", constant=constant)

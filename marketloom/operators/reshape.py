@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.scalars import rounding
-from marketloom.functions.windows import onward, series, so_far
+from marketloom.functions.windows import series, so_far, whole_series
 
 
 def wide_to_long(
@@ -41,7 +41,13 @@ def densify(prices: DataFrame, values: Sequence[str] = ("close",), keep: Sequenc
     the windows that follow need no further shuffle. ``keep`` names columns
     that depend on the ticker alone.
     """
+    # A row without a date cannot be placed; saying so here also gives both
+    # uses of the input the same plan, so its shuffle is computed once.
+    prices = prices.where(F.col("date").isNotNull())
     traded = prices.where(F.col(values[0]).isNotNull())
+    # Distinct values of a DATE column: bounded by the calendar, a few thousand
+    # rows for decades of days, so broadcasting them is safe at any data size.
+    calendar = F.broadcast(traded.select("date").distinct())
     start = traded.agg(F.min("date")).scalar()
     end = traded.agg(F.max("date")).scalar()
     by_date = series()
@@ -56,32 +62,28 @@ def densify(prices: DataFrame, values: Sequence[str] = ("close",), keep: Sequenc
         F.col("_day").alias("date"),
         *[F.when(own, F.col(v)).alias(v) for v in values],
         *keep,
-    ).join(traded.select("date").distinct(), "date", "left_semi").select("ticker", "date", *values, *keep)
+    ).join(calendar, "date", "left_semi").select("ticker", "date", *values, *keep)
 
 
 def select_price_field(prices: DataFrame, output: str = "price") -> DataFrame:
     """Adjusted close for tickers that have the field at all, else close."""
-    has_adjusted = F.max(F.col("adj_close").isNotNull()).over(_whole_ticker())
+    has_adjusted = F.max(F.col("adj_close").isNotNull()).over(Window.partitionBy("ticker"))
     return prices.select(
         "ticker", "date", F.when(has_adjusted, F.col("adj_close")).otherwise(F.col("close")).alias(output)
     )
 
 
-def _whole_ticker():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("ticker")
-
-
 def fill_forward_back(df: DataFrame, col: str, back: bool = True) -> DataFrame:
     """Last known value; before the first one, the first known value.
 
     The backward fill looks ahead in time (it repeats the first price before
-    listing); ``back=False`` leaves those rows NULL.
+    listing); ``back=False`` leaves those rows NULL. After the forward fill
+    only rows before the first known value are open, so the backward fill is
+    one value per ticker and needs no frame per row.
     """
     filled = F.last(col, ignorenulls=True).over(so_far())
     if back:
-        filled = F.coalesce(filled, F.first(col, ignorenulls=True).over(onward()))
+        filled = F.coalesce(filled, F.first(col, ignorenulls=True).over(whole_series()))
     return df.withColumn(col, filled)
 
 

@@ -17,7 +17,7 @@ from marketloom.functions.scalars import (
     NEGATIVE_WORDS,
     POSITIVE_WORDS,
     lexicon_sentiment,
-    rounding,
+    rounding_stable,
     sentiment_score,
 )
 from marketloom.schemas import SOURCES
@@ -256,10 +256,10 @@ def source_column_means(monthly: DataFrame, sources: Sequence[str] = SOURCES) ->
 def asset_stats(monthly: DataFrame, value: str = "sentiment_weighted", digits: int = 3) -> DataFrame:
     """Mean, spread, range, months and articles per asset, best mean first."""
     out = monthly.groupBy("ticker").agg(
-        rounding(F.avg(value), digits).alias("sentiment_mean"),
-        rounding(F.stddev_samp(value), digits).alias("sentiment_std"),
-        rounding(F.min(value), digits).alias("sentiment_min"),
-        rounding(F.max(value), digits).alias("sentiment_max"),
+        rounding_stable(F.avg(value), digits).alias("sentiment_mean"),
+        rounding_stable(F.stddev_samp(value), digits).alias("sentiment_std"),
+        rounding_stable(F.min(value), digits).alias("sentiment_min"),
+        rounding_stable(F.max(value), digits).alias("sentiment_max"),
         F.count(value).alias("months_covered"),
         F.sum("news_count").alias("total_articles"),
     )
@@ -288,7 +288,7 @@ def asset_ranking(
     """Rank from 1 by rounded mean, ties by ticker. The window runs over one
     row per asset."""
     out = monthly.groupBy("ticker").agg(
-        rounding(F.avg(value), digits).alias("avg_sentiment"), F.sum("news_count").alias("total_articles")
+        rounding_stable(F.avg(value), digits).alias("avg_sentiment"), F.sum("news_count").alias("total_articles")
     )
     ranked = out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("avg_sentiment"), "ticker")))
     if assets is not None:

@@ -42,7 +42,7 @@ def monthly_indicator_job(prices: DataFrame, assets: DataFrame, digits: int | No
     """All scaled risk indicators and pair correlations, long form."""
     returns = reshape.monthly_log_return(monthly_prices(prices))
     ordered = returns.join(assets.select("ticker", "asset_order"), "ticker")
-    return indicators.risk_indicators(ordered, digits=digits)
+    return indicators.risk_indicators(ordered, digits=digits, assets=assets)
 
 
 def monthly_sentiment_job(
