@@ -155,7 +155,7 @@ def _daily_column(name: str, column, expr: str) -> None:
 _daily_column("sma_ratio_10", lambda: features.sma_ratio("close", 10), f"({roll('avg', 'close', 10)}) / close - 1")
 _daily_column("sma_ratio_30", lambda: features.sma_ratio("close", 30), f"({roll('avg', 'close', 30)}) / close - 1")
 _daily_column("rolling_mean", lambda: features.rolling_mean("log_return", 60), roll("avg", "log_return", 60))
-_daily_column("rolling_std", lambda: features.rolling_std("log_return", 10), roll("stddev_samp", "log_return", 10))
+_daily_column("rolling_std", lambda: features.rolling_deviation("log_return", 10), roll("stddev_samp", "log_return", 10))
 _daily_column(
     "rolling_sharpe", lambda: features.rolling_sharpe("log_return", 120),
     f"({roll('avg', 'log_return', 120)}) / (({roll('stddev_samp', 'log_return', 120)}) + CAST(1e-8 AS DOUBLE))",

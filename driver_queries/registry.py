@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from driver_queries import (
     article_queries,
+    io_queries,
     portfolio_queries,
     price_queries,
     research_queries,
     sentiment_queries,
+    stream_queries,
     validation_queries,
 )
 
@@ -19,6 +21,8 @@ for _module in (
     validation_queries,
     portfolio_queries,
     research_queries,
+    io_queries,
+    stream_queries,
 ):
     for _name, _entry in _module.Q.items():
         if _name in QUERIES:

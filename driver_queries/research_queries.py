@@ -58,9 +58,18 @@ add(
     [WEIGHTS, """v AS (SELECT portfolio_id, quantile_cont(ret, 0.05) AS var FROM port_returns GROUP BY 1),
       q AS (SELECT v.portfolio_id, var, avg(ret) AS cvar FROM v JOIN port_returns p ON v.portfolio_id = p.portfolio_id AND ret <= var GROUP BY 1, 2)"""],
 )
-# The draws are hashes Spark defines, so only the point estimate has a twin in
-# SQL; the resampling is tested on a fixture.
-add("bootstrap_corr", lambda s, d: research.bootstrap_corr(t.merged(s, d)), "ticker n corr:f6 corr_mean:f6 corr_low:f6 corr_high:f6 share_positive:f6", None)
+add(
+    "bootstrap_corr", lambda s, d: research.bootstrap_corr(t.merged(s, d), replicates=100),
+    "ticker n corr:f6 corr_mean:f6 corr_low:f6 corr_high:f6 share_positive:f6",
+    [MERGED, f"""slots AS (SELECT ticker, sentiment_weighted AS x, monthly_return AS y, row_number() OVER (PARTITION BY ticker ORDER BY month) - 1 AS slot,
+        count(*) OVER (PARTITION BY ticker) AS n FROM merged WHERE sentiment_weighted IS NOT NULL AND monthly_return IS NOT NULL),
+      draws AS (SELECT ticker, rep, CAST('0x' || substr(md5(rep || '-' || slot || '-42'), 1, 8) AS BIGINT) % n AS slot FROM slots CROSS JOIN (SELECT unnest(range(100)) AS rep) r),
+      reps AS (SELECT d.ticker, rep, {t.corr_sql('x', 'y')} AS r FROM draws d JOIN slots s ON d.ticker = s.ticker AND d.slot = s.slot GROUP BY 1, 2),
+      spread AS (SELECT ticker, avg(r) AS corr_mean, quantile_cont(r, 0.025) AS corr_low, quantile_cont(r, 0.975) AS corr_high,
+        avg(CASE WHEN r > 0 THEN CAST(1 AS DOUBLE) WHEN r IS NOT NULL THEN 0 END) AS share_positive FROM reps GROUP BY 1),
+      point AS (SELECT ticker, max(n) AS n, {t.corr_sql('x', 'y')} AS corr FROM slots GROUP BY 1),
+      q AS (SELECT * FROM point JOIN spread USING (ticker))"""],
+)
 add(
     "inverse_vol_weights",
     lambda s, d: research.inverse_vol_weights(t.returns(s, d).withColumnRenamed("month_end", "date")), "portfolio_id date:d ticker weight:f6",

@@ -22,8 +22,15 @@ PORTFOLIOS = ["alpha", "beta", "gamma"]
 AGENTS = ["PPO_data", "SAC_data", "PPO_nlp", "SAC_nlp"]
 
 
+_SCHEMAS: dict = {}
+
+
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A driver table; its schema is read from the file footer once."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 # -- finishing ---------------------------------------------------------------

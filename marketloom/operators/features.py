@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions.scalars import rounding
-from marketloom.functions.windows import rolling
+from marketloom.functions.windows import rolling_avg, rolling_std, series, spread_from_sums, trailing
 from marketloom.operators.reshape import densify, log_return
 
 SHARPE_EPS = 1e-8
@@ -19,20 +19,20 @@ DAILY_COLUMNS = [
 
 def sma_ratio(price: str, n: int) -> Column:
     """Moving average relative to the current price, minus one."""
-    return F.try_divide(rolling(F.avg, price, n), F.col(price)) - 1
+    return F.try_divide(rolling_avg(price, n), F.col(price)) - 1
 
 
 def rolling_mean(value: str, n: int) -> Column:
-    return rolling(F.avg, value, n)
+    return rolling_avg(value, n)
 
 
-def rolling_std(value: str, n: int) -> Column:
-    return rolling(F.stddev_samp, value, n)
+def rolling_deviation(value: str, n: int) -> Column:
+    return rolling_std(value, n)
 
 
 def rolling_sharpe(value: str, n: int, eps: float = SHARPE_EPS) -> Column:
     """Mean over (std + eps), not annualised."""
-    return rolling_mean(value, n) / (rolling_std(value, n) + F.lit(eps))
+    return rolling_mean(value, n) / (rolling_deviation(value, n) + F.lit(eps))
 
 
 def daily_features(
@@ -49,22 +49,37 @@ def daily_features(
     if listed_only:
         grid = grid.where(F.col(price).isNotNull())
     base = log_return(grid, price, fill=0.0)
-    r = "log_return"
-    table = base.select(
+    # Every frame is evaluated once under a name of its own; the ratios follow
+    # in a projection. Returns are never NULL after the fill, so the row number
+    # stands in for the count of values in their frames.
+    r = F.col("log_return")
+    sums = [F.row_number().over(series()).alias("_row")]
+    for n in (10, 30):
+        sums += [F.sum(price).over(trailing(n)).alias(f"_p{n}"), F.count(price).over(trailing(n)).alias(f"_c{n}")]
+    for n in (10, 60, 120):
+        sums += [F.sum(r).over(trailing(n)).alias(f"_s{n}"), F.sum(r * r).over(trailing(n)).alias(f"_q{n}")]
+    framed = base.select("date", "ticker", price, "log_return", *sums)
+
+    def ratio(n: int) -> Column:
+        mean = F.when(F.col(f"_c{n}") == n, F.col(f"_p{n}") / n)
+        return F.try_divide(mean, F.col(price)) - 1
+
+    def mean(n: int) -> Column:
+        return F.when(F.col("_row") >= n, F.col(f"_s{n}") / n)
+
+    def std(n: int) -> Column:
+        return F.when(F.col("_row") >= n, spread_from_sums(F.col(f"_s{n}"), F.col(f"_q{n}"), n))
+
+    table = framed.select(
         "date",
         "ticker",
-        r,
-        sma_ratio(price, 10).alias("sma10"),
-        sma_ratio(price, 30).alias("sma30"),
-        F.coalesce(rolling_std(r, 10), F.lit(0.0)).alias("volatility_10"),
-        rolling_mean(r, 60).alias("log_return_mean_60"),
-        rolling_std(r, 60).alias("log_return_std_60"),
-        rolling_mean(r, 120).alias("log_return_mean_120"),
-        rolling_std(r, 120).alias("log_return_std_120"),
+        "log_return",
+        ratio(10).alias("sma10"),
+        ratio(30).alias("sma30"),
+        std(10).alias("volatility_10"),
+        *[c.alias(f"log_return_{name}_{n}") for n in (60, 120) for name, c in (("mean", mean(n)), ("std", std(n)))],
+        *[(mean(n) / (std(n) + F.lit(SHARPE_EPS))).alias(f"sharpe_{n}") for n in (60, 120)],
     )
-    for n in (60, 120):
-        ratio = F.col(f"log_return_mean_{n}") / (F.col(f"log_return_std_{n}") + F.lit(SHARPE_EPS))
-        table = table.withColumn(f"sharpe_{n}", ratio)
     finish = [
         F.coalesce(F.col(c) if digits is None else rounding(c, digits), F.lit(0.0)).alias(c) for c in DAILY_COLUMNS
     ]

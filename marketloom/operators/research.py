@@ -76,29 +76,28 @@ def bootstrap_corr(
 ) -> DataFrame:
     """Spread of the correlation under resampling of an asset's months.
 
-    Every replicate draws as many months as the asset has; the draw is a hash
-    of (replicate, slot, seed), so it does not depend on partitioning. Output:
+    Every replicate draws as many months as the asset has; the draw is a digest
+    of (replicate, slot, seed), so it depends neither on partitioning nor on
+    the engine. An asset has one row per month, so its rows fit one short array
+    and nothing is joined or computed twice. Output:
     (ticker, n, corr, corr_mean, corr_low, corr_high, share_positive).
     """
-    own = Window.partitionBy("ticker")
-    rows = merged.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        "ticker",
-        F.col(x).alias("x"),
-        F.col(y).alias("y"),
-        (F.row_number().over(own.orderBy("month")) - 1).cast("bigint").alias("slot"),
-        F.count(F.lit(1)).over(own).alias("n"),
+    pairs = merged.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    per_asset = pairs.groupBy("ticker").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("month"), F.col(x).alias("x"), F.col(y).alias("y")))).alias("_rows"),
+        F.count(F.lit(1)).alias("n"),
+        safe_corr(x, y).alias("corr"),
     )
-    draws = rows.select(
-        "ticker", "slot", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")
-    ).select("ticker", "rep", F.pmod(F.xxhash64("rep", "slot", F.lit(seed)), F.col("n")).alias("slot"))
-    sampled = draws.join(rows.select("ticker", "slot", "x", "y"), ["ticker", "slot"])
-    per_rep = sampled.groupBy("ticker", "rep").agg(safe_corr("x", "y").alias("r"))
-    spread = per_rep.groupBy("ticker").agg(
+    rep = per_asset.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    slots = rep.select("ticker", "n", "corr", "rep", "_rows", F.posexplode("_rows").alias("slot", "_own"))
+    digest = F.md5(F.concat_ws("-", F.col("rep").cast("string"), F.col("slot").cast("string"), F.lit(str(seed))))
+    draw = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % F.col("n")).cast("int")
+    sampled = slots.select("ticker", "n", "corr", "rep", F.get("_rows", draw).alias("s"))
+    per_rep = sampled.groupBy("ticker", "n", "corr", "rep").agg(safe_corr("s.x", "s.y").alias("r"))
+    return per_rep.groupBy("ticker", "n", "corr").agg(
         F.avg("r").alias("corr_mean"), F.percentile("r", F.lit(0.025)).alias("corr_low"),
         F.percentile("r", F.lit(0.975)).alias("corr_high"), F.avg((F.col("r") > 0).cast("double")).alias("share_positive"),
     )
-    point = rows.groupBy("ticker").agg(F.max("n").alias("n"), safe_corr("x", "y").alias("corr"))
-    return point.join(spread, "ticker")
 
 
 def inverse_vol_weights(prices: DataFrame, n: int = 12, value: str = "log_return", name: str = "Inverse-Volatility") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions.scalars import gain_loss
-from marketloom.functions.windows import rolling, series
+from marketloom.functions.windows import rolling_avg, rolling_std, series
 from marketloom.operators.indicators import cumulative_growth
 from marketloom.operators.reshape import pct_change
 
@@ -20,7 +20,7 @@ def add_rsi(df: DataFrame, price: str = "close", n: int = 14, output: str = "rsi
     change = df.withColumn("_change", F.col(price) - F.lag(price).over(series()))
     gain, loss = gain_loss("_change")
     parts = change.withColumn("_gain", gain).withColumn("_loss", loss)
-    up, down = rolling(F.avg, "_gain", n), rolling(F.avg, "_loss", n)
+    up, down = rolling_avg("_gain", n), rolling_avg("_loss", n)
     means = parts.withColumn("_up", up).withColumn("_down", down)
     return means.withColumn(output, F.try_divide(F.lit(100.0) * F.col("_up"), F.col("_up") + F.col("_down"))).drop(
         "_change", "_gain", "_loss", "_up", "_down"
@@ -58,13 +58,13 @@ def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, price:
 
 
 def sma(price: str = "close", n: int = 50) -> Column:
-    return rolling(F.avg, price, n)
+    return rolling_avg(price, n)
 
 
 def bollinger(price: str = "close", n: int = 20, k: float = 2.0) -> tuple[Column, Column, Column]:
     """Middle, upper and lower band."""
-    middle = rolling(F.avg, price, n)
-    width = rolling(F.stddev_samp, price, n) * F.lit(k)
+    middle = rolling_avg(price, n)
+    width = rolling_std(price, n) * F.lit(k)
     return middle, middle + width, middle - width
 
 

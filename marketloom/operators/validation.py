@@ -92,23 +92,32 @@ def validate_wide(sentiment: DataFrame, returns: DataFrame) -> DataFrame:
     """Correlation on the common dates, now and one date ahead, with a t value.
 
     Inputs: (date, ticker, value). The t value uses the number of common dates
-    for every asset; a perfect correlation has no finite t (NULL).
+    for every asset; a perfect correlation has no finite t (NULL). Both inputs
+    are read once: they are stacked, not joined.
     """
-    s_dates, r_dates = sentiment.select("date").distinct(), returns.select("date").distinct()
-    common = s_dates.join(r_dates, "date", "left_semi")
-    n = common.agg(F.count(F.lit(1))).scalar()
-    # The position among the common dates makes "one date ahead" the next
-    # common date even where the asset itself has no row on it.
-    place = common.select("date", F.row_number().over(Window.orderBy("date")).alias("_pos"))
-    s = sentiment.join(place, "date").select("ticker", "_pos", F.col("value").alias("s"))
-    r = returns.join(place, "date").select("ticker", "_pos", F.col("value").alias("r"))
-    shifted = r.select("ticker", (F.col("_pos") - 1).alias("_pos"), F.col("r").alias("next_r"))
-    pairs = s.join(r, ["ticker", "_pos"], "left").join(shifted, ["ticker", "_pos"], "left")
-    out = pairs.groupBy("ticker").agg(safe_corr("s", "r").alias("current_corr"), safe_corr("s", "next_r").alias("predictive_corr"))
+    missing = F.lit(None).cast("double")
+    rows = sentiment.select("ticker", "date", F.col("value").alias("s"), missing.alias("r"), F.lit(1).alias("is_s"), F.lit(0).alias("is_r")).unionByName(
+        returns.select("ticker", "date", missing.alias("s"), F.col("value").alias("r"), F.lit(0).alias("is_s"), F.lit(1).alias("is_r"))
+    )
+    both = rows.groupBy("ticker", "date").agg(
+        F.max("s").alias("s"), F.max("r").alias("r"), F.max("is_s").alias("is_s"), F.max("is_r").alias("is_r")
+    )
+    dates = both.groupBy("date").agg(F.max("is_s").alias("_s"), F.max("is_r").alias("_r")).where("_s = 1 AND _r = 1")
+    # Distinct dates: at most a calendar's worth of rows are numbered here.
+    place = dates.select(
+        "date", F.row_number().over(Window.orderBy("date")).alias("_pos"), F.count(F.lit(1)).over(Window.partitionBy()).alias("sample_size")
+    )
+    placed = both.join(F.broadcast(place), "date")
+    by_date = series()
+    follows = F.lead("_pos").over(by_date) == F.col("_pos") + 1
+    pairs = placed.withColumn("next_r", F.when(follows, F.lead("r").over(by_date)))
+    out = pairs.groupBy("ticker").agg(
+        safe_corr("s", "r").alias("current_corr"), safe_corr("s", "next_r").alias("predictive_corr"),
+        F.max("sample_size").alias("sample_size"), F.max("is_s").alias("_s"), F.max("is_r").alias("_r"),
+    )
     c = F.col("current_corr")
-    both = out.join(returns.select("ticker").distinct(), "ticker", "left_semi").withColumn("sample_size", n)
     t = c * F.sqrt(F.try_divide((F.col("sample_size") - 2).cast("double"), F.lit(1.0) - c * c))
-    return both.withColumn("t_stat", t)
+    return out.where("_s = 1 AND _r = 1").drop("_s", "_r").withColumn("t_stat", t)
 
 
 def correlation_breakdown(summary: DataFrame, which: str = "current") -> DataFrame:

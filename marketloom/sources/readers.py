@@ -84,22 +84,26 @@ def read_collected_news(spark: SparkSession, path: str) -> DataFrame:
     return articles.explode_news(spark.read.schema(schemas.COLLECTED_NEWS).json(path))
 
 
-def read_article_snapshots(spark: SparkSession, path: str) -> DataFrame:
+def read_article_snapshots(spark: SparkSession, path: str, request: str | None = None) -> DataFrame:
     """Snapshot files ``{source}_{ticker}_{tag}.json``, each one JSON array.
 
     One row per article with the request named by the file and the file's
-    modification time; an unreadable or empty file yields no rows.
+    modification time; an unreadable or empty file yields no rows. Where a
+    Spark job wrote the answers, ``request`` names the partition column that
+    carries the same key.
     """
     schema = schemas.SNAPSHOT_ARTICLE + ", _corrupt STRING"
-    raw = (
-        spark.read.schema(schema)
+    reader = (
+        spark.read.schema(schema if request is None else f"{schema}, {request} STRING")
         .option("multiLine", True)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt")
-        .option("pathGlobFilter", "*.json")
-        .json(path)
     )
-    name = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)\\.json$", 1)
+    raw = reader.option("pathGlobFilter", "*.json").json(path) if request is None else reader.json(path)
+    if request is None:
+        name = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)\\.json$", 1)
+    else:
+        name = F.col(request)
     named = raw.select(
         F.split(name, "_")[0].alias("feed"),
         F.regexp_extract(name, "^[^_]+_(.*)_[^_]*$", 1).alias("ticker"),
@@ -107,5 +111,5 @@ def read_article_snapshots(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_modification_time").alias("fetched_at"),
         "title", "date", "source", "url", "_corrupt",
     )
-    readable = F.col("_corrupt").isNull() & (F.col("title").isNotNull() | F.col("date").isNotNull() | F.col("url").isNotNull())
-    return named.where(readable).drop("_corrupt")
+    filled = F.coalesce(F.col("title"), F.col("date"), F.col("url")).isNotNull()
+    return named.where(F.col("_corrupt").isNull() & filled).drop("_corrupt")
