@@ -137,12 +137,12 @@ add(
 )
 
 _AGENT_VALUES = ", ".join(f"('{a}', {k})" for k, a in enumerate(AGENTS))
-# Every agent misses one asset in some months, so that vectors fall back.
+# An agent gives no weight (NULL) where the raw value is 5, so that some
+# vectors are incomplete and fall back.
 AGENT_WEIGHTS = f"""{RETURNS}, {ASSETS}, agent_grid AS (
   SELECT agent, agent_order, month_end AS date, r.ticker, asset_order, (year(month_end) * 12 + month(month_end)) AS m
   FROM returns r JOIN assets a ON r.ticker = a.ticker CROSS JOIN (VALUES {_AGENT_VALUES}) AS g(agent, agent_order)),
-agent_weights AS (SELECT *, ((asset_order * 3 + m * 5 + agent_order) % 7 + 1) / CAST(100 AS DOUBLE) AS weight FROM agent_grid
-  WHERE NOT ((m + agent_order) % 4 = 0 AND asset_order = 2))"""
+agent_weights AS (SELECT *, nullif((asset_order * 3 + m * 5 + agent_order) % 79, 5) / CAST(100 AS DOUBLE) AS weight FROM agent_grid)"""
 
 
 def _agent_grid(s, d):
@@ -154,8 +154,8 @@ def _agent_grid(s, d):
 
 
 def _agent_weights(s, d):
-    grid = _agent_grid(s, d).where(~(((F.col("m") + F.col("agent_order")) % 4 == 0) & (F.col("asset_order") == 2)))
-    return grid.withColumn("weight", ((F.col("asset_order") * 3 + F.col("m") * 5 + F.col("agent_order")) % 7 + 1) / 100.0)
+    raw = (F.col("asset_order") * 3 + F.col("m") * 5 + F.col("agent_order")) % 79
+    return _agent_grid(s, d).withColumn("weight", F.when(raw != 5, raw) / 100.0)
 
 
 add(

@@ -171,22 +171,27 @@ def truncate_text(text: Column | str, limit: int = 512) -> Column:
     return F.substring(_col(text), 1, limit)
 
 
-def word_hits(text: Column | str, words: Sequence[str]) -> Column:
-    """How many of the words occur as substrings; each counts once."""
-    lowered = F.lower(_col(text))
+def word_hits(text: Column | str, words: Sequence[str], lowered: bool = False) -> Column:
+    """How many of the words occur as substrings; each counts once. ``lowered``
+    says the text is in lower case already."""
+    lowered = _col(text) if lowered else F.lower(_col(text))
     return reduce(lambda a, b: a + b, [lowered.contains(w).cast("int") for w in words], F.lit(0))
 
 
+def lexicon_verdict(p: Column, n: Column) -> tuple[Column, Column]:
+    """Label and confidence from the numbers of positive and negative words."""
+    strength = F.least(F.lit(0.9), F.lit(0.5) + F.greatest(p, n) * F.lit(0.1))
+    label = F.when(p > n, "positive").when(n > p, "negative").otherwise("neutral")
+    return label, F.when(p != n, strength).otherwise(F.lit(0.5))
+
+
 def lexicon_sentiment(
     text: Column | str,
     positive: Sequence[str] = POSITIVE_WORDS,
     negative: Sequence[str] = NEGATIVE_WORDS,
 ) -> Column:
     """STRUCT<label, confidence> from the whole text by word lists."""
-    p, n = word_hits(text, positive), word_hits(text, negative)
-    strength = F.least(F.lit(0.9), F.lit(0.5) + F.greatest(p, n) * F.lit(0.1))
-    label = F.when(p > n, "positive").when(n > p, "negative").otherwise("neutral")
-    confidence = F.when(p != n, strength).otherwise(F.lit(0.5))
+    label, confidence = lexicon_verdict(word_hits(text, positive), word_hits(text, negative))
     return F.struct(label.alias("label"), confidence.alias("confidence"))
 
 

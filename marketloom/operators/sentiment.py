@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from marketloom.functions.scalars import (
     NEGATIVE_WORDS,
     POSITIVE_WORDS,
-    lexicon_sentiment,
+    lexicon_verdict,
     rounding_stable,
     sentiment_score,
+    word_hits,
 )
 from marketloom.schemas import SOURCES
 
@@ -36,13 +37,15 @@ def with_lexicon(
     negative: Sequence[str] = NEGATIVE_WORDS,
 ) -> DataFrame:
     """Adds label, confidence and score from the word lists, in the JVM."""
-    scored = df.withColumn("_s", lexicon_sentiment(text, positive, negative))
-    return scored.select(
-        *df.columns,
-        F.col("_s.label").alias("sentiment_label"),
-        F.col("_s.confidence").alias("sentiment_confidence"),
-        sentiment_score("_s.label", "_s.confidence").alias("sentiment_score"),
+    # The lower-cased text is a column of its own, so it is computed once.
+    low = df.withColumn("_low", F.lower(text))
+    counted = low.withColumn("_p", word_hits("_low", positive, lowered=True)).withColumn(
+        "_n", word_hits("_low", negative, lowered=True)
     )
+    label, confidence = lexicon_verdict(F.col("_p"), F.col("_n"))
+    judged = counted.withColumn("sentiment_label", label).withColumn("sentiment_confidence", confidence)
+    scored = judged.withColumn("sentiment_score", sentiment_score("sentiment_label", "sentiment_confidence"))
+    return scored.drop("_low", "_p", "_n")
 
 
 Model = Callable[[list[str]], list[dict]]
@@ -218,11 +221,11 @@ def cross_asset_mean(monthly: DataFrame, value: str = "sentiment_weighted") -> D
 
 def coverage(df: DataFrame, keys: Sequence[str], share: bool = False) -> DataFrame:
     """Articles per key, optionally with their percentage of the total. The
-    total is a window over the aggregated rows, not a second pass."""
+    total is a sum over the aggregated rows, whose shuffle is reused."""
     out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     if not share:
         return out
-    total = F.sum("n").over(Window.partitionBy())
+    total = out.agg(F.sum("n")).scalar()
     return out.withColumn("pct", F.col("n") * 100.0 / total)
 
 

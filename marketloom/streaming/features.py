@@ -2,44 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.operators.articles import cap_per_key
 from marketloom.operators.features import daily_features
 
+# The longest frame holds 120 returns, the oldest of which needs one more price.
 LOOKBACK = 120
 
 
-def recompute_touched(history: DataFrame, batch: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
+def features_of_batch(tail: DataFrame, batch: DataFrame) -> DataFrame:
     """Features of the batch's (ticker, date) rows, by the batch definition.
 
-    Only the touched tickers' rows from ``lookback`` rows before their first
-    new date on take part.
+    ``tail`` holds the last LOOKBACK rows of every ticker before the batch;
+    only those of the touched tickers take part.
     """
-    first_new = batch.groupBy("ticker").agg(F.min("date").alias("_first"))
-    touched = history.join(first_new, "ticker")
-    older = F.count(F.when(F.col("date") < F.col("_first"), 1)).over(
-        Window.partitionBy("ticker").orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    needed = touched.withColumn("_older", older).where(F.col("_older") <= lookback).drop("_first", "_older")
-    return daily_features(needed, dense=True).join(batch.select("ticker", "date"), ["ticker", "date"], "left_semi")
+    touched = batch.select("ticker").distinct()
+    rows = tail.join(touched, "ticker", "left_semi").unionByName(batch)
+    return daily_features(rows, dense=True).join(batch.select("ticker", "date"), ["ticker", "date"], "left_semi")
+
+
+def next_tail(tail: DataFrame, batch: DataFrame) -> DataFrame:
+    """The last LOOKBACK rows of every ticker after the batch."""
+    rows = tail.unionByName(batch).withColumn("_age", -F.unix_date("date"))
+    return cap_per_key(rows, ["ticker"], LOOKBACK, ["_age"]).drop("_age")
 
 
-def stream_features(prices: DataFrame, path: str, lookback: int = LOOKBACK) -> DataFrame:
-    """Feature rows for a price stream (date, ticker, close), in arrival order.
+def stream_features(prices: DataFrame, path: str) -> DataFrame:
+    """Feature rows for a price stream (ticker, date, close), in arrival order.
 
-    Each micro-batch is stored under its own id and overwritten on a retry, so
-    replays do not duplicate rows. Rows must arrive in date order per ticker
-    and be complete per date, as a daily feed is.
+    A micro-batch reads the tail left by the one before, a bounded number of
+    rows per ticker, never the whole history. Both outputs of a micro-batch go
+    to a folder of its own id and are overwritten on a retry, so replays do not
+    repeat rows. Rows must arrive in date order per ticker and be complete per
+    date, as a daily feed is.
     """
     spark = prices.sparkSession
+    columns = ["ticker", "date", "close"]
+    schema = prices.select(*columns).schema
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/history/batch={batch_id}")
-        new = spark.read.parquet(f"{path}/history/batch={batch_id}")
-        history = spark.read.option("basePath", f"{path}/history").parquet(f"{path}/history").where(F.col("batch") <= batch_id)
-        rows = recompute_touched(history.select("ticker", "date", "close"), new.select("ticker", "date", "close"), lookback)
-        rows.write.mode("overwrite").parquet(f"{path}/features/batch={batch_id}")
+        batch = batch.select(*columns).persist()
+        if batch_id == 0:
+            tail = spark.createDataFrame([], schema)
+        else:
+            tail = spark.read.schema(schema).parquet(f"{path}/tail/batch={batch_id - 1}")
+        features_of_batch(tail, batch).write.mode("overwrite").parquet(f"{path}/features/batch={batch_id}")
+        next_tail(tail, batch).write.mode("overwrite").parquet(f"{path}/tail/batch={batch_id}")
+        batch.unpersist()
 
     query = (
         prices.writeStream.foreachBatch(handle)
