@@ -100,13 +100,14 @@ add(
 
 
 def _snapshots(s, d):
-    """Stored answers of at most 500 documents, one JSON array per file."""
+    """Stored answers per ticker and 5,000 document ids (200 articles at most),
+    one JSON array per file."""
     path = shared_dir(s, "snapshots")
     item = F.struct(
         F.col("article_id").cast("string").alias("title"), F.date_format("date", "yyyy-MM-dd").alias("date"), "source",
         F.lit("u").alias("url"),
     )
-    request = F.concat_ws("_", "channel", "ticker", F.floor(F.col("article_id") / 500).cast("string"))
+    request = F.concat_ws("_", F.lit("docs"), "ticker", F.floor(F.col("article_id") / 5000).cast("string"))
     rows = t.articles(s, d).select(request.alias("request"), item.alias("item"))
     packed = rows.groupBy("request").agg(F.to_json(F.collect_list("item")).alias("value"))
     packed.write.partitionBy("request").text(path)
@@ -115,7 +116,7 @@ def _snapshots(s, d):
 
 add(
     "read_article_snapshots", _snapshots, "feed ticker tag title date source",
-    [ARTICLES, """q AS (SELECT channel AS feed, ticker, CAST(article_id // 500 AS VARCHAR) AS tag, CAST(article_id AS VARCHAR) AS title,
+    [ARTICLES, """q AS (SELECT 'docs' AS feed, ticker, CAST(article_id // 5000 AS VARCHAR) AS tag, CAST(article_id AS VARCHAR) AS title,
       strftime(date, '%Y-%m-%d') AS date, source FROM articles)"""],
 )
 

@@ -156,9 +156,9 @@ _daily_column("sma_ratio_10", lambda: features.sma_ratio("close", 10), f"({roll(
 _daily_column("sma_ratio_30", lambda: features.sma_ratio("close", 30), f"({roll('avg', 'close', 30)}) / close - 1")
 _daily_column("rolling_mean", lambda: features.rolling_mean("log_return", 60), roll("avg", "log_return", 60))
 _daily_column("rolling_std", lambda: features.rolling_deviation("log_return", 10), roll("stddev_samp", "log_return", 10))
-_daily_column(
-    "rolling_sharpe", lambda: features.rolling_sharpe("log_return", 120),
-    f"({roll('avg', 'log_return', 120)}) / (({roll('stddev_samp', 'log_return', 120)}) + CAST(1e-8 AS DOUBLE))",
+add(
+    "rolling_sharpe", lambda s, d: features.rolling_sharpe(t.daily(s, d), "log_return", 120), "ticker date:d sharpe:f6",
+    [DAILY, f"""q AS (SELECT ticker, date, ({roll('avg', 'log_return', 120)}) / (({roll('stddev_samp', 'log_return', 120)}) + CAST(1e-8 AS DOUBLE)) AS sharpe FROM daily)"""],
 )
 
 

@@ -259,5 +259,5 @@ def fresh_snapshots(
 
 def missing_requests(requests: DataFrame, snapshots: DataFrame, keys: Sequence[str] = SNAPSHOT_KEYS) -> DataFrame:
     """Requests without a stored, non-empty answer."""
-    answered = snapshots.where(F.size("articles") > 0).select(*keys)
+    answered = snapshots.where(F.size("articles") > 0).select(*keys).distinct()
     return requests.join(answered, list(keys), "left_anti")

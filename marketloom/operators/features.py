@@ -30,9 +30,12 @@ def rolling_deviation(value: str, n: int) -> Column:
     return rolling_std(value, n)
 
 
-def rolling_sharpe(value: str, n: int, eps: float = SHARPE_EPS) -> Column:
-    """Mean over (std + eps), not annualised."""
-    return rolling_mean(value, n) / (rolling_deviation(value, n) + F.lit(eps))
+def rolling_sharpe(df: DataFrame, value: str, n: int, output: str = "sharpe", eps: float = SHARPE_EPS) -> DataFrame:
+    """Mean over (std + eps), not annualised. The frame is summed once."""
+    x, frame = F.col(value), trailing(n)
+    framed = df.select("*", F.count(x).over(frame).alias("_n"), F.sum(x).over(frame).alias("_s"), F.sum(x * x).over(frame).alias("_q"))
+    ratio = (F.col("_s") / n) / (spread_from_sums(F.col("_s"), F.col("_q"), n) + F.lit(eps))
+    return framed.withColumn(output, F.when(F.col("_n") == n, ratio)).drop("_n", "_s", "_q")
 
 
 def daily_features(

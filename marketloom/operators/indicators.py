@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marketloom.functions.scalars import rounding
 from marketloom.functions.windows import rolling, so_far
 from marketloom.operators.correlation import pair_index, rolling_pair_corr
+from marketloom.operators.reshape import align_dates
 
 INDICATORS = ["sharpe", "sortino", "calmar", "volatility", "max_drawdown"]
 
@@ -161,11 +162,11 @@ def nlp_features(sentiment: DataFrame, volatility: DataFrame, constant: float |
     Output: (date, feature_idx, value).
     """
     n_assets = (volatility.agg(F.max("asset_order")).scalar() + 1).cast("int")
-    sent_dates, vol_dates = sentiment.select("date").distinct(), volatility.select("date").distinct()
-    vol = volatility.join(sent_dates, "date", "left_semi").select(
+    volatility, sentiment = align_dates(volatility, sentiment)
+    vol = volatility.select(
         "date", F.col("asset_order").cast("int").alias("feature_idx"), "value"
     )
-    sent = sentiment.join(vol_dates, "date", "left_semi").select(
+    sent = sentiment.select(
         "date", (F.col("asset_order") + n_assets).cast("int").alias("feature_idx"), "value"
     )
     return minmax_normalize(vol.unionByName(sent), "feature_idx", constant=constant)

@@ -31,6 +31,13 @@ def long_to_wide(df: DataFrame, tickers: Sequence[str], value: str, index: str =
     return df.groupBy(index).pivot("ticker", list(tickers)).agg(F.max(value)).select(index, *[F.col(f"`{t}`") for t in tickers])
 
 
+def date_set(df: DataFrame, key: str = "date") -> DataFrame:
+    """Distinct dates, to be broadcast: the values of a DATE column are bounded
+    by the calendar (a few thousand rows for decades of days, a few million for
+    every date there is), so this is safe at any data size."""
+    return F.broadcast(df.select(F.to_date(key).alias(key)).distinct())
+
+
 def densify(prices: DataFrame, values: Sequence[str] = ("close",), keep: Sequence[str] = ()) -> DataFrame:
     """Give every ticker a row on every date on which any ticker has a price.
 
@@ -41,13 +48,12 @@ def densify(prices: DataFrame, values: Sequence[str] = ("close",), keep: Sequenc
     the windows that follow need no further shuffle. ``keep`` names columns
     that depend on the ticker alone.
     """
-    # A row without a date cannot be placed; saying so here also gives both
-    # uses of the input the same plan, so its shuffle is computed once.
-    prices = prices.where(F.col("date").isNotNull())
+    # A row without a date or ticker cannot be placed; saying so here also
+    # gives every use of the input the same plan (joins later on would add the
+    # same filters to some of them), so its shuffle is computed once.
+    prices = prices.where(F.col("date").isNotNull() & F.col("ticker").isNotNull())
     traded = prices.where(F.col(values[0]).isNotNull())
-    # Distinct values of a DATE column: bounded by the calendar, a few thousand
-    # rows for decades of days, so broadcasting them is safe at any data size.
-    calendar = F.broadcast(traded.select("date").distinct())
+    calendar = date_set(traded)
     start = traded.agg(F.min("date")).scalar()
     end = traded.agg(F.max("date")).scalar()
     by_date = series()
@@ -109,7 +115,7 @@ def pct_change(df: DataFrame, price: str = "close", output: str = "pct_change",
 def drop_incomplete_dates(df: DataFrame, col: str, order: str = "date") -> DataFrame:
     """Keep the dates on which no ticker misses ``col``."""
     complete = df.groupBy(order).agg(F.count(F.when(F.col(col).isNull(), 1)).alias("_missing"))
-    return df.join(complete.where("_missing = 0").select(order), order, "left_semi").select(*df.columns)
+    return df.join(date_set(complete.where("_missing = 0"), order), order, "left_semi").select(*df.columns)
 
 
 def month_end_price(df: DataFrame, price: str = "close", digits: int | None = 2) -> DataFrame:
@@ -137,8 +143,7 @@ def reindex_to(df: DataFrame, spine: DataFrame, keys: Sequence[str]) -> DataFram
 
 def align_dates(left: DataFrame, right: DataFrame, key: str = "date") -> tuple[DataFrame, DataFrame]:
     """Both frames reduced to their common dates."""
-    left_dates, right_dates = left.select(key).distinct(), right.select(key).distinct()
-    return left.join(right_dates, key, "left_semi"), right.join(left_dates, key, "left_semi")
+    return left.join(date_set(right, key), key, "left_semi"), right.join(date_set(left, key), key, "left_semi")
 
 
 def split_by_date(df: DataFrame, ranges: dict[str, tuple[str, str]], date: str = "date") -> DataFrame:
