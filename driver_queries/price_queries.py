@@ -44,9 +44,12 @@ add(
 )
 add(
     "log_return_complete_dates",
-    lambda s, d: reshape.drop_incomplete_dates(reshape.log_return(t.dense(s, d)), "log_return"),
+    lambda s, d: reshape.drop_incomplete_dates(
+        reshape.log_return(reshape.fill_forward_back(t.dense(s, d), "close", back=False)), "log_return"
+    ),
     "ticker date:d log_return:f6",
-    [DENSE, f"""r AS (SELECT ticker, date, ln(close / lag(close) OVER ({over()})) AS log_return FROM dense),
+    [DENSE, f"""known AS (SELECT ticker, date, last_value(close IGNORE NULLS) OVER ({over()} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS close FROM dense),
+      r AS (SELECT ticker, date, ln(close / lag(close) OVER ({over()})) AS log_return FROM known),
       q AS (SELECT * FROM r WHERE date NOT IN (SELECT date FROM r WHERE log_return IS NULL))"""],
 )
 add(
