@@ -210,11 +210,11 @@ def _union(s, d):
 
 add(
     "union_sources", _union, "source n with_summary with_domain with_subreddit",
-    [FORUM, GOOGLE, f"""q AS (
+    [FORUM, GOOGLE, f"""per_source AS (
       SELECT 'yahoo' AS source, count(*) AS n, count(*) AS with_summary, 0 AS with_domain, 0 AS with_subreddit FROM articles
         WHERE year(date) BETWEEN 1996 AND 2000 AND length(headline) >= 10
       UNION ALL SELECT 'google', count(*), count(*), count(*), 0 FROM google_items WHERE {STRICT.replace(_phrases(_CLICK), _phrases(scalars.CLICKBAIT_PHRASES))}
-      UNION ALL SELECT 'reddit', count(*), 0, 0, count(*) FROM unique_posts)""".replace(" 0 AS", " CAST(0 AS BIGINT) AS")],
+      UNION ALL SELECT 'reddit', count(*), 0, 0, count(*) FROM unique_posts), q AS (SELECT * FROM per_source WHERE n > 0)""".replace(" 0 AS", " CAST(0 AS BIGINT) AS")],
 )
 
 # -- snapshots ---------------------------------------------------------------

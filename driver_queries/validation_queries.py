@@ -150,7 +150,7 @@ add(
 )
 add(
     "signal_strength", lambda s, d: validation.signal_strength(summary(s, d)), "ticker current_corr:f6 current_p:f6 neg_log10_p:f4 signal_strength:f2",
-    [SUMMARY, "q AS (SELECT *, -log10(current_p) AS neg_log10_p, abs(current_corr) / (current_p + CAST(1e-10 AS DOUBLE)) AS signal_strength FROM summary)"],
+    [SUMMARY, "q AS (SELECT *, CASE WHEN current_p > 0 THEN -log10(current_p) END AS neg_log10_p, abs(current_corr) / (current_p + CAST(1e-10 AS DOUBLE)) AS signal_strength FROM summary)"],
 )
 add(
     "significance_counts", lambda s, d: validation.significance_counts(summary(s, d)), "p_001 p_01 p_05 either_p_05",
