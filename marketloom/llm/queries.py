@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from marketloom.llm import toxicity
+from marketloom.llm import simhash, toxicity
 from marketloom.llm.common import table
 
 Q: dict = {
+    "op7_simhash": (lambda spark, d: simhash.simhash_report(table(spark, d, "documents")), None),
     "op10_toxicity": (lambda spark, d: toxicity.toxicity_report(table(spark, d, "documents"), table(spark, d, "labels")), None),
 }
