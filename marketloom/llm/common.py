@@ -29,6 +29,24 @@ def plain(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*(F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in columns))
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """The text, and all other columns in the struct ``doc``, out of the way of
+    those an operator adds."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("doc"), F.col("text").cast("string").alias("text"))
+
+
+def unboxed(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again, with the text as it is now; n_chars follows it."""
+    n = F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("doc.n_chars")) if "n_chars" in docs.columns else None
+
+    def column(c: str):
+        if c == "n_chars":
+            return n.cast(docs.schema[c].dataType).alias(c)
+        return F.col("text") if c == "text" else F.col(f"doc.`{c}`").alias(c)
+
+    return df.select(*map(column, docs.columns))
+
+
 def row_key(text: str = "text"):
     """Tells rows of one doc_id apart by their text."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))

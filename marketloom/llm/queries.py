@@ -1,11 +1,22 @@
-"""The registered queries of this subpackage and their SQL."""
+"""The registered queries of this subpackage, each with its SQL or None.
+
+None of these can be said in SQL in bounded time: they sort suffixes, pack, follow
+graphs, link intervals, stream an automaton or learn. tests/llm holds them against
+brute force.
+"""
 
 from __future__ import annotations
 
-from marketloom.llm import simhash, toxicity
+from marketloom.llm import decontaminate, packing, quality_rules, secrets, simhash, suffix_dedup, toxicity, url_filter
 from marketloom.llm.common import table
 
 Q: dict = {
+    "op1_suffix_dedup": (lambda spark, d: suffix_dedup.suffix_dedup_report(table(spark, d, "documents")), None),
+    "op2_packing": (lambda spark, d: packing.pack(table(spark, d, "documents")), None),
+    "op3_url_filter": (lambda spark, d: url_filter.filter_urls(table(spark, d, "pages")), None),
+    "op4_secrets": (lambda spark, d: secrets.secrets_report(table(spark, d, "documents")), None),
+    "op5_decontamination": (lambda spark, d: decontaminate.decontamination_report(table(spark, d, "documents"), table(spark, d, "benchmark")), None),
+    "op6_quality_rules": (lambda spark, d: quality_rules.quality_report(table(spark, d, "documents")), None),
     "op7_simhash": (lambda spark, d: simhash.simhash_report(table(spark, d, "documents")), None),
     "op10_toxicity": (lambda spark, d: toxicity.toxicity_report(table(spark, d, "documents"), table(spark, d, "labels")), None),
 }

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import by_batch, plain, written
+from marketloom.llm.common import boxed, by_batch, plain, unboxed, written
 from marketloom.llm.components import components
 
 SEED = 42
@@ -206,7 +206,7 @@ def simhash_report(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each class: the one with the smallest doc_id. Equal rows of
     that id count once; rows without doc_id stay."""
-    classes = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    ids = F.col("doc_id").cast("long")
-    kept = docs.join(classes, ids == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where(ids.isNull()))
+    classes = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("first")).distinct()
+    rows = boxed(docs).withColumn("id", F.col("doc.doc_id").cast("long"))
+    kept = rows.join(classes, rows["id"] == classes["first"], "left_semi").dropDuplicates(["id", "text"])
+    return unboxed(kept.unionByName(rows.where("id IS NULL")), docs)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import by_batch, plain
+from marketloom.llm.common import boxed, by_batch, plain
 
 #: Training documents of each class, at most. Chosen by a hash.
 TRAINING_PER_CLASS = 8000
@@ -215,4 +215,5 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score below 0.5, with the columns they came with."""
-    return score_toxicity(docs, contract_model(docs, labels), tuple(docs.columns)).where("score < 0.5").select(*docs.columns)
+    clean = score_toxicity(boxed(docs), contract_model(docs, labels), ("doc",)).where("score < 0.5")
+    return clean.select(*(F.col("text") if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
