@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import boxed, by_batch, plain
+from marketloom.llm.common import boxed, by_batch, plain, written
 
 #: Training documents of each class, at most. Chosen by a hash.
 TRAINING_PER_CLASS = 8000
@@ -50,7 +50,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_
     y = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("training"))
     chosen = y.where("y = 1").orderBy(order).limit(per_class).union(y.where("y = 0").orderBy(order).limit(per_class))
-    return plain(docs, "doc_id", "text").join(chosen, "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y")
+    # 2 * per_class rows of two numbers at most, whatever the size of the input
+    return plain(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y")
 
 
 def _counted() -> callable:
@@ -199,7 +200,7 @@ def held_out():
 
 def contract_model(docs: DataFrame, labels: DataFrame) -> dict:
     """Fitted to the rows that are not held out."""
-    return fit(training_rows(docs, labels.where(~held_out())))
+    return fit(written(training_rows(docs, labels.where(~held_out())), "training"))
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
