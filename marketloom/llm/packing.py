@@ -18,6 +18,7 @@ from __future__ import annotations
 import bisect
 import os
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -32,7 +33,7 @@ from marketloom.llm.common import by_batch, plain, written
 CAPACITY = 2048
 END = 0
 #: Words whose ids a task remembers; longer ones than this are not remembered.
-CACHE, CACHED_WORD = 300_000, 40
+CACHE, CACHED_WORD = 1_000_000, 40
 
 
 def default_tokenizer() -> str:
@@ -45,29 +46,61 @@ def encoder(path: str) -> callable:
     """texts -> ids of each as little-endian 32-bit bytes.
 
     The tokenizer never joins what white space parts, so each part is encoded once
-    and remembered.
+    and remembered. It doesn't join letters with a full stop or comma either, and it
+    lower-cases, so a word of letters up to ``ÿ`` is remembered for all its spellings
+    and goes straight to the tokenizer's model, as the bytes its byte level names.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer, cache = Tokenizer.from_file(path), {"": b""}
+    tokenize, names = tokenizer.model.tokenize, byte_names()
+
+    def whole(words: list[str]) -> dict[str, bytes]:
+        return {w: array("I", e.ids).tobytes() for w, e in zip(words, tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True)}
+
+    def learned(new: list[str]) -> dict[str, bytes]:
+        """Ids of the parts too long to remember; the others go to the cache."""
+        rest = []
+        for w in new:
+            core = w.rstrip(".,")
+            if len(w) > CACHED_WORD or not core.isalpha() or max(core) > "\xff":
+                rest.append(w)
+                continue
+            low, tail = core.lower(), w[len(core) :]
+            if (ids := cache.get(low)) is None:
+                cache[low] = ids = array("I", [t.id for t in tokenize(low.encode().decode("latin-1").translate(names))]).tobytes()
+            if tail:
+                if tail not in cache:
+                    cache.update(whole([tail]))
+                ids += cache[tail]
+            cache[w] = ids
+        found = whole(rest) if rest else {}
+        cache.update((w, b) for w, b in found.items() if len(w) <= CACHED_WORD)
+        return {w: b for w, b in found.items() if len(w) > CACHED_WORD}
 
     def encode(texts: list[str]) -> list[bytes]:
         if len(cache) > CACHE:
             cache.clear()
             cache[""] = b""
         parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list({w for p in parts for w in p if w not in cache})
-        known = cache
-        if new:
-            ids = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-            cache.update((w, b) for w, b in ids.items() if len(w) <= CACHED_WORD)
-            known = cache if all(len(w) <= CACHED_WORD for w in new) else cache | ids
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        new = [w for w in set().union(*parts) if w not in cache]
+        long = learned(new) if new else {}
+        if long:
+            return [b"".join(cache[w] if w in cache else long[w] for w in p) for p in parts]
+        return [b"".join(map(cache.__getitem__, p)) for p in parts]
 
     return encode
 
 
+def byte_names() -> dict[int, str]:
+    """The character by which a byte-level vocabulary names each byte: itself where
+    it is visible, else the next from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
 def _pieces(path: str, capacity: int) -> callable:
     def make() -> callable:
         encode, end, counts, part = encoder(path), np.array([END], "<u4").tobytes(), Counter(), TaskContext.get().partitionId()
