@@ -40,6 +40,8 @@ GRAM = 16
 UNIT, BUCKET = 4 << 20, 12 << 20
 #: Bytes whose hashes are in memory at once.
 SLICE = 1 << 18
+#: Of compression, for what is shuffled.
+LEVEL = 6
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -145,11 +147,14 @@ def settle(data: np.ndarray, at: np.ndarray, n: np.ndarray, doc: np.ndarray, gra
 
 
 def packed(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values).tobytes())
+    """Compressed, with the bytes of each weight side by side."""
+    values = np.ascontiguousarray(values)
+    return zstandard.ZstdCompressor(level=LEVEL).compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
 
 
 def unpacked(value: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(value), kind)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(value), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
 
 
 #: A block: runs for one bucket, from the documents it lists. Without runs, the
@@ -173,31 +178,38 @@ def _dealt(buckets: int, unit: int, depth: int) -> callable:
             if len(own) >= depth:
                 v = rarest(gram_hashes(own), width)
                 value[b : b + len(v)] = v
-        part = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
-        valid = np.arange(len(data)) <= np.repeat(begin + sizes, sizes) - depth
-
-        def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            edge = np.append(True, (value[1:] != value[:-1]) | (part[1:] != part[:-1]) | ~mask[:-1]) & mask
+        valid, border = np.ones(len(data), bool), np.zeros(len(data), bool)
+        border[begin] = True
+        for end in (begin + sizes).tolist():
+            valid[end - depth + 1 : end] = False
+
+        def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Where runs of one gram start, their suffixes, and their parts."""
+            edge = border.copy()
+            edge[1:] |= value[1:] != value[:-1]
+            edge[1:] |= ~mask[:-1]
+            edge &= mask
+            last = mask.copy()
+            last[:-1] &= edge[1:] | ~mask[1:]
             at = np.flatnonzero(edge)
-            stop = np.flatnonzero(mask & np.append(edge[1:] | ~mask[1:], True)) + 1
-            return at, stop - at
+            return at, np.flatnonzero(last) + 1 - at, np.searchsorted(begin, at, side="right") - 1
 
-        at, n = runs_of(valid)
-        covered = settle(data, at, n, ids[part[at]], value[at], depth)
-        places = spread(at, n)
+        at, n, part = runs_of(valid)
+        covered = settle(data, at, n, ids[part], value[at], depth)
         rows = []
         if covered.any():
             done = np.zeros(len(data), bool)
-            done[places[covered]] = True
+            done[valid] = covered
             edge = np.flatnonzero(np.diff(np.concatenate(([0], done.view(np.int8), [0]))))
             a, b = edge[::2], edge[1::2]
-            cut = np.flatnonzero(np.append(True, part[a[1:]] != part[a[:-1]]))
+            owner = np.searchsorted(begin, a, side="right") - 1
+            cut = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             for i, j in zip(cut, np.append(cut[1:], len(a)), strict=True):
-                p = int(part[a[i]])
+                p = int(owner[i])
                 doc, key, place, _ = parts[p]
                 rows.append(((key ^ doc) % buckets, [doc], [key], None, packed(a[i:j] - begin[p] + place), packed(b[i:j] - a[i:j]), None, None))
             valid &= ~done
-            at, n = runs_of(valid)
+            at, n, part = runs_of(valid)
         if not len(at):
             return rows
         # where the gram is, in the first suffix of each run
@@ -210,9 +222,9 @@ def _dealt(buckets: int, unit: int, depth: int) -> callable:
         cut = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1]))
         for i, j in zip(cut, np.append(cut[1:], len(order)), strict=True):
             own = order[i:j]
-            p, per = np.unique(part[at[own]], return_counts=True)
-            start = at[own] - begin[part[at[own]]] + np.array([parts[x][2] for x in p]).repeat(per)
-            rows.append((int(bucket[own[0]]), ids[p].tolist(), [parts[x][1] for x in p], packed(per.astype("<i4")), packed(start), packed(n[own]), packed(gram[own]), packed(data[spread(at[own], n[own] + depth - 1)])))
+            p, per = np.unique(part[own], return_counts=True)
+            start = at[own] - begin[part[own]] + np.array([parts[x][2] for x in p]).repeat(per)
+            rows.append((int(bucket[own[0]]), ids[p].tolist(), [parts[x][1] for x in p], packed(per.astype("<i4")), packed(np.diff(start, prepend=0)), packed(n[own]), packed(gram[own]), packed(data[spread(at[own], n[own] + depth - 1)])))
         return rows
 
     def run(batches):
@@ -262,7 +274,7 @@ def _settled(depth: int) -> callable:
             of.append(np.repeat(np.arange(len(docs), len(docs) + len(row["docs"])), unpacked(row["per_doc"], "<i4")))
             docs += row["docs"]
             keys += row["keys"]
-            start.append(s)
+            start.append(np.cumsum(s))
             n.append(m)
             gram.append(unpacked(row["gram"], "u1"))
             data.append(unpacked(row["data"], "u1"))
@@ -298,12 +310,22 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, unit: int = UNIT, bucket
     return dealt.groupBy("bucket").applyInArrow(_settled(depth), "doc_id long, text_key long, spans binary")
 
 
+def _compressed() -> callable:
+    def work(batch: pa.RecordBatch) -> dict:
+        zipped = zstandard.ZstdCompressor(level=LEVEL)
+        raw = [zipped.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch["text"]]
+        return {"doc_id": batch["doc_id"], "text_key": batch["text_key"], "raw": raw}
+
+    return work
+
+
 def _kept(depth: int) -> callable:
     def make() -> callable:
         def work(batch: pa.RecordBatch) -> dict:
             out: dict = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept")}
-            for text, spans in zip(batch["text"], batch["spans"], strict=True):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+            unzip = zstandard.ZstdDecompressor()
+            for raw, spans in zip(batch["raw"].to_pylist(), batch["spans"], strict=True):
+                raw = unzip.decompress(raw)
                 edge = np.zeros(len(raw) + 1, np.int32)
                 for packed_spans in spans.as_py() or ():
                     first, n = np.frombuffer(packed_spans, "<i8").reshape(2, -1)
@@ -326,7 +348,9 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, digest: bool = False, **
     ``digest`` their SHA-256) of every document."""
     df = plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text_key", row_key())
     spans = repeated_spans(df, depth, **sizes).groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("spans"))
-    rows = df.join(spans.hint("shuffle_hash"), ["doc_id", "text_key"], "left").select("doc_id", "text", "spans")
+    raw = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("raw", pa.binary())])
+    rows = df.mapInArrow(by_batch(_compressed, raw), "doc_id long, text_key long, raw binary")
+    rows = rows.join(spans.hint("shuffle_hash"), ["doc_id", "text_key"], "left").select("doc_id", "raw", "spans")
     last = pa.string() if digest else pa.binary()
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", last)])
 
