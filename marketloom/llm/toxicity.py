@@ -6,7 +6,7 @@ the gradient of the document's log-loss reaches the sentences through the
 noisy-or, so the sentences that explain a toxic label get high scores and can be
 pointed out afterwards.
 
-Features are words and word beginnings of 3 to 6 letters. Their counts are taken
+Features are words and word beginnings of 3 to 8 letters. Their counts are taken
 over the training rows in Spark; the strongest ``vocabulary`` of them by
 likelihood ratio are kept, so the model has a fixed size.
 
@@ -41,7 +41,7 @@ CACHE = 200_000
 def word_features(word: str) -> tuple[str, ...]:
     """The word and its beginnings; ``^`` marks a beginning."""
     word = word.strip(EDGE)
-    return (word, *(f"^{word[:n]}" for n in range(3, 7) if len(word) > n)) if word else ()
+    return (word, *(f"^{word[:n]}" for n in range(3, 9) if len(word) > n)) if word else ()
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = TRAINING_PER_CLASS) -> DataFrame:
@@ -97,7 +97,7 @@ def _encoded(index: dict[str, int]) -> callable:
     return make
 
 
-def fit(training: DataFrame, size: int = VOCABULARY, steps: int = 300, l2: float = 2e-5) -> dict:
+def fit(training: DataFrame, size: int = VOCABULARY, steps: int = 300, l2: float = 5e-6) -> dict:
     """Weights by feature, and the bias under ``""``; empty without both classes.
 
     What reaches the driver is bounded: the vocabulary, and of each training
