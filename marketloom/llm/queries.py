@@ -7,7 +7,7 @@ brute force.
 
 from __future__ import annotations
 
-from marketloom.llm import decontaminate, packing, quality_rules, secrets, simhash, suffix_dedup, toxicity, url_filter
+from marketloom.llm import decontaminate, licenses, packing, quality_model, quality_rules, secrets, simhash, suffix_dedup, toxicity, url_filter
 from marketloom.llm.common import table
 
 Q: dict = {
@@ -18,5 +18,7 @@ Q: dict = {
     "op5_decontamination": (lambda spark, d: decontaminate.decontamination_report(table(spark, d, "documents"), table(spark, d, "benchmark")), None),
     "op6_quality_rules": (lambda spark, d: quality_rules.quality_report(table(spark, d, "documents")), None),
     "op7_simhash": (lambda spark, d: simhash.simhash_report(table(spark, d, "documents")), None),
+    "op8_quality_model": (lambda spark, d: quality_model.quality_scores(table(spark, d, "documents"), table(spark, d, "labels")), None),
+    "op9_licenses": (lambda spark, d: licenses.license_report(table(spark, d, "documents")), None),
     "op10_toxicity": (lambda spark, d: toxicity.toxicity_report(table(spark, d, "documents"), table(spark, d, "labels")), None),
 }

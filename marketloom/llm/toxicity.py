@@ -22,6 +22,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,12 +110,13 @@ def fit(training: DataFrame, size: int = VOCABULARY, steps: int = 300, l2: float
     names = vocabulary(training, n[1], n[0], size)
     index = {f: i for i, f in enumerate(names)}
     schema = pa.schema([("y", pa.int32()), ("plain", pa.int64()), ("features", pa.list_(pa.list_(pa.int32())))])
-    rows = training.mapInArrow(by_batch(_encoded(index), schema), "y int, plain long, features array<array<int>>").toArrow().to_pylist()
-    y = np.array([r["y"] for r in rows])
-    empty = np.array([r["plain"] for r in rows], float)
-    bag = np.array([d for d, r in enumerate(rows) for _ in r["features"]], np.int64)
-    of = np.array([s for s, x in enumerate(x for r in rows for x in r["features"]) for _ in x], np.int64)
-    feature = np.array([f for r in rows for x in r["features"] for f in x], np.int64)
+    rows = training.mapInArrow(by_batch(_encoded(index), schema), "y int, plain long, features array<array<int>>").toArrow()
+    y, empty = rows["y"].to_numpy(), rows["plain"].to_numpy().astype(float)
+    bags = rows["features"].combine_chunks()
+    sentences = bags.flatten()
+    bag = np.repeat(np.arange(len(bags)), pc.list_value_length(bags))
+    of = np.repeat(np.arange(len(sentences)), pc.list_value_length(sentences))
+    feature = sentences.flatten().to_numpy()
     weight, bias = np.zeros(len(names)), -4.0
     each = np.full(len(y), 1 / len(y))
     grown = [np.zeros(len(names) + 1), np.zeros(len(names) + 1)]
