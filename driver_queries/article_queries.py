@@ -84,7 +84,7 @@ add(
 add(
     "forum_text",
     lambda s, d: t.forum_posts(s, d).where(scalars.is_forum_post("title", "score")).select(
-        "pos", F.md5(scalars.forum_text("title", "selftext")).alias("text_md5")
+        "pos", F.md5(scalars.forum_text("title", "selftext", 512)).alias("text_md5")
     ),
     "pos:i text_md5",
     [FORUM, "q AS (SELECT pos, md5(substr(title || ' ' || selftext, 1, 512)) AS text_md5 FROM forum_posts WHERE score >= 2 AND length(title) >= 10)"],

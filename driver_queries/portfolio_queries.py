@@ -33,6 +33,19 @@ add(
     [WEIGHTS, "q AS (SELECT * FROM forward)"],
 )
 add("portfolio_returns", returns, "portfolio_id date:d next_date:d ret:f6", [WEIGHTS, "q AS (SELECT * FROM port_returns)"])
+
+
+def _quarterly(s, d):
+    """Weights of every third month only: a position is held for three."""
+    weights = t.month_weights(s, d).where(F.month("date") % 3 == 1)
+    return portfolio.portfolio_returns(portfolio.normalize_weights(weights), t.month_prices(s, d))
+
+
+QUARTERLY = WEIGHTS[: WEIGHTS.index("forward AS (")].replace("normalized AS (", "all_normalized AS (")
+add(
+    "portfolio_returns_quarterly", _quarterly, "portfolio_id date:d next_date:d ret:f6",
+    [QUARTERLY.rstrip().rstrip(","), "normalized AS (SELECT * FROM all_normalized WHERE month(date) % 3 = 1)", t.PORT_RETURNS, "q AS (SELECT * FROM port_returns)"],
+)
 add("equity_curve", curve, "portfolio_id date:d ret:f6 value:f2", [WEIGHTS, "q AS (SELECT * FROM curve)"])
 METRICS = f"""{WEIGHTS}, metrics AS (
   SELECT portfolio_id, count(ret) AS n_periods, max_by(value, date) / 100000 - 1 AS total_return,
@@ -167,7 +180,7 @@ add(
     "stack_allocations",
     lambda s, d: portfolio.stack_allocations(_agent_weights(s, d), "nlp").select("date", F.posexplode("allocation").alias("position", "weight")),
     "date:d position:i weight:f6",
-    [AGENT_WEIGHTS, """q AS (SELECT date, row_number() OVER (PARTITION BY date ORDER BY agent_order, asset_order) - 1 AS position, weight FROM agent_weights WHERE contains(agent, 'nlp'))"""],
+    [AGENT_WEIGHTS, """q AS (SELECT date, row_number() OVER (PARTITION BY date ORDER BY agent_order, asset_order) - 1 AS position, coalesce(weight, 0) AS weight FROM agent_weights WHERE contains(agent, 'nlp'))"""],
 )
 
 
@@ -178,9 +191,7 @@ def _observations(s, d):
     sent = t.monthly_sentiment(s, d).join(t.assets(s, d), "ticker").select(
         month.alias("date"), F.col("asset_order").alias("position"), F.col("sentiment_weighted").alias("value")
     )
-    # A vector needs every position on its dates: keep the months all assets have.
-    full = sent.groupBy("date").agg(F.count(F.lit(1)).alias("n")).where("n = 25").select("date")
-    vectors = portfolio.observation_vectors(tech, sent.join(full, "date", "left_semi"), width=25)
+    vectors = portfolio.observation_vectors(tech, sent, width=25, technical_width=25)
     return vectors.select("date", F.posexplode("observation").alias("position", "value"))
 
 
@@ -189,8 +200,8 @@ from driver_queries.price_queries import RISK  # noqa: E402
 add(
     "observation_vectors", _observations, "date:d position:i value:f4",
     [RISK, ASSETS, t.MONTHLY_SENTIMENT, """tech AS (SELECT month_end AS date, asset_order AS position, CAST(coalesce(volatility, 0) AS FLOAT) AS value FROM risk r JOIN assets a ON r.ticker = a.ticker),
-      sent AS (SELECT last_day(CAST(month || '-01' AS DATE)) AS date, asset_order + 25 AS position, CAST(coalesce(sentiment_weighted, 0) AS FLOAT) AS value,
-        count(*) OVER (PARTITION BY month) AS n FROM monthly_sentiment m JOIN assets a ON m.ticker = a.ticker),
-      q AS (SELECT * FROM tech UNION ALL SELECT d.date, 25 + p.position, coalesce(s.value, 0) FROM (SELECT DISTINCT date FROM tech) d CROSS JOIN (SELECT unnest(range(25)) AS position) p
-        LEFT JOIN sent s ON s.date = d.date AND s.position = 25 + p.position AND s.n = 25)"""],
+      sent AS (SELECT last_day(CAST(month || '-01' AS DATE)) AS date, asset_order + 25 AS position, CAST(coalesce(sentiment_weighted, 0) AS FLOAT) AS value
+        FROM monthly_sentiment m JOIN assets a ON m.ticker = a.ticker),
+      q AS (SELECT d.date, p.position, coalesce(s.value, 0) AS value FROM (SELECT DISTINCT date FROM tech) d CROSS JOIN (SELECT unnest(range(50)) AS position) p
+        LEFT JOIN (SELECT * FROM tech UNION ALL SELECT * FROM sent) s ON s.date = d.date AND s.position = p.position)"""],
 )

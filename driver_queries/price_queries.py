@@ -50,7 +50,7 @@ add(
     "ticker date:d log_return:f6",
     [DENSE, f"""known AS (SELECT ticker, date, last_value(close IGNORE NULLS) OVER ({over()} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS close FROM dense),
       r AS (SELECT ticker, date, ln(close / lag(close) OVER ({over()})) AS log_return FROM known),
-      q AS (SELECT * FROM r WHERE date NOT IN (SELECT date FROM r WHERE log_return IS NULL))"""],
+      q AS (SELECT r.* FROM r ANTI JOIN (SELECT DISTINCT date FROM r WHERE log_return IS NULL) m ON r.date = m.date)"""],
 )
 add(
     "pct_change",

@@ -22,15 +22,9 @@ PORTFOLIOS = ["alpha", "beta", "gamma"]
 AGENTS = ["PPO_data", "SAC_data", "PPO_nlp", "SAC_nlp"]
 
 
-_SCHEMAS: dict = {}
-
-
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A driver table; its schema is read from the file footer once."""
-    path = f"{sf}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    """A driver table."""
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 # -- finishing ---------------------------------------------------------------
@@ -389,6 +383,16 @@ def month_prices(spark: SparkSession, sf: str) -> DataFrame:
 
 _WEIGHTS_VALUES = ", ".join(f"('{p}', {k})" for k, p in enumerate(PORTFOLIOS))
 
+PORT_RETURNS = """periods AS (
+  SELECT portfolio_id, date, lead(date) OVER (PARTITION BY portfolio_id ORDER BY date) AS next_date
+  FROM (SELECT DISTINCT portfolio_id, date FROM normalized)),
+port_returns AS (
+  SELECT n.portfolio_id, n.date, p.next_date, exp(sum(weight * coalesce(ln(c.price / o.price), 0))) - 1 AS ret
+  FROM normalized n JOIN periods p ON n.portfolio_id = p.portfolio_id AND n.date = p.date AND p.next_date IS NOT NULL
+  LEFT JOIN monthly o ON o.ticker = n.ticker AND o.month_end = n.date
+  LEFT JOIN monthly c ON c.ticker = n.ticker AND c.month_end = p.next_date
+  GROUP BY 1, 2, 3 HAVING count(o.ticker) > 0 AND count(c.ticker) > 0)"""
+
 WEIGHTS = f"""{RETURNS}, {ASSETS}, weights AS (
   SELECT portfolio_id, month_end AS date, r.ticker,
          ((asset_order * 7 + (year(month_end) * 12 + month(month_end)) * 3 + k * 5) % 11 - 1) / CAST(8 AS DOUBLE) AS weight
@@ -402,9 +406,7 @@ forward AS (
     SELECT ticker, month_end AS date, lead(month_end) OVER (PARTITION BY ticker ORDER BY month_end) AS next_date,
            coalesce(ln(lead(price) OVER (PARTITION BY ticker ORDER BY month_end) / price), 0) AS log_return FROM monthly)
   WHERE next_date IS NOT NULL),
-port_returns AS (
-  SELECT portfolio_id, n.date, next_date, exp(sum(weight * log_return)) - 1 AS ret
-  FROM normalized n JOIN forward f ON n.ticker = f.ticker AND n.date = f.date GROUP BY 1, 2, 3),
+{PORT_RETURNS},
 steps AS (
   SELECT portfolio_id, next_date AS date, ret FROM port_returns
   UNION ALL SELECT portfolio_id, min(date), CAST(NULL AS DOUBLE) FROM port_returns GROUP BY 1),

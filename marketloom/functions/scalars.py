@@ -77,19 +77,21 @@ def parse_date_flexible(raw: Column | str, fallback: Column | None = None) -> Co
     """Timestamp from epoch digits, an ISO-like string or a feed date.
 
     Digits are epoch seconds when they fit a nanosecond timestamp; otherwise
-    the standard parser, then the ``15 Jan 2024 08:00:00 GMT`` feed form with
-    its weekday dropped; whatever stays unparsed yields ``fallback``.
+    the standard parser, then the feed forms (``15 Jan 2024 08:00:00 GMT`` or
+    ``+0000``, weekday dropped), ``15 January 2024``, ``January 15, 2024``,
+    ``01/15/2024`` and ``2024/01/15``; whatever stays unparsed yields ``fallback``.
     """
     raw = _col(raw).cast("string")
     number = raw.try_cast("bigint")
     is_epoch = raw.rlike("^[0-9]+$") & number.isNotNull() & (number <= MAX_EPOCH_SECONDS)
     epoch = F.timestamp_seconds(F.when(is_epoch, number))
     feed = F.regexp_replace(raw, "^\\s*[A-Za-z]{3},\\s*", "")
-    parsed = F.coalesce(
-        epoch,
-        F.try_to_timestamp(raw),
-        F.try_to_timestamp(feed, F.lit("d MMM yyyy HH:mm:ss z")),
+    # 15/01 is no month: day-first spellings with slashes stay unread
+    spellings = (
+        "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss xx", "d MMM yyyy HH:mm:ss", "d MMM yyyy", "d MMMM yyyy",
+        "MMMM d, yyyy", "MMM d, yyyy", "M/d/yyyy", "yyyy/M/d",
     )
+    parsed = F.coalesce(epoch, F.try_to_timestamp(raw), *(F.try_to_timestamp(feed, F.lit(p)) for p in spellings))
     return parsed if fallback is None else F.coalesce(parsed, fallback)
 
 
@@ -156,10 +158,10 @@ def headline(title: Column | str, summary: Column | str) -> Column:
     return F.btrim(joined, F.lit(WHITESPACE))
 
 
-def forum_text(title: Column | str, body: Column | str, limit: int = 512) -> Column:
-    """Title, blank, body, cut at the scoring model's input limit, not stripped."""
+def forum_text(title: Column | str, body: Column | str, limit: int | None = None) -> Column:
+    """Title, blank, body, not stripped; cut only if a scoring model's ``limit`` is given."""
     joined = F.concat(F.coalesce(_col(title), F.lit("")), F.lit(" "), F.coalesce(_col(body), F.lit("")))
-    return truncate_text(joined, limit)
+    return joined if limit is None else truncate_text(joined, limit)
 
 
 def is_forum_post(title: Column | str, score: Column | str, min_score: int = 2, min_title: int = 10) -> Column:

@@ -45,27 +45,13 @@ def rolling(
     return F.when(F.count(value).over(frame) == n, agg(value).over(frame))
 
 
-def spread_from_sums(s: Column, ss: Column, n: int) -> Column:
-    """Sample standard deviation of n values from the sums of x and x^2. A
-    variance below 1e-12 of the second moment is rounding noise of constant
-    values and counts as zero."""
-    spread = ss - s * s / F.lit(float(n))
-    return F.sqrt(F.when(spread > ss * 1e-12, spread).otherwise(F.lit(0.0)) / F.lit(float(n - 1)))
-
-
 def rolling_std(
     value: Column | str, n: int, keys: str | Sequence[str] = "ticker", order: str = "date"
 ) -> Column:
-    """Trailing sample standard deviation with the full-window rule.
-
-    Built from the sums of x and x^2 over the frame: Spark re-evaluates a
-    trailing frame at every row, and plain sums cost a fraction of its central
-    moment aggregate there.
-    """
-    value = F.col(value) if isinstance(value, str) else value
-    frame = trailing(n, keys, order)
-    std = spread_from_sums(F.sum(value).over(frame), F.sum(value * value).over(frame), n)
-    return F.when(F.count(value).over(frame) == n, std)
+    """Trailing sample standard deviation with the full-window rule. The central
+    moment aggregate keeps its digits where the spread is small beside the level,
+    and is exactly zero for constant values."""
+    return rolling(F.stddev_samp, value, n, keys, order)
 
 
 def rolling_avg(

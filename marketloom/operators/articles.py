@@ -72,7 +72,7 @@ def yahoo_articles(
 
 def google_articles(
     items: DataFrame,
-    per_month: int | None = 20,
+    per_month: int | None = None,
     mode: str = "strict",
     domains: Sequence[str] = QUALITY_DOMAINS,
     assets: DataFrame | None = None,
@@ -81,8 +81,9 @@ def google_articles(
     """Search results per (ticker, query month), quality filter and monthly quota.
 
     ``pos`` is the position in the search result. The date falls back to the
-    first day of the query month. Strict mode keeps the first ``per_month``
-    accepted articles; lenient mode keeps everything up to the article that
+    first day of the query month. With a quota ``per_month``, strict mode keeps the
+    first accepted articles, and none of a query month whose calendar month earlier
+    ones have filled already; lenient mode keeps everything up to the article that
     fills the quota of quality sources. ``candidates`` is the length of the
     search result considered at all (three times the quota at the source).
     """
@@ -113,6 +114,7 @@ def google_articles(
     if per_month is not None:
         if mode == "strict":
             accepted = cap_per_key(accepted, keys, per_month, ["pos"])
+            accepted = skip_full_months(accepted.withColumn("month", month_key("published_at")), per_month).drop("month")
         else:
             accepted = until_quota(accepted, keys, "is_quality_source", per_month, "pos")
     return article_record(accepted, "google", extras=["summary", "is_quality_source", "domain"], assets=assets)
@@ -147,7 +149,7 @@ def forum_articles(
     posts: DataFrame,
     first_year: int,
     last_year: int | None = None,
-    per_ticker: int | None = 100,
+    per_ticker: int | None = None,
     assets: DataFrame | None = None,
 ) -> DataFrame:
     """Forum posts: score and title filter, first hit per (ticker, id) in search
@@ -173,14 +175,18 @@ def dedup_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
     return cap_per_key(df, keys, 1, order)
 
 
-def cap_per_key(df: DataFrame, keys: Sequence[str], n: int, order: Sequence[str], salts: int = 32) -> DataFrame:
+def cap_per_key(df: DataFrame, keys: Sequence[str], n: int, order: Sequence[str], salts: int | None = None) -> DataFrame:
     """First ``n`` rows per key in the given order.
 
     Two steps: first within (key, salt), which spreads a hot key over many
     tasks, then within the key on at most n x salts rows. Spark limits each
     step once more inside the map tasks for n up to its group-limit threshold.
+    The salt hashes the whole row, since few values may stand in ``order``, and
+    there are as many as shuffle partitions, so they grow with the cluster.
     """
-    salt = F.pmod(F.xxhash64(*order), F.lit(salts))
+    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    atoms = [f"`{n}`" for n, kind in df.dtypes if "map<" not in kind and kind not in ("variant", "void")]
+    salt = F.pmod(F.xxhash64(*atoms), F.lit(salts))
     local = Window.partitionBy(*keys, "_salt").orderBy(*order)
     whole = Window.partitionBy(*keys).orderBy(*order)
     spread = df.withColumn("_salt", salt)

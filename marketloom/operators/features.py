@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions.scalars import rounding
-from marketloom.functions.windows import rolling_avg, rolling_std, series, spread_from_sums, trailing
+from marketloom.functions.windows import rolling_avg, rolling_std, series, trailing
 from marketloom.operators.reshape import densify, log_return
 
 SHARPE_EPS = 1e-8
@@ -31,11 +31,8 @@ def rolling_deviation(value: str, n: int) -> Column:
 
 
 def rolling_sharpe(df: DataFrame, value: str, n: int, output: str = "sharpe", eps: float = SHARPE_EPS) -> DataFrame:
-    """Mean over (std + eps), not annualised. The frame is summed once."""
-    x, frame = F.col(value), trailing(n)
-    framed = df.select("*", F.count(x).over(frame).alias("_n"), F.sum(x).over(frame).alias("_s"), F.sum(x * x).over(frame).alias("_q"))
-    ratio = (F.col("_s") / n) / (spread_from_sums(F.col("_s"), F.col("_q"), n) + F.lit(eps))
-    return framed.withColumn(output, F.when(F.col("_n") == n, ratio)).drop("_n", "_s", "_q")
+    """Mean over (std + eps), not annualised."""
+    return df.withColumn(output, rolling_mean(value, n) / (rolling_deviation(value, n) + F.lit(eps)))
 
 
 def daily_features(
@@ -60,7 +57,7 @@ def daily_features(
     for n in (10, 30):
         sums += [F.sum(price).over(trailing(n)).alias(f"_p{n}"), F.count(price).over(trailing(n)).alias(f"_c{n}")]
     for n in (10, 60, 120):
-        sums += [F.sum(r).over(trailing(n)).alias(f"_s{n}"), F.sum(r * r).over(trailing(n)).alias(f"_q{n}")]
+        sums += [F.sum(r).over(trailing(n)).alias(f"_s{n}"), F.stddev_samp(r).over(trailing(n)).alias(f"_d{n}")]
     framed = base.select("date", "ticker", price, "log_return", *sums)
 
     def ratio(n: int) -> Column:
@@ -71,7 +68,7 @@ def daily_features(
         return F.when(F.col("_row") >= n, F.col(f"_s{n}") / n)
 
     def std(n: int) -> Column:
-        return F.when(F.col("_row") >= n, spread_from_sums(F.col(f"_s{n}"), F.col(f"_q{n}"), n))
+        return F.when(F.col("_row") >= n, F.col(f"_d{n}"))
 
     table = framed.select(
         "date",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from marketloom.functions.scalars import clip
 from marketloom.functions.windows import rolling, series, so_far
 
+# The initial capital and the weights of the reward.
 CAPITAL = 100_000.0
 REWARD = {"roi": 1.0, "drawdown": 2.0, "volatility": 0.5}
 
@@ -39,13 +40,26 @@ def period_log_returns(prices: DataFrame, price: str = "price") -> DataFrame:
     ).where(F.col("next_date").isNotNull())
 
 
+def rebalance_periods(weights: DataFrame) -> DataFrame:
+    """(portfolio_id, date, next_date): each weight date of a portfolio with the one
+    that follows; the last has none and drops out."""
+    dates = weights.select("portfolio_id", "date").distinct()
+    return dates.withColumn("next_date", F.lead("date").over(series("portfolio_id"))).where(F.col("next_date").isNotNull())
+
+
 def portfolio_returns(weights: DataFrame, prices: DataFrame, price: str = "price") -> DataFrame:
-    """exp(sum of weight x log return) - 1 per (portfolio, date)."""
-    forward = period_log_returns(prices, price)
-    held = weights.join(forward, ["ticker", "date"], "inner")
-    return held.groupBy("portfolio_id", "date", "next_date").agg(
-        (F.exp(F.sum(F.col("weight") * F.col("log_return"))) - 1).alias("ret")
+    """exp(sum of weight x log return) - 1 per (portfolio, weight date), held until
+    the portfolio's next weight date. A missing price of an asset counts as no
+    change; a period drops out if one of its ends is in no row of the price table."""
+    held = weights.join(rebalance_periods(weights), ["portfolio_id", "date"])
+    first = prices.select("ticker", "date", F.col(price).alias("_open"), F.lit(1).alias("_at_start"))
+    last = prices.select("ticker", F.col("date").alias("next_date"), F.col(price).alias("_close"), F.lit(1).alias("_at_end"))
+    both = held.join(first, ["ticker", "date"], "left").join(last, ["ticker", "next_date"], "left")
+    change = F.coalesce(F.ln(F.try_divide("_close", "_open")), F.lit(0.0))
+    out = both.groupBy("portfolio_id", "date", "next_date").agg(
+        (F.exp(F.sum(F.col("weight") * change)) - 1).alias("ret"), F.count("_at_start").alias("_n"), F.count("_at_end").alias("_m")
     )
+    return out.where("_n > 0 AND _m > 0").drop("_n", "_m")
 
 
 def equity_curve(returns: DataFrame, capital: float = CAPITAL) -> DataFrame:
@@ -216,6 +230,7 @@ def benchmark_curve(returns: DataFrame, capital: float = CAPITAL, value: str = "
     return returns.select("portfolio_id", "date", (growth * F.lit(capital)).alias("value"))
 
 
+# The metrics of an episode.
 METRICS = ["total_return", "sharpe_ratio", "max_drawdown", "volatility", "final_value"]
 
 
@@ -247,29 +262,43 @@ def fallback_allocation(weights: DataFrame, grid: DataFrame) -> DataFrame:
 def stack_allocations(weights: DataFrame, modality: str | None = None) -> DataFrame:
     """One vector per date: all agents' weights in agent, then asset order.
 
-    ``modality`` keeps the agents whose name contains it. A vector has agents x
-    assets entries on every date.
+    ``modality`` keeps the agents whose name contains it. A vector has a slot for
+    each agent and asset on every date; a missing weight is 0.
     """
     chosen = weights if modality is None else weights.where(F.col("agent").contains(modality))
-    cells = F.array_sort(F.collect_list(F.struct("agent_order", "asset_order", "weight")))
-    return chosen.groupBy("date").agg(F.transform(cells, lambda c: c["weight"]).alias("allocation"))
+    agents = chosen.agg(F.array_sort(F.collect_set("agent_order"))).scalar()
+    assets = (chosen.agg(F.max("asset_order")).scalar() + 1).cast("int")
+    cells = F.map_from_entries(F.collect_list(F.struct(F.struct("agent_order", "asset_order").alias("at"), "weight")))
+    rows = chosen.groupBy("date").agg(cells.alias("_cells")).withColumn("_agents", agents).withColumn("_slots", F.sequence(F.lit(0), assets - 1))
+    kind = chosen.schema["asset_order"].dataType.simpleString()
 
+    def slot(agent: Column, asset: Column) -> Column:
+        at = F.struct(agent.alias("agent_order"), asset.cast(kind).alias("asset_order"))
+        return F.coalesce(F.try_element_at("_cells", at), F.lit(0.0))
 
-def observation_vectors(features: DataFrame, sentiment: DataFrame | None = None, width: int | None = None) -> DataFrame:
+    vector = F.flatten(F.transform("_agents", lambda g: F.transform("_slots", lambda k: slot(g, k))))
+    return rows.select("date", vector.alias("allocation"))
+
+
+def observation_vectors(
+    features: DataFrame, sentiment: DataFrame | None = None, width: int | None = None, technical_width: int | None = None
+) -> DataFrame:
     """One FLOAT vector per date: technical features, then sentiment features.
 
-    Inputs: (date, position, value). Dates without sentiment get zeros (``width``
-    of them, by default the number of sentiment positions); NULL becomes 0.
+    Inputs: (date, position, value). Every position has its slot on every date; a
+    missing or NULL value is 0. The widths are the numbers of positions by default.
     """
 
-    def vector(df: DataFrame, name: str) -> DataFrame:
-        cells = F.array_sort(F.collect_list(F.struct("position", F.coalesce("value", F.lit(0.0)).alias("value"))))
-        return df.groupBy("date").agg(F.transform(cells, lambda c: c["value"].cast("float")).alias(name))
+    def vector(df: DataFrame, size: int | None) -> DataFrame:
+        slots = F.lit(size) if size is not None else (df.agg(F.max("position")).scalar() + 1).cast("int")
+        cells = F.map_from_entries(F.collect_list(F.struct(F.col("position").cast("int").alias("at"), "value")))
+        rows = df.groupBy("date").agg(cells.alias("_cells")).withColumn("_slots", F.sequence(F.lit(0), slots - 1))
+        return rows.select("date", F.transform("_slots", lambda p: F.coalesce(F.try_element_at("_cells", p), F.lit(0.0)).cast("float")).alias("_v"))
 
-    technical = vector(features, "_t")
+    technical = vector(features, technical_width).select("date", F.col("_v").alias("_t"))
     if sentiment is None:
         return technical.select("date", F.col("_t").alias("observation"))
     size = F.lit(width) if width is not None else (sentiment.agg(F.max("position")).scalar() + 1).cast("int")
-    joined = technical.join(vector(sentiment, "_s"), "date", "left")
+    joined = technical.join(vector(sentiment, width).select("date", F.col("_v").alias("_s")), "date", "left")
     zeros = F.array_repeat(F.lit(0.0).cast("float"), size)
     return joined.select("date", F.concat("_t", F.coalesce("_s", zeros)).alias("observation"))

@@ -46,7 +46,8 @@ def densify(prices: DataFrame, values: Sequence[str] = ("close",), keep: Sequenc
     end), then the days no ticker traded are removed by a semi join. No grid of
     tickers x dates is joined, and the result stays partitioned by ticker, so
     the windows that follow need no further shuffle. ``keep`` names columns
-    that depend on the ticker alone.
+    that depend on the ticker alone. Two rows of a ticker and date raise an
+    error: reduce raw records first, as ``read_prices`` does.
     """
     # A row without a date or ticker cannot be placed; saying so here also
     # gives every use of the input the same plan (joins later on would add the
@@ -57,11 +58,15 @@ def densify(prices: DataFrame, values: Sequence[str] = ("close",), keep: Sequenc
     start = traded.agg(F.min("date")).scalar()
     end = traded.agg(F.max("date")).scalar()
     by_date = series()
+    following = F.lead("date").over(by_date)
+    twice = F.raise_error(F.concat(F.lit("several prices of one day for "), F.col("ticker"))).cast("date")
     first_day = F.when(F.lag("date").over(by_date).isNull(), start).otherwise(F.col("date"))
-    last_day = F.coalesce(F.date_sub(F.lead("date").over(by_date), 1), end)
+    last_day = F.when(following == F.col("date"), twice).otherwise(F.coalesce(F.date_sub(following, 1), end))
+    # a row outside the traded range covers no day of it
+    days = F.when(F.col("_from") <= F.col("_to"), F.sequence("_from", "_to")).otherwise(F.array().cast("array<date>"))
     stretched = prices.select(
         "ticker", "date", *values, *keep, first_day.alias("_from"), last_day.alias("_to")
-    ).select("ticker", "date", *values, *keep, F.explode(F.sequence("_from", "_to")).alias("_day"))
+    ).select("ticker", "date", *values, *keep, F.explode(days).alias("_day"))
     own = F.col("_day") == F.col("date")
     return stretched.select(
         "ticker",

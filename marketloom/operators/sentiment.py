@@ -56,7 +56,7 @@ def model_sentiment(
     text: str = "headline",
     loader: Callable[[], Model | None] | None = None,
     batch: int = 32,
-    max_chars: int | None = 512,
+    max_chars: int | None = None,
     drop_errors: bool = False,
     positive: Sequence[str] = POSITIVE_WORDS,
     negative: Sequence[str] = NEGATIVE_WORDS,
@@ -65,7 +65,7 @@ def model_sentiment(
 
     ``loader`` runs once per partition in the Python worker and returns a
     callable from a list of texts to ``{"label", "score"}`` dicts; it is fed
-    ``batch`` texts at a time, cut to the model's input limit ``max_chars``.
+    ``batch`` texts at a time, cut only if a limit ``max_chars`` is given.
     Without a loader, or when it returns None or the model fails on a batch,
     the word-list score stands in; with ``drop_errors`` the failing texts are
     dropped instead.

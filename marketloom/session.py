@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -26,21 +26,26 @@ def get_spark(app: str = "marketloom", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder that driver and executors both see.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a single machine) a local temporary folder takes its place.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset and
+    everything runs on this machine a local temporary folder takes its place.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="marketloom-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root:
+        return root
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="marketloom-")
+    return _LOCAL_ROOTS[app]
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder path (not created) of the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}{os.sep}{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

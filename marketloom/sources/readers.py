@@ -12,14 +12,14 @@ from marketloom.operators.reshape import wide_to_long
 
 
 def read_holdings(spark: SparkSession, path: str, distinct: bool = True) -> DataFrame:
-    """Holdings CSV; amounts may carry leading blanks. ``distinct`` keeps one
-    row per ticker."""
+    """Holdings CSV; amounts may carry leading blanks. ``distinct`` adds up the
+    lots of a ticker."""
     df = spark.read.schema(schemas.HOLDINGS).csv(path, header=True, ignoreLeadingWhiteSpace=True)
-    return df.dropDuplicates(["ticker"]) if distinct else df
+    return df.groupBy("ticker").agg(F.sum("amount").cast(df.schema["amount"].dataType).alias("amount")).select(*df.columns) if distinct else df
 
 
 def read_prices(
-    spark: SparkSession, path: str, fmt: str = "parquet", digits: int | None = 2, one_per_day: bool = False
+    spark: SparkSession, path: str, fmt: str = "parquet", digits: int | None = 2, one_per_day: bool = True
 ) -> DataFrame:
     """Daily price table (date, ticker, close, adj_close), NaN as NULL, rounded.
 

@@ -43,9 +43,9 @@ def test_google_quota(spark, mode, expected):
 
 def test_quota_of_25_quality_articles(spark):
     df = spark.createDataFrame(google_rows([1, 0] * 25), schemas.GOOGLE_ITEMS)
-    assert articles.google_articles(df).count() == 20
-    assert articles.google_articles(df, mode="lenient").count() == 39
-    assert articles.google_articles(df, mode="lenient", candidates=10).count() == 10
+    assert articles.google_articles(df, 20).count() == 20
+    assert articles.google_articles(df, 20, mode="lenient").count() == 39
+    assert articles.google_articles(df, 20, mode="lenient", candidates=10).count() == 10
 
 
 def test_until_quota_matches_a_running_count(spark):
@@ -86,7 +86,7 @@ def test_forum_articles(spark):
     got = articles.forum_articles(df, 2024, 2024).orderBy("ticker", "id").collect()
     assert [(r.ticker, r.id, r.headline) for r in got] == [("A", "p1", "long enough title b"), ("A", "p4", "ten chars! "), ("B", "p1", "long enough title b")]
     many = spark.createDataFrame([("A", 0, i, f"p{i}", base, 5, "long enough title", "b", "s", 1) for i in range(101)], schemas.FORUM_POSTS)
-    assert articles.forum_articles(many, 2024, 2024).count() == 100
+    assert articles.forum_articles(many, 2024, 2024, per_ticker=100).count() == 100
 
 
 def test_skip_full_months(spark):

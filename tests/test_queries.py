@@ -1,7 +1,4 @@
-"""Registered queries against DuckDB on the smallest driver tables.
-
-By default every sixth query runs; MARKETLOOM_ALL_QUERIES=1 runs them all.
-"""
+"""Registered queries against DuckDB on the smallest driver tables, all of them."""
 
 import math
 import os
@@ -15,7 +12,6 @@ duckdb = pytest.importorskip("duckdb")
 SF = os.environ.get("MARKETLOOM_SF", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 NAMES = sorted(entry.oracle_sql())
-CHOSEN = NAMES if os.environ.get("MARKETLOOM_ALL_QUERIES") else NAMES[::6]
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +31,7 @@ def rows_of(rows, columns):
     return sorted(tuple(clean(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", CHOSEN)
+@pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, duck, name):
     got = entry.queries()[name](spark, SF)
     cursor = duck.execute(entry.oracle_sql()[name])
