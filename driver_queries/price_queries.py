@@ -38,6 +38,21 @@ add(
       CASE WHEN count(adj_close) OVER (PARTITION BY ticker) > 0 THEN adj_close ELSE close END AS price FROM prices)"""],
 )
 add("densify", t.dense, "ticker date:d close:f2", [DENSE, "q AS (SELECT * FROM dense)"])
+add(
+    "densify_untraded_edges",
+    lambda s, d: reshape.densify(t.prices(s, d).withColumn("close", F.when(F.year("date").between(1993, 1996), F.col("close")))),
+    "ticker date:d close:f2",
+    [PRICES, """known AS (SELECT ticker, date, CASE WHEN year(date) BETWEEN 1993 AND 1996 THEN close END AS close FROM prices),
+      q AS (SELECT t.ticker, c.date, k.close FROM (SELECT DISTINCT ticker FROM known) t CROSS JOIN (SELECT DISTINCT date FROM known WHERE close IS NOT NULL) c
+        LEFT JOIN known k ON k.ticker = t.ticker AND k.date = c.date)"""],
+)
+add(
+    "rolling_std_small_spread",
+    lambda s, d: t.filled(s, d).withColumn("level", F.col("close") / 10000 + 100000.0).withColumn("std", features.rolling_deviation("level", 20)),
+    "ticker date:d std:f4",
+    [FILLED, f"""levels AS (SELECT ticker, date, close / 10000 + CAST(100000 AS DOUBLE) AS level FROM filled),
+      q AS (SELECT ticker, date, {roll('stddev_samp', 'level', 20)} AS std FROM levels)"""],
+)
 add("fill_forward_back", t.filled, "ticker date:d close:f2", [FILLED, "q AS (SELECT * FROM filled)"])
 add(
     "log_return_zero_filled", t.daily, "ticker date:d log_return:f6", [DAILY, "q AS (SELECT * FROM daily)"],

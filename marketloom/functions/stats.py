@@ -24,63 +24,75 @@ def safe_corr(x: Column | str, y: Column | str) -> Column:
     return _clip_unit(F.try_divide(F.covar_samp(xs, ys), F.stddev_samp(xs) * F.stddev_samp(ys)))
 
 
-def corr_from_moments(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:
-    """Pearson r from plain sums, for data that was pre-aggregated before a join.
-
-    A variance below 1e-12 of its second moment is rounding noise of a constant
-    series and counts as zero.
-    """
+def corr_from_moments(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column, varies: Column) -> Column:
+    """Pearson r from sums, for data that was pre-aggregated before a join. ``varies``
+    says that neither series is constant (its least value is below its greatest)."""
     vx = n * sxx - sx * sx
     vy = n * syy - sy * sy
-    real = (vx > n * sxx * 1e-12) & (vy > n * syy * 1e-12)
+    real = varies & (vx > 0) & (vy > 0)
     return _clip_unit(F.when(real, F.try_divide(n * sxy - sx * sy, F.sqrt(vx) * F.sqrt(vy))))
 
 
-def std_from_moments(n: Column, s: Column, ss: Column) -> Column:
-    """Sample standard deviation from plain sums; NULL below two values."""
-    v = n * ss - s * s
-    v = F.when(v > n * ss * 1e-12, v).otherwise(F.lit(0.0))
+def std_from_moments(n: Column, s: Column, ss: Column, varies: Column) -> Column:
+    """Sample standard deviation from sums; NULL below two values, 0 if constant."""
+    v = F.when(varies, F.greatest(n * ss - s * s, F.lit(0.0))).otherwise(F.lit(0.0))
     return F.when(n > 1, F.sqrt(v / (n * (n - F.lit(1)))))
 
 
-def _beta_tail(x: float, a: float, b: float) -> float:
-    """Regularised incomplete beta function I_x(a, b) by its continued fraction."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - _beta_tail(1.0 - x, b, a)
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    ) / a
+#: Terms of the continued fraction; what has not settled by then is no value.
+TERMS = 20_000
+
+
+def _fraction(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Continued fraction of the incomplete beta function, for whole arrays; NaN
+    where it does not settle."""
     tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    fraction = d
-    for m in range(1, 400):
+
+    def safe(v: np.ndarray) -> np.ndarray:
+        return np.where(np.abs(v) > tiny, v, tiny)
+
+    out, left = np.full(x.shape, np.nan), np.arange(len(x))
+    c, d = np.ones(len(x)), 1.0 / safe(1.0 - (a + b) * x / (a + 1.0))
+    value = d.copy()
+    for m in range(1, TERMS):
+        if not len(left):
+            break
         even = m * (b - m) * x / ((a + 2 * m - 1.0) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1.0))
-        step = 1.0
         for term in (even, odd):
-            d = 1.0 + term * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + term / c
-            c = c if abs(c) > tiny else tiny
-            step = c * d
-            fraction *= step
-        if abs(step - 1.0) < 1e-15:
-            break
-    return front * fraction
-
-
-def two_sided_p(r: float, n: float) -> float | None:
-    """P(|R| >= |r|) for n pairs of an uncorrelated normal sample."""
-    if r is None or n is None or math.isnan(r) or math.isnan(n) or n < 2:
-        return None
-    if n == 2:
-        return 1.0
-    return _beta_tail(max(0.0, 1.0 - r * r), (n - 2.0) / 2.0, 0.5)
+            d, c = 1.0 / safe(1.0 + term * d), safe(1.0 + term / c)
+            value = value * c * d
+        done = np.abs(c * d - 1.0) < 1e-15
+        out[left[done]] = value[done]
+        stay = ~done
+        left, x, a, b, c, d, value = (v[stay] for v in (left, x, a, b, c, d, value))
+    return out
+
+
+def two_sided_p(r: np.ndarray | float, n: np.ndarray | float) -> np.ndarray | float:
+    """P(|R| >= |r|) for n pairs of an uncorrelated normal sample: the regularised
+    incomplete beta function I_x(a, 1/2) at x = 1 - r^2, a = (n - 2) / 2. NaN where
+    an input is, below two pairs, and where the series does not settle."""
+    if np.ndim(r) == 0:
+        return float(two_sided_p(np.array([r]), np.array([n]))[0])
+    r, n = np.asarray(r, float), np.asarray(n, float)
+    out = np.full(r.shape, np.nan)
+    known = ~np.isnan(r) & ~np.isnan(n) & (n >= 2)
+    x = np.clip(1.0 - r * r, 0.0, 1.0)
+    out[known & ((x >= 1.0) | (n == 2))] = 1.0
+    out[known & (x <= 0.0) & (n > 2)] = 0.0
+    at = np.flatnonzero(known & (x > 0.0) & (x < 1.0) & (n > 2))
+    if not len(at):
+        return out
+    sizes, which = np.unique(n[at], return_inverse=True)
+    log_beta = np.array([math.lgamma((v - 1.0) / 2) - math.lgamma((v - 2.0) / 2) - math.lgamma(0.5) for v in sizes])[which]
+    x, a, b = x[at], (n[at] - 2.0) / 2.0, np.full(len(at), 0.5)
+    front = np.exp(log_beta + a * np.log(x) + b * np.log1p(-x))
+    turn = x > (a + 1.0) / (a + b + 2.0)
+    with np.errstate(all="ignore"):
+        tail = front * _fraction(np.where(turn, 1.0 - x, x), np.where(turn, b, a), np.where(turn, a, b)) / np.where(turn, b, a)
+    out[at] = np.where(turn, 1.0 - tail, tail)
+    return out
 
 
 @F.pandas_udf(DoubleType())
@@ -89,5 +101,4 @@ def pearson_pvalue(r: pd.Series, n: pd.Series) -> pd.Series:
 
     Runs on one row per asset after the aggregate, never on raw data.
     """
-    values = [two_sided_p(a, b) for a, b in zip(r.astype(float), n.astype(float))]
-    return pd.Series([np.nan if v is None else v for v in values], dtype=float)
+    return pd.Series(two_sided_p(r.astype(float).to_numpy(), n.astype(float).to_numpy()))

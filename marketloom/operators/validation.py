@@ -140,7 +140,8 @@ def article_moments(scored: DataFrame, keys: list[str]) -> DataFrame:
     """Count and sums of the score per key, with partial aggregation."""
     s = F.col("sentiment_score")
     return scored.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"), F.count(s).alias("n"), F.sum(s).alias("s"), F.sum(s * s).alias("ss")
+        F.count(F.lit(1)).alias("rows"), F.count(s).alias("n"), F.sum(s).alias("s"), F.sum(s * s).alias("ss"),
+        F.min(s).alias("low"), F.max(s).alias("high"),
     )
 
 
@@ -156,11 +157,12 @@ def source_return_stats(scored: DataFrame, returns: DataFrame, sources: list[str
         F.sum(F.when(r.isNotNull(), F.col("n") * r)).alias("r"),
         F.sum(F.when(r.isNotNull(), F.col("n") * r * r)).alias("rr"),
         F.sum(F.when(r.isNotNull(), F.col("s") * r)).alias("sr"),
+        (F.min("low") < F.max("high")).alias("scores_vary"), (F.min(r) < F.max(r)).alias("returns_vary"),
     )
-    n, s, ss = F.col("n"), F.col("s"), F.col("ss")
+    n, s, ss, vary = F.col("n"), F.col("s"), F.col("ss"), F.col("scores_vary")
     return sums.select(
-        "source", "rows", std_from_moments(n, s, ss).alias("std"),
-        corr_from_moments(n, s, F.col("r"), ss, F.col("rr"), F.col("sr")).alias("corr"),
+        "source", "rows", std_from_moments(n, s, ss, vary).alias("std"),
+        corr_from_moments(n, s, F.col("r"), ss, F.col("rr"), F.col("sr"), vary & F.col("returns_vary")).alias("corr"),
     )
 
 
