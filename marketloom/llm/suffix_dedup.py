@@ -40,6 +40,8 @@ GRAM = 16
 UNIT, BUCKET = 4 << 20, 12 << 20
 #: Bytes whose hashes are in memory at once.
 SLICE = 1 << 18
+#: Bytes of runs that are hashed or sorted at once.
+PIECE = 1 << 20
 #: Of compression, for what is shuffled.
 LEVEL = 6
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -116,36 +118,49 @@ def settle(data: np.ndarray, at: np.ndarray, n: np.ndarray, doc: np.ndarray, gra
         return out
     # equal runs: by the grams in them, as a polynomial of their hashes
     length = n[runs] + depth - GRAM
-    where = spread(at[runs], length + GRAM - 1)
-    copy = data[where]
-    first = np.cumsum(length + GRAM - 1) - (length + GRAM - 1)
-    h = gram_hashes(copy)
     power = np.multiply.accumulate(np.full(int(length.max()) + 1, ODD[0]))
-    h = h[spread(first, length)]
-    h *= power[spread(np.zeros(len(length), np.int64), length)]
-    content = np.add.reduceat(h, np.cumsum(length) - length)
+    content = np.empty(len(runs), np.uint64)
+    for i, j in pieces(length + GRAM - 1):
+        own, size = length[i:j], length[i:j] + GRAM - 1
+        h = gram_hashes(data[spread(at[runs[i:j]], size)])[spread(np.cumsum(size) - size, own)]
+        h *= power[spread(np.zeros(j - i, np.int64), own)]
+        content[i:j] = np.add.reduceat(h, np.cumsum(own) - own)
     order = np.lexsort((doc[runs], n[runs], content, gram[runs]))
-    runs, first, content = runs[order], first[order], content[order]
+    runs, content = runs[order], content[order]
     same = (gram[runs][1:] == gram[runs][:-1]) & (content[1:] == content[:-1]) & (n[runs][1:] == n[runs][:-1])
     head = np.append(True, ~same)
     cls = np.cumsum(head) - 1
     heads = runs[head]
     later = doc[runs] > doc[heads][cls]
     out[spread(begin[runs[later]], n[runs[later]])] = True
-    # the rest: suffix by suffix
+    # the rest: suffix by suffix, some groups at a time
     stay, _ = several(gram[heads], doc[heads])
-    if not stay.any():
-        return out
     rest = heads[stay]
-    number = np.cumsum(np.append(0, gram[rest][1:] != gram[rest][:-1]))
-    found = repeated_suffixes(copy, spread(first[head][stay], n[rest]), np.repeat(doc[rest], n[rest]), np.repeat(number, n[rest]), depth)
-    out[spread(begin[rest], n[rest])] = found
+    border = np.append(True, gram[rest][1:] != gram[rest][:-1]) if len(rest) else None
+    for i, j in pieces(n[rest] + depth - 1, border):
+        own = rest[i:j]
+        size = n[own] + depth - 1
+        copy = data[spread(at[own], size)]
+        found = repeated_suffixes(copy, spread(np.cumsum(size) - size, n[own]), np.repeat(doc[own], n[own]), np.repeat(np.cumsum(border[i:j]), n[own]), depth)
+        out[spread(begin[own], n[own])] = found
     twin = runs[~later & ~head & stay[cls]]
     of = heads[cls][~later & ~head & stay[cls]]
     out[spread(begin[twin], n[twin])] = out[spread(begin[of], n[of])]
     return out
 
 
+def pieces(sizes: np.ndarray, border: np.ndarray | None = None, most: int = PIECE) -> list[tuple[int, int]]:
+    """Ranges of at most ``most`` in all, or of one; they start at borders."""
+    starts = np.arange(len(sizes)) if border is None else np.flatnonzero(border)
+    if not len(starts):
+        return []
+    before = np.append((np.cumsum(sizes) - sizes)[starts], np.sum(sizes))
+    cuts, at = [0], 0
+    while (at := max(at + 1, int(np.searchsorted(before, before[at] + most, side="right")) - 1)) < len(starts):
+        cuts.append(at)
+    return list(zip(starts[cuts].tolist(), [*starts[cuts[1:]].tolist(), len(sizes)], strict=True))
+
+
 def packed(values: np.ndarray) -> bytes:
     """Compressed, with the bytes of each weight side by side."""
     values = np.ascontiguousarray(values)
