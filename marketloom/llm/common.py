@@ -52,14 +52,15 @@ def row_key(text: str = "text"):
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def by_batch(make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: pa.Schema) -> Callable:
+def by_batch(make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: pa.Schema, rows: int = 1024) -> Callable:
     """A function for mapInArrow: ``make`` runs once a task and gives the
-    function that turns a batch into columns."""
+    function that turns a batch, in slices of ``rows``, into columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            if batch.num_rows and (out := work(batch)) is not None:
+            for at in range(0, batch.num_rows, rows):
+                out = work(batch.slice(at, rows))
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
     return run

@@ -32,8 +32,8 @@ from marketloom.llm.common import by_batch, plain, written
 
 CAPACITY = 2048
 END = 0
-#: Words whose ids a task remembers; longer ones than this are not remembered.
-CACHE, CACHED_WORD = 1_000_000, 40
+#: Words whose ids a task remembers, and as many older ones; longer ones than this are not remembered.
+CACHE, CACHED_WORD = 250_000, 40
 
 
 def default_tokenizer() -> str:
@@ -53,7 +53,7 @@ def encoder(path: str) -> callable:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer, cache = Tokenizer.from_file(path), {"": b""}
+    tokenizer, cache, older = Tokenizer.from_file(path), {"": b""}, {}
     tokenize, names = tokenizer.model.tokenize, byte_names()
 
     def whole(words: list[str]) -> dict[str, bytes]:
@@ -63,12 +63,15 @@ def encoder(path: str) -> callable:
         """Ids of the parts too long to remember; the others go to the cache."""
         rest = []
         for w in new:
+            if w in older:
+                cache[w] = older[w]
+                continue
             core = w.rstrip(".,")
             if len(w) > CACHED_WORD or not core.isalpha() or max(core) > "\xff":
                 rest.append(w)
                 continue
             low, tail = core.lower(), w[len(core) :]
-            if (ids := cache.get(low)) is None:
+            if (ids := cache.get(low, older.get(low))) is None:
                 cache[low] = ids = array("I", [t.id for t in tokenize(low.encode().decode("latin-1").translate(names))]).tobytes()
             if tail:
                 if tail not in cache:
@@ -81,6 +84,8 @@ def encoder(path: str) -> callable:
 
     def encode(texts: list[str]) -> list[bytes]:
         if len(cache) > CACHE:
+            older.clear()
+            older.update(cache)
             cache.clear()
             cache[""] = b""
         parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]

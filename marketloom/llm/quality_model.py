@@ -52,7 +52,7 @@ def content(text: str, known: dict[str, tuple[int, int]]) -> tuple[np.ndarray, n
     counts: Counter = Counter()
     for w, n in Counter(words).items():
         if (ids := known.get(w)) is None:
-            if len(known) > 200_000:
+            if len(known) > 100_000:
                 known.clear()
             known[w] = ids = (hashed("w" + w.lower().strip(".,!?")), hashed("s" + shape(w)))
         for i in ids:

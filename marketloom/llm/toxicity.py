@@ -69,7 +69,7 @@ def _counted() -> callable:
 def vocabulary(training: DataFrame, toxic: int, clean: int, size: int = VOCABULARY) -> list[str]:
     """The features whose document counts differ most between the classes."""
     schema = pa.schema([("feature", pa.string()), ("clean", pa.int64()), ("toxic", pa.int64())])
-    counts = training.mapInArrow(by_batch(_counted, schema), "feature string, clean long, toxic long")
+    counts = training.mapInArrow(by_batch(_counted, schema, 256), "feature string, clean long, toxic long")
     n, t = float(toxic + clean), toxic / float(toxic + clean)
     a, b = F.col("toxic"), F.col("clean")
 
