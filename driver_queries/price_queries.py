@@ -319,9 +319,9 @@ add(
 
 
 def _nlp(s, d):
-    scaled = indicators.risk_indicators(t.ordered_returns(s, d), block=8, assets=t.assets(s, d))
-    names = t.assets(s, d).select(F.concat("ticker", F.lit("_volatility")).alias("feature"), "asset_order")
-    vol = scaled.join(names, "feature").select(F.col("month_end").alias("date"), "asset_order", "value")
+    table = indicators.indicator_table(t.returns(s, d)).select("ticker", "month_end", F.col("volatility").alias("value"))
+    scaled = indicators.minmax_normalize(table, "ticker").withColumn("value", rounding("value", 4))
+    vol = scaled.join(t.assets(s, d), "ticker").select(F.col("month_end").alias("date"), "asset_order", "value")
     sent = t.monthly_sentiment(s, d).join(t.assets(s, d), "ticker").select(
         F.last_day(F.to_date(F.concat("month", F.lit("-01")))).alias("date"), "asset_order",
         F.col("sentiment_weighted").alias("value"),

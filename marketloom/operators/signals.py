@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.scalars import gain_loss
-from marketloom.functions.windows import rolling_avg, rolling_std, series
+from marketloom.functions.windows import rolling_avg, rolling_std, series, so_far
 from marketloom.operators.indicators import cumulative_growth
 from marketloom.operators.reshape import pct_change
 
@@ -27,34 +26,47 @@ def add_rsi(df: DataFrame, price: str = "close", n: int = 14, output: str = "rsi
     )
 
 
-def _grouped_ewm(df: DataFrame, price: str, columns: list[str], work) -> DataFrame:
-    """Per-ticker recursion: one ticker's daily history (bounded by the
-    calendar) per group, Arrow in and out."""
-    types = dict(df.dtypes)
-    kept = ["ticker", "date", price]
-    schema = ", ".join([f"`{c}` {types[c]}" for c in kept] + [f"{c} double" for c in columns])
-    return df.where(F.col(price).isNotNull()).select(*kept).groupBy("ticker").applyInPandas(work, schema)
+#: Rows of a block of the exponential means. Within one, weights span less than a
+#: double's range for every span from 2 on.
+BLOCK = 256
 
 
-def ema(df: DataFrame, span: int, price: str = "close", output: str = "ema") -> DataFrame:
-    """Exponential mean with alpha = 2 / (span + 1), seeded with the first value."""
+def with_ema(df: DataFrame, value: str, span: int, output: str) -> DataFrame:
+    """Adds the exponential mean of a column without NULLs, per ticker.
+
+    A mean is a running sum of values weighted by powers of 1 - alpha. It runs
+    within blocks of rows, so that the powers stay in range, and each block starts
+    from what the blocks before it end in, folded over their short list. All windows
+    share one exchange on ticker.
+    """
+    alpha = 2.0 / (span + 1)
+    rest = 1.0 - alpha
+    if rest == 0.0:
+        return df.withColumn(output, F.col(value).cast("double"))
+    row, block, at = "_row", "_block", "_at"
+    rows = df.withColumn(row, F.row_number().over(series()) - 1)
+    rows = rows.withColumn(block, F.floor(F.col(row) / BLOCK)).withColumn(at, F.col(row) % BLOCK)
+    share = F.when(F.col(row) == 0, F.col(value)).otherwise(F.col(value) * alpha)
+    inside = so_far(["ticker", block])
+    power = F.pow(F.lit(rest), F.col(at))
+    rows = rows.withColumn("_own", power * F.sum(share / power).over(inside))
+    ends = F.collect_list(F.when(F.col(at) == BLOCK - 1, F.col("_own"))).over(series().rowsBetween(Window.unboundedPreceding, -1))
+    start = F.aggregate(ends, F.lit(0.0), lambda held, end: held * rest**BLOCK + end)
+    return rows.withColumn(output, F.col("_own") + power * rest * start).drop(row, block, at, "_own")
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        return pdf.assign(**{output: pdf[price].ewm(span=span, adjust=False).mean()})
 
-    return _grouped_ewm(df, price, [output], work)
+def ema(df: DataFrame, span: int, price: str = "close", output: str = "ema") -> DataFrame:
+    """Exponential mean with alpha = 2 / (span + 1), seeded with the first value."""
+    known = df.where(F.col(price).isNotNull()).select("ticker", "date", price)
+    return with_ema(known, price, span, output)
 
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, price: str = "close") -> DataFrame:
     """Fast minus slow exponential mean, and its own exponential mean."""
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        line = pdf[price].ewm(span=fast, adjust=False).mean() - pdf[price].ewm(span=slow, adjust=False).mean()
-        return pdf.assign(macd=line, signal=line.ewm(span=signal, adjust=False).mean())
-
-    return _grouped_ewm(df, price, ["macd", "signal"], work)
+    known = df.where(F.col(price).isNotNull()).select("ticker", "date", price)
+    both = with_ema(with_ema(known, price, fast, "_fast"), price, slow, "_slow")
+    line = both.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
+    return with_ema(line, "macd", signal, "signal")
 
 
 def sma(price: str = "close", n: int = 50) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marketloom import session
 from marketloom.functions import scalars, stats
 from marketloom.functions.windows import rolling_std
-from marketloom.operators import articles, portfolio, reshape
+from marketloom.operators import articles, portfolio, reshape, signals
 
 PRICES = "ticker string, date date, close double"
 
@@ -95,3 +95,15 @@ def test_scratch_must_be_shared_off_this_machine(monkeypatch):
 def test_p_values_of_whole_arrays():
     got = stats.two_sided_p(np.array([1.0, 0.0, 0.5, np.nan, 0.3, 0.01, 0.9]), np.array([10, 10, 10, 10, 1, 1e7, 2]))
     assert got[0] == 0.0 and got[1] == 1.0 and got[2] == pytest.approx(0.14111, abs=1e-5) and np.isnan(got[3]) and np.isnan(got[4]) and got[5] < 1e-200 and got[6] == 1.0
+
+
+@pytest.mark.parametrize("span", [1, 2, 9, 26])
+def test_exponential_means_over_many_blocks(spark, span):
+    rng = np.random.default_rng(2)
+    rows = [(t, dt.date(2000, 1, 1) + dt.timedelta(days=i), float(v)) for t, n in (("A", 1100), ("B", 256), ("C", 1)) for i, v in enumerate(np.cumsum(rng.normal(size=n)) + 50)]
+    df = spark.createDataFrame([*rows, ("A", dt.date(2004, 1, 1), None)], PRICES)
+    got = signals.ema(df, span).toPandas().sort_values(["ticker", "date"])
+    want = got.groupby("ticker")["close"].transform(lambda x: x.ewm(span=span, adjust=False).mean())
+    np.testing.assert_allclose(got["ema"], want, rtol=1e-10)
+    text = signals.macd(df)._jdf.queryExecution().toString()
+    assert "Python" not in text and "Pandas" not in text
