@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from marketloom.llm.common import plain
 
 #: A repeat has this many words at least; the part of the words it may cover; the longest that may be.
-LEAST, COVERED, LONGEST = 8, 0.2, 100
+LEAST, COVERED, LONGEST = 8, 0.4, 100
 CHUNK = 200_000
 SPACE = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
