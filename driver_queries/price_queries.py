@@ -88,11 +88,11 @@ add(
     lambda s, d: reshape.wide_to_long(
         t.load(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax"),
         ["l_orderkey", "l_linenumber"], key="measure",
-    ).groupBy("measure").agg(F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")),
-    "measure n lo:f6 hi:f6",
-    """q AS (SELECT measure, count(value) AS n, min(value) AS lo, max(value) AS hi FROM (
-      SELECT 'l_quantity' AS measure, l_quantity AS value FROM lineitem UNION ALL SELECT 'l_discount', l_discount FROM lineitem
-      UNION ALL SELECT 'l_tax', l_tax FROM lineitem) GROUP BY 1)""",
+    ),
+    "l_orderkey l_linenumber measure value:f6",
+    """q AS (SELECT l_orderkey, l_linenumber, 'l_quantity' AS measure, l_quantity AS value FROM lineitem
+      UNION ALL SELECT l_orderkey, l_linenumber, 'l_discount', l_discount FROM lineitem
+      UNION ALL SELECT l_orderkey, l_linenumber, 'l_tax', l_tax FROM lineitem)""",
 )
 add("month_end_price", t.monthly, "ticker month_end:d price:f2", [MONTHLY, "q AS (SELECT * FROM monthly)"])
 add("monthly_log_return", t.returns, "ticker month_end:d price:f2 log_return:f2", [RETURNS, "q AS (SELECT * FROM returns)"])
@@ -110,13 +110,20 @@ add(
     "ticker date:d close:f2",
     [DENSE, "q AS (SELECT ticker, date, coalesce(close, 0) AS close FROM dense)"],
 )
+
+
+def _aligned(s, d):
+    """Both outputs, told apart by ``side``."""
+    left, right = reshape.align_dates(t.prices(s, d), t.articles(s, d).select("date", "article_id"))
+    return left.select(F.lit("left").alias("side"), "date", F.col("ticker").alias("key"), F.col("close").alias("value")).union(
+        right.select(F.lit("right"), F.to_date("date"), F.col("article_id").cast("string"), F.lit(None).cast("double"))
+    )
+
+
 add(
-    "align_dates",
-    lambda s, d: reshape.align_dates(
-        t.prices(s, d), t.articles(s, d).select("date", "article_id")
-    )[0].groupBy("date").agg(F.count(F.lit(1)).alias("n")),
-    "date:d n",
-    [PRICES, t.ARTICLES, "q AS (SELECT date, count(*) AS n FROM prices WHERE date IN (SELECT date FROM articles) GROUP BY 1)"],
+    "align_dates", _aligned, "side date:d key value:f2",
+    [PRICES, t.ARTICLES, """q AS (SELECT 'left' AS side, date, ticker AS key, close AS value FROM prices WHERE date IN (SELECT CAST(date AS DATE) FROM articles)
+      UNION ALL SELECT 'right', CAST(date AS DATE), CAST(article_id AS VARCHAR), NULL FROM articles WHERE CAST(date AS DATE) IN (SELECT date FROM prices))"""],
 )
 add(
     "split_by_date",

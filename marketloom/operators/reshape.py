@@ -132,8 +132,11 @@ def month_end_price(df: DataFrame, price: str = "close", digits: int | None = 2)
 
 
 def monthly_log_return(monthly: DataFrame, digits: int | None = 2) -> DataFrame:
-    """Log return between consecutive month ends; the first month is dropped."""
-    out = log_return(monthly, "price", "log_return", order="month_end").where(F.col("log_return").isNotNull())
+    """Log return between consecutive month ends. The first month is dropped, and so
+    is one that follows a month without a price: its return would span two."""
+    before = F.lag("month_end").over(series(order="month_end"))
+    value = F.when(before == F.last_day(F.add_months("month_end", -1)), F.ln(change_ratio("price", order="month_end")))
+    out = monthly.withColumn("log_return", value).where(F.col("log_return").isNotNull())
     return out if digits is None else out.withColumn("log_return", rounding("log_return", digits))
 
 

@@ -40,6 +40,12 @@ def test_densify_rejects_two_prices_of_a_day(spark):
         reshape.densify(spark.createDataFrame(rows, PRICES)).collect()
 
 
+def test_no_return_spans_a_month_without_prices(spark):
+    rows = [("A", dt.date(2024, 1, 31), 1.0), ("A", dt.date(2024, 2, 29), 2.0), ("A", dt.date(2024, 4, 30), 3.0), ("A", dt.date(2024, 5, 31), 6.0)]
+    df = spark.createDataFrame(rows, "ticker string, month_end date, price double")
+    assert [(r.month_end.month, r.log_return) for r in reshape.monthly_log_return(df).orderBy("month_end").collect()] == [(2, 0.69), (5, 0.69)]
+
+
 def test_portfolio_holds_until_the_next_weight_date(spark):
     prices = [("A", day(28, m), 100.0 * 1.1 ** (m - 1)) for m in range(1, 8)]
     weights = [("p", day(28, 1), "A", 1.0), ("p", day(28, 4), "A", 1.0)]
