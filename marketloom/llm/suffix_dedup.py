@@ -274,17 +274,19 @@ def _gram_place(heads: np.ndarray, value: np.ndarray, width: int) -> np.ndarray:
     return np.argmax(h == value[:, None], axis=1)
 
 
-SPANS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("spans", pa.binary())])
+#: What a bucket says to the documents of a group: (first, number) of repeated suffixes.
+SPANS = pa.schema([("group", pa.int64()), ("docs", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))] + [(c, pa.binary()) for c in ("per_doc", "start", "n")])
+SPANS_DDL = "group long, docs array<long>, keys array<long>, per_doc binary, start binary, n binary"
 
 
-def _settled(depth: int) -> callable:
+def _settled(groups: int, depth: int) -> callable:
     def run(table: pa.Table) -> pa.Table:
         docs, keys, start, n, gram, data, of = [], [], [], [], [], [], []
-        out: list[tuple[int, int, bytes]] = []
+        found: list[tuple[int, int, np.ndarray, np.ndarray]] = []
         for row in (r for b in table.to_batches() for r in b.to_pylist()):
             s, m = unpacked(row["start"], "<i8"), unpacked(row["n"], "<i8")
             if row["data"] is None:
-                out.append((row["docs"][0], row["keys"][0], np.stack([s, m]).tobytes()))
+                found.append((row["docs"][0], row["keys"][0], s, m))
                 continue
             of.append(np.repeat(np.arange(len(docs), len(docs) + len(row["docs"])), unpacked(row["per_doc"], "<i4")))
             docs += row["docs"]
@@ -309,71 +311,84 @@ def _settled(depth: int) -> callable:
                 first, count, owner = place[head], np.diff(np.append(head, len(place))), run_of[head]
                 cut = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
                 for i, j in zip(cut, np.append(cut[1:], len(owner)), strict=True):
-                    out.append((docs[owner[i]], keys[owner[i]], np.stack([first[i:j], count[i:j]]).tobytes()))
-        columns = list(zip(*out, strict=True)) or [[], [], []]
+                    found.append((docs[owner[i]], keys[owner[i]], first[i:j], count[i:j]))
+        by_group: dict[int, list] = {}
+        for f in found:
+            by_group.setdefault((f[0] ^ f[1]) % groups, []).append(f)
+        rows = []
+        for group, own in by_group.items():
+            per, first, count = np.array([len(f[2]) for f in own], "<i4"), np.concatenate([f[2] for f in own]), np.concatenate([f[3] for f in own])
+            rows.append((group, [f[0] for f in own], [f[1] for f in own], packed(per), packed(first), packed(count)))
+        columns = list(zip(*rows, strict=True)) or [[] for _ in SPANS]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, SPANS, strict=True)], schema=SPANS)
 
     return run
 
 
-def repeated_spans(docs: DataFrame, depth: int = DEPTH, unit: int = UNIT, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, text_key, spans): packed (first, number) of the suffixes of a
-    document whose first ``depth`` bytes start in a smaller document, too."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows = docs.where("doc_id IS NOT NULL")
-    dealt = rows.mapInArrow(_dealt(max(1, math.ceil(total / bucket)), unit, depth), BLOCK_DDL)
-    return dealt.groupBy("bucket").applyInArrow(_settled(depth), "doc_id long, text_key long, spans binary")
+def parts_of(docs: DataFrame, size: int = BUCKET) -> int:
+    """Buckets, and groups of documents, of about ``size`` bytes of text."""
+    return max(1, math.ceil((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / size))
+
+
+def repeated_spans(docs: DataFrame, parts: int, depth: int = DEPTH, unit: int = UNIT) -> DataFrame:
+    """For each bucket and group of documents, packed: the suffixes whose first
+    ``depth`` bytes start in a smaller document, too."""
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text_key", "text")
+    dealt = rows.mapInArrow(_dealt(parts, unit, depth), BLOCK_DDL)
+    return dealt.groupBy("bucket").applyInArrow(_settled(parts, depth), SPANS_DDL)
 
 
 def _compressed() -> callable:
     def work(batch: pa.RecordBatch) -> dict:
         zipped = zstandard.ZstdCompressor(level=LEVEL)
         raw = [zipped.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch["text"]]
-        return {"doc_id": batch["doc_id"], "text_key": batch["text_key"], "raw": raw}
+        return {"group": batch["group"], "doc_id": batch["doc_id"], "text_key": batch["text_key"], "raw": raw}
 
     return work
 
 
-def _kept(depth: int) -> callable:
-    def make() -> callable:
-        def work(batch: pa.RecordBatch) -> dict:
-            out: dict = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept")}
-            unzip = zstandard.ZstdDecompressor()
-            for raw, spans in zip(batch["raw"].to_pylist(), batch["spans"], strict=True):
-                raw = unzip.decompress(raw)
-                edge = np.zeros(len(raw) + 1, np.int32)
-                for packed_spans in spans.as_py() or ():
-                    first, n = np.frombuffer(packed_spans, "<i8").reshape(2, -1)
-                    np.add.at(edge, first, 1)
-                    np.add.at(edge, first + n + depth - 1, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                out["n_bytes"].append(len(raw))
-                out["n_removed"].append(int(gone.sum()))
-                out["n_spans"].append(int((np.diff(gone.view(np.int8), prepend=0) == 1).sum()))
-                out["kept"].append(np.frombuffer(raw, np.uint8)[~gone].tobytes() if gone.any() else raw)
-            return out | {"doc_id": batch["doc_id"]}
+def _kept(schema: pa.Schema, depth: int, digest: bool) -> callable:
+    def run(texts: pa.Table, spans: pa.Table) -> pa.Table:
+        gone_of: dict[tuple[int, int], list] = {}
+        for row in (r for b in spans.to_batches() for r in b.to_pylist()):
+            ends = np.cumsum(unpacked(row["per_doc"], "<i4"))
+            first, n = unpacked(row["start"], "<i8"), unpacked(row["n"], "<i8")
+            for doc, key, i, j in zip(row["docs"], row["keys"], [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                gone_of.setdefault((doc, key), []).append((first[i:j], n[i:j]))
+        out: dict = {f.name: [] for f in schema}
+        unzip = zstandard.ZstdDecompressor()
+        for doc, key, zipped in zip(texts["doc_id"].to_pylist(), texts["text_key"].to_pylist(), texts["raw"], strict=True):
+            raw = unzip.decompress(zipped.as_py())
+            edge = np.zeros(len(raw) + 1, np.int32)
+            for first, n in gone_of.get((doc, key), ()):
+                np.add.at(edge, first, 1)
+                np.add.at(edge, first + n + depth - 1, -1)
+            gone = np.cumsum(edge[:-1]) > 0
+            kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if gone.any() else raw
+            row = (doc, len(raw), int(gone.sum()), int((np.diff(gone.view(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest() if digest else kept)
+            for c, v in zip(out, row, strict=True):
+                out[c].append(v)
+        return pa.table([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
-        return work
-
-    return make
+    return run
 
 
-def remove_repeats(docs: DataFrame, depth: int = DEPTH, digest: bool = False, **sizes: int) -> DataFrame:
+def remove_repeats(docs: DataFrame, depth: int = DEPTH, digest: bool = False, unit: int = UNIT, bucket: int = BUCKET) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the bytes that are kept (with
-    ``digest`` their SHA-256) of every document."""
+    ``digest`` their SHA-256) of every document.
+
+    Documents are dealt to as many groups as there are buckets, by id and text, so
+    a bucket answers each group with one row, and copies spread over all groups.
+    """
     df = plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text_key", row_key())
-    spans = repeated_spans(df, depth, **sizes).groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("spans"))
-    raw = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("raw", pa.binary())])
-    rows = df.mapInArrow(by_batch(_compressed, raw), "doc_id long, text_key long, raw binary")
-    rows = rows.join(spans.hint("shuffle_hash"), ["doc_id", "text_key"], "left").select("doc_id", "raw", "spans")
-    last = pa.string() if digest else pa.binary()
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", last)])
-
-    def make() -> callable:
-        work = _kept(depth)()
-        return (lambda b: (o := work(b)) | {"kept": [hashlib.sha256(k).hexdigest() for k in o["kept"]]}) if digest else work
-
-    return rows.mapInArrow(by_batch(make, schema), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}")
+    parts = parts_of(df, bucket)
+    group = F.pmod(F.coalesce("doc_id", F.lit(0)).bitwiseXOR(F.col("text_key")), F.lit(parts).cast("long"))
+    raw = pa.schema([("group", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("raw", pa.binary())])
+    texts = df.withColumn("group", group).mapInArrow(by_batch(_compressed, raw), "group long, doc_id long, text_key long, raw binary")
+    spans = repeated_spans(df, parts, depth, unit)
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string() if digest else pa.binary())])
+    ddl = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}"
+    return texts.groupBy("group").cogroup(spans.groupBy("group")).applyInArrow(_kept(schema, depth, digest), ddl)
 
 
 def suffix_dedup_report(docs: DataFrame) -> DataFrame:
