@@ -62,6 +62,8 @@ def by_batch(make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: pa.Sc
             for at in range(0, batch.num_rows, rows):
                 out = work(batch.slice(at, rows))
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+        # the worker lives on and would keep what it freed
+        pa.default_memory_pool().release_unused()
 
     return run
 
