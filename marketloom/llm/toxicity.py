@@ -46,13 +46,17 @@ def word_features(word: str) -> tuple[str, ...]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = TRAINING_PER_CLASS) -> DataFrame:
-    """(text, y) of labelled documents, ``per_class`` of each class at most.
-    A doc_id with several labels counts as toxic if any of them says so."""
+    """(text, y, weight) of labelled documents, ``per_class`` of each class at most.
+    ``weight`` is how many labels of its class a sampled one stands for, so the
+    classes keep their ratio whatever the cap. A doc_id with several labels
+    counts as toxic if any of them says so."""
     y = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("training"))
     chosen = y.where("y = 1").orderBy(order).limit(per_class).union(y.where("y = 0").orderBy(order).limit(per_class))
-    # 2 * per_class rows of two numbers at most, whatever the size of the input
-    return plain(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y")
+    full = y.groupBy("y").agg((F.count("*") / F.least(F.count("*"), F.lit(per_class))).alias("weight"))
+    # 2 * per_class rows of three numbers at most, whatever the size of the input
+    chosen = chosen.join(F.broadcast(full), "y")
+    return plain(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y", "weight")
 
 
 def _counted() -> callable:
@@ -85,7 +89,7 @@ def vocabulary(training: DataFrame, toxic: int, clean: int, size: int = VOCABULA
 def _encoded(index: dict[str, int]) -> callable:
     def make() -> callable:
         def work(batch: pa.RecordBatch) -> dict:
-            out = {"y": batch["y"].to_pylist(), "plain": [], "features": []}
+            out = {"y": batch["y"], "weight": batch["weight"], "plain": [], "features": []}
             for text in batch["text"].to_pylist():
                 sentences = [[index[f] for w in s.split() for f in word_features(w) if f in index] for s in SENTENCE.split(text.lower())]
                 full = [s for s in sentences if s]
@@ -109,8 +113,8 @@ def fit(training: DataFrame, size: int = VOCABULARY, steps: int = 300, l2: float
         return {}
     names = vocabulary(training, n[1], n[0], size)
     index = {f: i for i, f in enumerate(names)}
-    schema = pa.schema([("y", pa.int32()), ("plain", pa.int64()), ("features", pa.list_(pa.list_(pa.int32())))])
-    rows = training.mapInArrow(by_batch(_encoded(index), schema), "y int, plain long, features array<array<int>>").toArrow()
+    schema = pa.schema([("y", pa.int32()), ("weight", pa.float64()), ("plain", pa.int64()), ("features", pa.list_(pa.list_(pa.int32())))])
+    rows = training.mapInArrow(by_batch(_encoded(index), schema), "y int, weight double, plain long, features array<array<int>>").toArrow()
     y, empty = rows["y"].to_numpy(), rows["plain"].to_numpy().astype(float)
     bags = rows["features"].combine_chunks()
     sentences = bags.flatten()
@@ -118,7 +122,7 @@ def fit(training: DataFrame, size: int = VOCABULARY, steps: int = 300, l2: float
     of = np.repeat(np.arange(len(sentences)), pc.list_value_length(sentences))
     feature = sentences.flatten().to_numpy()
     weight, bias = np.zeros(len(names)), -4.0
-    each = np.full(len(y), 1 / len(y))
+    each = rows["weight"].to_numpy() / rows["weight"].to_numpy().sum()
     grown = [np.zeros(len(names) + 1), np.zeros(len(names) + 1)]
     for step in range(1, steps + 1):
         z = bias + np.bincount(of, weight[feature], len(bag))

@@ -443,6 +443,20 @@ def test_toxic_sentences(spark):
     assert toxicity.fit(toxicity.training_rows(docs, labels.where("toxic = 0"))) == {}
 
 
+def test_toxicity_cap_keeps_the_class_ratio(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(1800):
+        toxic = i % 9 == 0
+        words = ["gronk"] * (toxic and rng.random() < 0.7) + ["meh"] * bool(rng.random() < (0.6 if toxic else 0.15))
+        rows.append((i, f"Nice weather in town {i}. {' '.join(words)} See you soon.", int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    whole, capped = (toxicity.scorer(toxicity.fit(toxicity.training_rows(df, df, per_class=n))) for n in (8000, 200))
+    for text in ("See you soon.", "So meh. See you soon.", "You gronk. See you soon."):
+        a, b = whole(text)[0], capped(text)[0]
+        assert abs(a - b) < 0.1 and (a >= 0.5) == (b >= 0.5), (text, a, b)
+
+
 def test_empty_tables(spark):
     docs = table(spark, SF, "documents").limit(0)
     labels, items, pages = (table(spark, SF, n).limit(0) for n in ("labels", "benchmark", "pages"))
