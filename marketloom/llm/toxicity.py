@@ -1,7 +1,10 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. Each sentence has a logistic score, and the
-document's score is their noisy-or, 1 - prod(1 - p). Only documents have labels:
+A document is a bag of sentences. The document's score is a noisy-or: the bias, once
+a document, and what each sentence adds to it,
+1 - (1 - p0) * prod(min(1, (1 - p) / (1 - p0))), with p the sentence's logistic score
+and p0 that of the bias alone. For one sentence that is p; a sentence without evidence,
+or with evidence against, adds nothing however many there are. Only documents have labels:
 the gradient of the document's log-loss reaches the sentences through the
 noisy-or, so the sentences that explain a toxic label get high scores and can be
 pointed out afterwards.
@@ -89,12 +92,10 @@ def vocabulary(training: DataFrame, toxic: int, clean: int, size: int = VOCABULA
 def _encoded(index: dict[str, int]) -> callable:
     def make() -> callable:
         def work(batch: pa.RecordBatch) -> dict:
-            out = {"y": batch["y"], "weight": batch["weight"], "plain": [], "features": []}
+            out = {"y": batch["y"], "weight": batch["weight"], "features": []}
             for text in batch["text"].to_pylist():
                 sentences = [[index[f] for w in s.split() for f in word_features(w) if f in index] for s in SENTENCE.split(text.lower())]
-                full = [s for s in sentences if s]
-                out["plain"].append(len(sentences) - len(full))
-                out["features"].append(full)
+                out["features"].append([s for s in sentences if s])
             return out
 
         return work
@@ -113,9 +114,9 @@ def fit(training: DataFrame, size: int = VOCABULARY, steps: int = 300, l2: float
         return {}
     names = vocabulary(training, n[1], n[0], size)
     index = {f: i for i, f in enumerate(names)}
-    schema = pa.schema([("y", pa.int32()), ("weight", pa.float64()), ("plain", pa.int64()), ("features", pa.list_(pa.list_(pa.int32())))])
-    rows = training.mapInArrow(by_batch(_encoded(index), schema), "y int, weight double, plain long, features array<array<int>>").toArrow()
-    y, empty = rows["y"].to_numpy(), rows["plain"].to_numpy().astype(float)
+    schema = pa.schema([("y", pa.int32()), ("weight", pa.float64()), ("features", pa.list_(pa.list_(pa.int32())))])
+    rows = training.mapInArrow(by_batch(_encoded(index), schema), "y int, weight double, features array<array<int>>").toArrow()
+    y = rows["y"].to_numpy()
     bags = rows["features"].combine_chunks()
     sentences = bags.flatten()
     bag = np.repeat(np.arange(len(bags)), pc.list_value_length(bags))
@@ -125,13 +126,14 @@ def fit(training: DataFrame, size: int = VOCABULARY, steps: int = 300, l2: float
     each = rows["weight"].to_numpy() / rows["weight"].to_numpy().sum()
     grown = [np.zeros(len(names) + 1), np.zeros(len(names) + 1)]
     for step in range(1, steps + 1):
-        z = bias + np.bincount(of, weight[feature], len(bag))
-        p, p0 = 1 / (1 + np.exp(-np.clip(z, -30, 30))), 1 / (1 + math.exp(-bias))
-        log_clean = np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y)) + empty * math.log1p(-p0)
+        z = np.bincount(of, weight[feature], len(bag))
+        p, p0 = 1 / (1 + np.exp(-np.clip(bias + np.maximum(z, 0), -30, 30))), 1 / (1 + math.exp(-bias))
+        log_p0 = math.log1p(-p0)
+        log_clean = log_p0 + np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-12)) - log_p0, len(y))
         score = np.clip(-np.expm1(log_clean), 1e-12, 1)
         push = each * np.where(y == 1, (1 - score) / score, -1.0)
-        d = push[bag] * p
-        gradient = np.append(np.bincount(feature, d[of], len(names)) - l2 * weight, d.sum() + (push * empty).sum() * p0)
+        d = push[bag] * p * (z >= 0)
+        gradient = np.append(np.bincount(feature, d[of], len(names)) - l2 * weight, push.sum() * p0 + (push[bag] * (p - p0)).sum())
         for k, (keep, now) in enumerate(((0.9, gradient), (0.99, gradient**2))):
             grown[k] = keep * grown[k] + (1 - keep) * now
         move = 0.1 * (grown[0] / (1 - 0.9**step)) / (np.sqrt(grown[1] / (1 - 0.99**step)) + 1e-9)
@@ -143,7 +145,7 @@ def fit(training: DataFrame, size: int = VOCABULARY, steps: int = 300, l2: float
 def scorer(model: dict) -> callable:
     """text -> (score, [(start, end, sentence score)])."""
     bias, cache = model.get("", 0.0), {}
-    base = 1 / (1 + math.exp(-bias))
+    base = math.log1p(-1 / (1 + math.exp(-bias)))
 
     def known(word: str) -> float:
         if len(cache) >= CACHE:
@@ -155,15 +157,17 @@ def scorer(model: dict) -> callable:
         if not model:
             return PRIOR, []
         low = text.lower()
-        same, at, clean, found = len(low) == len(text), 0, 0.0, []
+        same, at, clean, found = len(low) == len(text), 0, base, []
         for s in SENTENCE.split(low):
             words = s.split()
             try:
                 z = sum(map(cache.__getitem__, words))
             except KeyError:
                 z = sum(cache[w] if w in cache else known(w) for w in words)
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, bias + z)))) if z else base
-            clean += math.log1p(-min(p, 1 - 1e-12))
+            if z <= 0:
+                continue
+            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, bias + z))))
+            clean += math.log1p(-min(p, 1 - 1e-12)) - base
             if p >= 0.5:
                 at = low.index(s, at)
                 found.append((at, at + len(s), p) if same else (None, None, p))

@@ -457,6 +457,20 @@ def test_toxicity_cap_keeps_the_class_ratio(spark):
         assert abs(a - b) < 0.1 and (a >= 0.5) == (b >= 0.5), (text, a, b)
 
 
+def test_toxicity_of_long_clean_text(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = toxicity.contract_model(docs, labels)
+    texts = [r.text for r in docs.join(labels.where("toxic = 0"), "doc_id").select("text").collect() if r.text]
+    plain = [s for t in texts for s in toxicity.SENTENCE.split(t.lower()) if s.strip() and not any(f in model for w in s.split() for f in toxicity.word_features(w))]
+    long = ". ".join(plain) + "."
+    score = toxicity.scorer(model)
+    assert len(plain) > 50_000 and score(long)[0] == pytest.approx(score("")[0])
+    insult = max((f for f in model if f and f[0] != "^"), key=model.get)
+    assert score(f"{long} {insult}.")[0] == pytest.approx(score(insult)[0]) and score(insult)[0] > 0.5
+    assert toxicity.score_toxicity(spark.createDataFrame([(1, long)], "doc_id long, text string"), model).first().score < 0.5
+
+
 def test_empty_tables(spark):
     docs = table(spark, SF, "documents").limit(0)
     labels, items, pages = (table(spark, SF, n).limit(0) for n in ("labels", "benchmark", "pages"))
