@@ -9,7 +9,9 @@ each view is calibrated (Platt) on labelled rows it was not fitted to, and the m
 the calibrated log-odds scores all documents.
 
 Fitting uses a bounded sample: ``LABELLED`` rows and a pool of ``POOL`` rows at most, by a
-hash; what reaches the driver are their hashed features. Scoring covers all rows.
+hash; what reaches the driver are their hashed features. A labelled row counts in the
+calibration and in the rate of pseudo-labels as the labels of its class that it stands
+for, so both keep the ratio of the classes. Scoring covers all rows.
 Null and empty texts, null source and language have their own features. Rows of one
 doc_id are scored one by one; a doc_id with several labels takes the lowest. Without
 labels of both classes every score is 0.5. Missing columns count as null, further ones
@@ -107,22 +109,23 @@ class View:
             weight = weight - 0.2 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
         self.weight, self.bias = weight[:-1], float(weight[-1])
 
-    def calibrate(self, y: np.ndarray, chosen: np.ndarray) -> None:
+    def calibrate(self, y: np.ndarray, chosen: np.ndarray, weight: np.ndarray) -> None:
         """Platt scaling: log-odds = scale * logit + shift, by Newton steps."""
-        z, y = self.logits()[chosen], y[chosen].astype(float)
+        z, y, each = self.logits()[chosen], y[chosen].astype(float), weight[chosen]
+        each = each * (len(each) / max(1e-9, each.sum()))
         a, b = 1.0, 0.0
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-            w = p * (1 - p) + 1e-6
-            g = np.array([((p - y) * z).sum() + 1e-3 * (a - 1), (p - y).sum()])
+            w, miss = each * (p * (1 - p) + 1e-6), each * (p - y)
+            g = np.array([(miss * z).sum() + 1e-3 * (a - 1), miss.sum()])
             h = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]])
             move = np.linalg.solve(h, g)
             a, b = a - move[0], b - move[1]
         self.scale, self.shift = max(0.0, float(a)), float(b)
 
 
-def co_train(views: tuple[View, View], y: np.ndarray, rounds: int = ROUNDS, per_round: float = PER_ROUND) -> None:
-    """``y``: 0 or 1, and -1 for the pool. A fifth of the labelled rows is kept for calibration."""
+def co_train(views: tuple[View, View], y: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS, per_round: float = PER_ROUND) -> None:
+    """``y``: 0 or 1, and -1 for the pool; ``weight``: labels a labelled row stands for. A fifth of the labelled rows is kept for calibration."""
     held = (y >= 0) & (np.arange(len(y)) % 5 == 4)
     own = [y.copy(), y.copy()]
     for k in range(rounds + 1):
@@ -131,7 +134,7 @@ def co_train(views: tuple[View, View], y: np.ndarray, rounds: int = ROUNDS, per_
         if k == rounds:
             break
         scores = [v.logits() for v in views]
-        rate = (y[y >= 0] == 1).mean()
+        rate = weight[y == 1].sum() / weight[y >= 0].sum()
         for teacher, pupil in ((0, 1), (1, 0)):
             pool = np.flatnonzero(own[pupil] < 0)
             order = pool[np.argsort(scores[teacher][pool], kind="stable")]
@@ -140,7 +143,7 @@ def co_train(views: tuple[View, View], y: np.ndarray, rounds: int = ROUNDS, per_
             own[pupil][low[scores[teacher][low] < 0]] = 0
             own[pupil][high[scores[teacher][high] > 0]] = 1
     for view in views:
-        view.calibrate(y, held)
+        view.calibrate(y, held, weight)
 
 
 def _features() -> callable:
@@ -148,7 +151,7 @@ def _features() -> callable:
         known: dict = {}
         c = [content(t or "", known) for t in batch["text"].to_pylist()]
         m = [metadata(*x) for x in zip(*(batch[n].to_pylist() for n in ("text", "lang", "source")), strict=True)]
-        return {"y": batch["y"], "c_ids": [i for i, _ in c], "c_values": [v for _, v in c], "m_ids": [i for i, _ in m]}
+        return {"y": batch["y"], "weight": batch["weight"], "c_ids": [i for i, _ in c], "c_values": [v for _, v in c], "m_ids": [i for i, _ in m]}
 
     return work
 
@@ -163,18 +166,20 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", labe
     y = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("y"))
     half = labelled // 2
     some = y.where("y = 0").orderBy(order).limit(half).union(y.where("y = 1").orderBy(order).limit(half))
-    rest = docs.select("doc_id").where("doc_id IS NOT NULL").join(y, "doc_id", "left_anti").distinct().orderBy(order).limit(pool).withColumn("y", F.lit(-1))
-    # labelled + pool rows of two numbers at most
-    rows = written(columns_of(docs).join(F.broadcast(some.union(rest)), "doc_id").select("text", "lang", "source", "y", order.alias("at")), "co-training")
-    schema = pa.schema([("y", pa.int32()), ("c_ids", pa.list_(pa.int32())), ("c_values", pa.list_(pa.float32())), ("m_ids", pa.list_(pa.int32()))])
-    got = rows.orderBy("at").drop("at").mapInArrow(by_batch(_features, schema), "y int, c_ids array<int>, c_values array<float>, m_ids array<int>").toArrow()
+    full = y.groupBy("y").agg((F.count("*") / F.least(F.count("*"), F.lit(half))).alias("weight"))
+    some = some.join(F.broadcast(full), "y").select("doc_id", "y", "weight")
+    rest = docs.select("doc_id").where("doc_id IS NOT NULL").join(y, "doc_id", "left_anti").distinct().orderBy(order).limit(pool).withColumn("y", F.lit(-1)).withColumn("weight", F.lit(1.0))
+    # labelled + pool rows of three numbers at most
+    rows = written(columns_of(docs).join(F.broadcast(some.union(rest)), "doc_id").select("text", "lang", "source", "y", "weight", order.alias("at")), "co-training")
+    schema = pa.schema([("y", pa.int32()), ("weight", pa.float64()), ("c_ids", pa.list_(pa.int32())), ("c_values", pa.list_(pa.float32())), ("m_ids", pa.list_(pa.int32()))])
+    got = rows.orderBy("at").drop("at").mapInArrow(by_batch(_features, schema), "y int, weight double, c_ids array<int>, c_values array<float>, m_ids array<int>").toArrow()
     y_all = got["y"].to_numpy() if got.num_rows else np.zeros(0, np.int32)
     if not {0, 1} <= set(y_all.tolist()):
         return None
     content_rows = [(np.asarray(i.values, np.int64), np.asarray(v.values, float)) for i, v in zip(got["c_ids"], got["c_values"], strict=True)]
     metadata_rows = [(np.asarray(i.values, np.int64), np.ones(len(i.values))) for i in got["m_ids"]]
     views = (View(content_rows), View(metadata_rows))
-    co_train(views, y_all)
+    co_train(views, y_all, got["weight"].to_numpy())
     return views
 
 

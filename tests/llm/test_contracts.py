@@ -363,6 +363,19 @@ def test_quality_model_held_out(spark):
     assert sum(r.content_score < 0.5 for r in low) > 0.9 * len(low) and sum(r.metadata_score < 0.5 for r in low) > 0.6 * len(low)
 
 
+def test_quality_model_cap_keeps_the_class_ratio(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(2800):
+        good = i % 7 > 0
+        right = lambda a, b, good=good: a if (rng.random() < 0.7) == good else b
+        rows.append((i, f"{right('fine', 'awful')} words number {i % 10}", "en", right("a", "b"), int(good)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, quality int")
+    views = quality_model.fit_quality(df, df, labelled=600)
+    got = quality_model.score_quality(df, views).agg(F.avg("content_score"), F.avg("metadata_score")).first()
+    assert all(abs(x - 6 / 7) < 0.08 for x in got), got
+
+
 def test_quality_model_awkward(spark, docs, rows):
     labels = table(spark, SF, "labels").union(spark.createDataFrame([(900004, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int"))
     got = quality_model.quality_scores(docs, labels).collect()
