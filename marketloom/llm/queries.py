@@ -1,13 +1,12 @@
 """The registered queries of this subpackage, each with its SQL or None.
 
-None of these can be said in SQL in bounded time: they sort suffixes, pack, follow
-graphs, link intervals, stream an automaton or learn. tests/llm holds them against
-brute force.
+All but the search have none: they sort suffixes, pack, follow graphs, link intervals,
+stream an automaton or learn. tests/llm holds them against brute force.
 """
 
 from __future__ import annotations
 
-from marketloom.llm import decontaminate, harmonic_packing, licenses, packing, prefix_trie, quality_model, quality_rules, secrets, simhash, suffix_dedup, toxicity, url_filter
+from marketloom.llm import decontaminate, harmonic_packing, lexical_search, licenses, packing, prefix_trie, quality_model, quality_rules, secrets, simhash, suffix_dedup, toxicity, url_filter
 from marketloom.llm.common import table
 
 Q: dict = {
@@ -21,6 +20,7 @@ Q: dict = {
     "op8_quality_model": (lambda spark, d: quality_model.quality_scores(table(spark, d, "documents"), table(spark, d, "labels")), None),
     "op9_licenses": (lambda spark, d: licenses.license_report(table(spark, d, "documents")), None),
     "op10_toxicity": (lambda spark, d: toxicity.toxicity_report(table(spark, d, "documents"), table(spark, d, "labels")), None),
+    "op11_lexical_search": (lambda spark, d: lexical_search.lexical_search(table(spark, d, "documents"), table(spark, d, "benchmark")), lexical_search.SEARCH_SQL),
     "op12_harmonic_packing": (lambda spark, d: harmonic_packing.pack_harmonic(table(spark, d, "documents")), None),
     "op13_prefix_trie": (lambda spark, d: prefix_trie.prefix_trie(table(spark, d, "conversations")), None),
 }
