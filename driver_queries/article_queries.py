@@ -103,14 +103,44 @@ add(
     [t.ASSETS, """q AS (SELECT ticker, 0 AS term_rank, '"' || ticker || '"' AS term FROM assets
       UNION ALL SELECT ticker, 1, '$' || ticker FROM assets UNION ALL SELECT ticker, 2, '"' || company || '"' FROM assets)"""],
 )
-_TERMS = [("Brand#1", "than", 0), ("Brand#1", "whst", 1), ("Brand#2", "eaux", 0), ("Brand#3", "tion", 2)]
+
+
+def _mentions(s, d):
+    """Articles that name an asset: quoted, as cash-tag, or by its quoted company."""
+    i = F.col("article_id")
+    named = F.when(i % 3 == 0, F.concat(F.lit('"'), "ticker", F.lit('"'))).when(i % 3 == 1, F.concat(F.lit("$"), "ticker")).otherwise(
+        F.concat(F.lit('"Company '), "ticker", F.lit('"'))
+    )
+    return t.articles(s, d).select("article_id", F.concat("headline", F.lit(" ("), named, F.lit(") "), "title").alias("text"))
+
+
+_MENTIONS = """mentions AS (SELECT article_id, headline || ' (' || CASE article_id % 3 WHEN 0 THEN '"' || ticker || '"' WHEN 1 THEN '$' || ticker
+      ELSE '"Company ' || ticker || '"' END || ') ' || title AS text FROM articles)"""
+_SEARCH = """terms AS (SELECT ticker, 0 AS term_rank, '"' || ticker || '"' AS term FROM assets
+      UNION ALL SELECT ticker, 1, '$' || ticker FROM assets UNION ALL SELECT ticker, 2, '"' || company || '"' FROM assets)"""
 add(
     "match_terms",
-    lambda s, d: articles.match_terms(t.load(s, d, "documents"), "text", _TERMS, ["doc_id"]),
-    "doc_id ticker term_rank:i",
-    "q AS (" + " UNION ALL ".join(
-        f"SELECT doc_id, '{a}' AS ticker, {r} AS term_rank FROM documents WHERE contains(text, '{w}')" for a, w, r in _TERMS
-    ) + ")",
+    lambda s, d: articles.match_terms(_mentions(s, d), "text", articles.search_terms(t.assets(s, d)), ["article_id"]),
+    "article_id ticker term_rank:i",
+    [ARTICLES, t.ASSETS, _MENTIONS, _SEARCH, "q AS (SELECT article_id, ticker, term_rank FROM mentions JOIN terms ON contains(text, term))"],
+)
+
+
+def _word_terms(s, d):
+    """First words of the parts' names as terms of their brand: hundreds of terms, some inside longer words."""
+    word = F.lower(F.regexp_extract("p_name", "^([A-Za-z]+)", 1))
+    firsts = t.load(s, d, "documents").select(F.concat(F.lit("Brand#"), (F.col("doc_id") % 25 + 1).cast("string")).alias("ticker"), F.substring(F.split("text", " ")[0], 1, 5).alias("term"))
+    return firsts.unionByName(t.load(s, d, "part").select(F.col("p_brand").alias("ticker"), word.alias("term"))).distinct().withColumn("term_rank", F.length("term"))
+
+
+add(
+    "match_terms_words",
+    lambda s, d: articles.match_terms(t.load(s, d, "documents"), "text", _word_terms(s, d), ["doc_id"]).groupBy("ticker", "term_rank").agg(F.count(F.lit(1)).alias("n")),
+    "ticker term_rank:i n",
+    """terms AS (SELECT DISTINCT ticker, term, length(term) AS term_rank FROM (
+        SELECT 'Brand#' || CAST(doc_id % 25 + 1 AS VARCHAR) AS ticker, substr(CASE WHEN strpos(text, ' ') > 0 THEN substr(text, 1, strpos(text, ' ') - 1) ELSE text END, 1, 5) AS term FROM documents
+        UNION ALL SELECT p_brand, lower(regexp_extract(p_name, '^([A-Za-z]+)', 1)) FROM part) WHERE length(term) > 0),
+      q AS (SELECT ticker, term_rank, count(*) AS n FROM documents JOIN terms ON contains(text, term) GROUP BY 1, 2)""",
 )
 add(
     "dedup_first",

@@ -341,7 +341,7 @@ def forum_posts(spark: SparkSession, sf: str) -> DataFrame:
 FORUM = f"""{ARTICLES}, forum_posts AS (
   SELECT ticker, article_id % 3 AS term_rank, article_id AS pos, 'post' || CAST(article_id // 50 AS VARCHAR) AS id,
          date, month, article_id % 7 AS score, title, summary AS selftext, channel AS subreddit FROM articles),
-good_posts AS (SELECT *, substr(title || ' ' || selftext, 1, 512) AS headline FROM forum_posts
+good_posts AS (SELECT *, title || ' ' || selftext AS headline FROM forum_posts
                WHERE score >= 2 AND length(title) >= 10 AND year(date) BETWEEN 1996 AND 2000),
 unique_posts AS (SELECT * FROM (
   SELECT *, row_number() OVER (PARTITION BY ticker, id ORDER BY term_rank, pos) AS copy FROM good_posts) WHERE copy = 1)"""

@@ -218,20 +218,63 @@ def search_terms(assets: DataFrame) -> DataFrame:
     return assets.select("ticker", F.posexplode(terms).alias("term_rank", "term"))
 
 
-def match_terms(df: DataFrame, text: str, terms: Sequence[tuple[str, str, int]], keep: Sequence[str]) -> DataFrame:
-    """Rows whose text contains a search term, once per (ticker, term).
-
-    ``terms`` are (ticker, term, term_rank); the asset universe is a short
-    configured list, so it is part of the expression and no join is needed.
+#: Letters and digits make a token; the longest key cut out of a term that has no
+#: token of its own.
+TOKEN, GRAM = r"[\p{L}\p{N}]", 4
+
+
+def _term_keys(terms: DataFrame) -> DataFrame:
+    """``terms`` with ``_kind`` and ``_key``: something that every text with the term
+    must hold. Best the longest token that the term itself bounds on both sides,
+    for it is then a token of the text, too; else the first characters of the term,
+    told apart by whether they start inside a token."""
+    bounded = F.regexp_extract_all("term", F.lit(f"(?<=[^{TOKEN[1:-1]}])({TOKEN}+)(?=[^{TOKEN[1:-1]}])"), 1)
+    longest = F.array_max(F.transform(bounded, lambda x: F.struct(F.length(x).alias("n"), x.alias("token"))))["token"]
+    gram = F.substring("term", 1, GRAM)
+    led = F.when(F.col("term").rlike(f"^{TOKEN}"), "w").otherwise("s")
+    kind = F.when(longest.isNotNull(), "t").otherwise(F.concat(led, F.length(gram).cast("string")))
+    return terms.where(F.length("term") > 0).withColumn("_kind", kind).withColumn("_key", F.coalesce(longest, gram))
+
+
+def _labelled(label: Column):
+    return lambda x: F.struct(label, x.alias("_key"))
+
+
+def _text_keys(text: str, kinds: Sequence[str]) -> Column:
+    """The distinct (kind, key) of a text, of the kinds that occur in the terms; in
+    one pass over the text for each of them."""
+    parts = []
+    for kind in kinds:
+        if kind == "t":
+            pattern = f"({TOKEN}+)"
+        else:
+            first = TOKEN if kind[0] == "w" else f"[^{TOKEN[1:-1]}]"
+            pattern = f"(?s)(?=({first}.{{{int(kind[1:]) - 1}}}))"
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 1))
+        parts.append(F.transform(found, _labelled(F.lit(kind).alias("_kind"))))
+    return F.concat(*parts)
+
+
+def match_terms(df: DataFrame, text: str, terms: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Rows whose text contains a search term, once per (ticker, term_rank, term).
+
+    ``terms`` is a table (ticker, term, term_rank) of any size, such as
+    ``search_terms`` makes. It is indexed by one key per term, and the distinct
+    keys of the texts meet it in an equi-join. The texts themselves don't take part
+    in that: what meets is known by the text's hash, joined to the rows by
+    it and verified by ``contains``, so two texts of one hash do no harm. Only
+    the kinds of keys that the terms have (at most nine) are read before. NULL
+    and empty terms and NULL texts match nothing; a term listed twice counts once.
     """
-    hits = [
-        F.when(F.col(text).contains(term), F.struct(F.lit(t).alias("ticker"), F.lit(r).alias("term_rank")))
-        for t, term, r in terms
-    ]
-    found = F.filter(F.array(*hits), lambda h: h.isNotNull())
-    return df.select(*keep, F.explode(found).alias("_hit")).select(
-        *keep, F.col("_hit.ticker").alias("ticker"), F.col("_hit.term_rank").alias("term_rank")
-    )
+    index = _term_keys(terms.select("ticker", "term", "term_rank").distinct())
+    kinds = sorted(r[0] for r in index.select("_kind").distinct().collect())
+    if not kinds:
+        empty = [F.lit(None).cast(terms.schema[c].dataType).alias(c) for c in ("ticker", "term_rank")]
+        return df.select(*keep, *empty).where(F.lit(False))
+    keyed = df.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("_hash"), F.inline(_text_keys(text, kinds)))
+    met = keyed.join(index, ["_kind", "_key"]).select("_hash", "ticker", "term", "term_rank").distinct()
+    rows = df.select(*keep, F.col(text).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
+    return rows.join(met, "_hash").where(F.expr("contains(_text, term)")).select(*keep, "ticker", "term_rank")
 
 
 def explode_news(df: DataFrame, news: str = "news") -> DataFrame:

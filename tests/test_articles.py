@@ -115,9 +115,24 @@ def test_snapshot_freshness_edges(spark):
 def test_search_and_match_terms(spark):
     assets = spark.createDataFrame([("NV", "Nv Corp", 0)], schemas.ASSETS)
     assert [(r.term_rank, r.term) for r in articles.search_terms(assets).orderBy("term_rank").collect()] == [(0, '"NV"'), (1, "$NV"), (2, '"Nv Corp"')]
-    docs = spark.createDataFrame([(1, 'buy $NV and "NV" now'), (2, "nothing")], "id int, text string")
-    hits = articles.match_terms(docs, "text", [("NV", '"NV"', 0), ("NV", "$NV", 1)], ["id"]).collect()
-    assert sorted((r.id, r.ticker, r.term_rank) for r in hits) == [(1, "NV", 0), (1, "NV", 1)]
+    docs = spark.createDataFrame([(1, 'buy $NV and "NV" now'), (2, "nothing"), (3, 'the "Nv Corp" and "Nv Corp", again'), (4, None), (5, "$NVX")], "id int, text string")
+    hits = articles.match_terms(docs, "text", articles.search_terms(assets), ["id"]).collect()
+    assert sorted((r.id, r.ticker, r.term_rank) for r in hits) == [(1, "NV", 0), (1, "NV", 1), (3, "NV", 2), (5, "NV", 1)]
+
+
+def test_match_terms_is_contains(spark):
+    """Keys of every kind against plain substring search."""
+    rng = random.Random(4)
+    pool = ["a", "b", "ab", "é", "$", "#", '"', " ", "\n", "-", "1", "x9", "語"]
+    make = lambda n: "".join(rng.choice(pool) for _ in range(rng.randint(0, n)))
+    texts = [(i, make(60)) for i in range(120)] + [(900, None), (901, "")]
+    terms = [(f"T{i % 5}", make(5), i) for i in range(150)] + [("T1", None, 900), ("T1", "", 901), ("T1", "ab", 902), ("T1", "ab", 902)]
+    df = spark.createDataFrame(texts, "id int, text string").repartition(3)
+    got = articles.match_terms(df, "text", spark.createDataFrame(terms, "ticker string, term string, term_rank int"), ["id"]).collect()
+    want = {(i, k, t, r) for i, x in texts if x for k, t, r in terms if t and t in x}
+    assert sorted((r.id, r.ticker, r.term_rank) for r in got) == sorted((i, k, r) for i, k, t, r in want) and len(want) > 500
+    none = articles.match_terms(df, "text", spark.createDataFrame([], "ticker string, term string, term_rank int"), ["id"])
+    assert none.columns == ["id", "ticker", "term_rank"] and none.collect() == []
 
 
 def test_explode_news_and_union(spark):
