@@ -40,24 +40,33 @@ def period_log_returns(prices: DataFrame, price: str = "price") -> DataFrame:
     ).where(F.col("next_date").isNotNull())
 
 
-def rebalance_periods(weights: DataFrame) -> DataFrame:
-    """(portfolio_id, date, next_date): each weight date of a portfolio with the one
-    that follows; the last has none and drops out."""
-    dates = weights.select("portfolio_id", "date").distinct()
-    return dates.withColumn("next_date", F.lead("date").over(series("portfolio_id"))).where(F.col("next_date").isNotNull())
+def with_next_date(weights: DataFrame) -> DataFrame:
+    """Adds ``next_date``, the portfolio's next weight date; NULL on the last one."""
+    after = F.lead("date").over(series("portfolio_id"))
+    own_date = Window.partitionBy("portfolio_id", "date")
+    return weights.withColumn("_after", F.when(after > F.col("date"), after)).withColumn("next_date", F.max("_after").over(own_date)).drop("_after")
 
 
 def portfolio_returns(weights: DataFrame, prices: DataFrame, price: str = "price") -> DataFrame:
     """exp(sum of weight x log return) - 1 per (portfolio, weight date), held until
     the portfolio's next weight date. A missing price of an asset counts as no
-    change; a period drops out if one of its ends is in no row of the price table."""
-    held = weights.join(rebalance_periods(weights), ["portfolio_id", "date"])
-    first = prices.select("ticker", "date", F.col(price).alias("_open"), F.lit(1).alias("_at_start"))
-    last = prices.select("ticker", F.col("date").alias("next_date"), F.col(price).alias("_close"), F.lit(1).alias("_at_end"))
-    both = held.join(first, ["ticker", "date"], "left").join(last, ["ticker", "next_date"], "left")
+    change; a period drops out if one of its ends is in no row of the price table.
+
+    Each weight becomes two rows, one for either end of its period, so that one join
+    finds both prices: weights and prices are read once each.
+    """
+    held = with_next_date(weights.select("portfolio_id", "date", "ticker", "weight")).where(F.col("next_date").isNotNull())
+    ends = F.inline(F.array(F.struct(F.col("date").alias("_at"), F.lit(True).alias("_opens")), F.struct(F.col("next_date").alias("_at"), F.lit(False).alias("_opens"))))
+    legs = held.select("portfolio_id", "date", "next_date", "ticker", "weight", ends)
+    known = prices.select("ticker", F.col("date").alias("_at"), F.col(price).alias("_price"), F.lit(1).alias("_known"))
+    opens = F.col("_opens")
+    both = legs.join(known, ["ticker", "_at"], "left").groupBy("portfolio_id", "date", "next_date", "ticker").agg(
+        F.sum(F.when(opens, F.col("weight"))).alias("weight"), F.max(F.when(opens, F.col("_price"))).alias("_open"), F.max(F.when(~opens, F.col("_price"))).alias("_close"),
+        F.count(F.when(opens, F.col("_known"))).alias("_n"), F.count(F.when(~opens, F.col("_known"))).alias("_m"),
+    )
     change = F.coalesce(F.ln(F.try_divide("_close", "_open")), F.lit(0.0))
     out = both.groupBy("portfolio_id", "date", "next_date").agg(
-        (F.exp(F.sum(F.col("weight") * change)) - 1).alias("ret"), F.count("_at_start").alias("_n"), F.count("_at_end").alias("_m")
+        (F.exp(F.sum(F.col("weight") * change)) - 1).alias("ret"), F.sum("_n").alias("_n"), F.sum("_m").alias("_m")
     )
     return out.where("_n > 0 AND _m > 0").drop("_n", "_m")
 
@@ -190,21 +199,47 @@ def buy_and_hold(prices: DataFrame, ticker: str, price: str = "price", periods:
     return return_metrics(returns, F.exp(F.sum("ret")) - 1, periods)
 
 
-def compare_to_benchmarks(metrics: DataFrame, benchmarks: DataFrame) -> DataFrame:
-    """Excess annualised return and Sharpe improvement over each benchmark.
-
-    The benchmarks are a handful of rows; they enter as one array value.
+def benchmark_metrics(prices: DataFrame, ticker: str | None = None, price: str = "price", periods: int = 12, name: str = "Equal-Weighted") -> DataFrame:
+    """``equal_weight_benchmark`` and, if a ticker is given, ``buy_and_hold`` of it,
+    from one pass over the dense price table."""
+    order = series()
+    forward = F.coalesce(F.ln(F.try_divide(F.lead(price).over(order), F.col(price))), F.lit(0.0))
+    steps = prices.select("ticker", "date", F.lead("date").over(order).isNotNull().alias("_goes_on"), forward.alias("_forward"), F.ln(F.try_divide(F.col(price), F.lag(price).over(order))).alias("_backward"))
+    even = F.when(F.col("_goes_on"), F.struct(F.lit(name).alias("portfolio_id"), F.lit(True).alias("_even"), F.col("_forward").alias("_log")))
+    own = F.when((F.col("ticker") == F.lit(ticker)) & F.col("_backward").isNotNull(), F.struct(F.concat("ticker", F.lit(" Buy & Hold")).alias("portfolio_id"), F.lit(False).alias("_even"), F.col("_backward").alias("_log")))
+    rows = steps.select("date", F.explode(F.filter(F.array(even, own), lambda x: x.isNotNull())).alias("_r")).select("date", "_r.*")
+    mean = F.avg("_log")
+    returns = rows.groupBy("portfolio_id", "_even", "date").agg(F.when(F.col("_even"), F.exp(mean) - 1).otherwise(mean).alias("ret"))
+    total = F.when(F.first("_even"), F.product(F.lit(1.0) + F.col("ret")) - 1).otherwise(F.exp(F.sum("ret")) - 1)
+    return return_metrics(returns, total, periods)
+
+
+def against_benchmarks(metrics: DataFrame, benchmarks: DataFrame) -> DataFrame:
+    """``metrics`` with a row for each benchmark: excess annualised return and Sharpe
+    improvement over it; one row with NULLs if there is none.
+
+    Every portfolio meets every benchmark, which is the result itself. The join
+    has a key for it: portfolios are dealt to as many groups as there are shuffle
+    partitions, and each group gets its own copy of the benchmarks.
     """
-    entry = F.struct(F.col("portfolio_id").alias("benchmark"), F.col("annualized_return").alias("a"), F.col("sharpe_ratio").alias("s"))
-    listed = benchmarks.agg(F.collect_list(entry)).scalar()
-    rows = metrics.select("portfolio_id", "annualized_return", "sharpe_ratio", F.explode(listed).alias("_b"))
-    return rows.select(
-        "portfolio_id", F.col("_b.benchmark").alias("benchmark"),
-        (F.col("annualized_return") - F.col("_b.a")).alias("excess_return"),
-        (F.col("sharpe_ratio") - F.col("_b.s")).alias("sharpe_improvement"),
+    groups = int(metrics.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = metrics.withColumn("_group", F.pmod(F.xxhash64("portfolio_id"), F.lit(groups)).cast("int"))
+    other = benchmarks.select(
+        F.col("portfolio_id").alias("benchmark"), F.col("annualized_return").alias("_a"), F.col("sharpe_ratio").alias("_s"),
+        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_group"),
+    )
+    return dealt.join(other, "_group", "left").select(
+        *metrics.columns, "benchmark", (F.col("annualized_return") - F.col("_a")).alias("excess_return"),
+        (F.col("sharpe_ratio") - F.col("_s")).alias("sharpe_improvement"),
     )
 
 
+def compare_to_benchmarks(metrics: DataFrame, benchmarks: DataFrame) -> DataFrame:
+    """Excess annualised return and Sharpe improvement over each benchmark."""
+    out = against_benchmarks(metrics, benchmarks).where(F.col("benchmark").isNotNull())
+    return out.select("portfolio_id", "benchmark", "excess_return", "sharpe_improvement")
+
+
 def rolling_sharpe_ratio(returns: DataFrame, n: int = 12, value: str = "ret") -> DataFrame:
     """Trailing mean / std x sqrt(n periods), NULL until n returns exist."""
     mean, std = rolling(F.avg, value, n, "portfolio_id"), rolling(F.stddev_samp, value, n, "portfolio_id")

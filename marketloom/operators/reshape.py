@@ -43,37 +43,44 @@ def densify(prices: DataFrame, values: Sequence[str] = ("close",), keep: Sequenc
 
     Each row is stretched over the gap up to the ticker's next date (the first
     one also backwards to the calendar start, the last one forwards to its
-    end), then the days no ticker traded are removed by a semi join. No grid of
-    tickers x dates is joined, and the result stays partitioned by ticker, so
-    the windows that follow need no further shuffle. ``keep`` names columns
-    that depend on the ticker alone. Two rows of a ticker and date raise an
+    end). The calendar enters as one value, an array of its days, in which a
+    stretched day finds itself by position: no grid of tickers x dates and no set
+    of dates is joined, and the result stays partitioned by ticker, so the windows
+    that follow need no further shuffle. ``keep`` names
+    columns that depend on the ticker alone. Two rows of a ticker and date raise an
     error: reduce raw records first, as ``read_prices`` does.
     """
     # A row without a date or ticker cannot be placed; saying so here also
     # gives every use of the input the same plan (joins later on would add the
     # same filters to some of them), so its shuffle is computed once.
     prices = prices.where(F.col("date").isNotNull() & F.col("ticker").isNotNull())
-    traded = prices.where(F.col(values[0]).isNotNull())
-    calendar = date_set(traded)
-    start = traded.agg(F.min("date")).scalar()
-    end = traded.agg(F.max("date")).scalar()
+    calendar = trading_calendar(prices.where(F.col(values[0]).isNotNull()))
     by_date = series()
     following = F.lead("date").over(by_date)
     twice = F.raise_error(F.concat(F.lit("several prices of one day for "), F.col("ticker"))).cast("date")
-    first_day = F.when(F.lag("date").over(by_date).isNull(), start).otherwise(F.col("date"))
-    last_day = F.when(following == F.col("date"), twice).otherwise(F.coalesce(F.date_sub(following, 1), end))
+    ends = prices.select(
+        "ticker", "date", *values, *keep, F.lag("date").over(by_date).isNull().alias("_first"),
+        F.when(following == F.col("date"), twice).otherwise(F.date_sub(following, 1)).alias("_to"),
+    )
+    # the calendar is a column, so that the plan computes it once; it is no part of a shuffle
+    start, end = F.get("_calendar", F.lit(0)), F.try_element_at("_calendar", F.lit(-1))
+    first_day = F.when(F.col("_first"), start).otherwise(F.greatest("date", start))
+    last_day = F.least(F.coalesce("_to", end), end)
     # a row outside the traded range covers no day of it
-    days = F.when(F.col("_from") <= F.col("_to"), F.sequence("_from", "_to")).otherwise(F.array().cast("array<date>"))
-    stretched = prices.select(
-        "ticker", "date", *values, *keep, first_day.alias("_from"), last_day.alias("_to")
-    ).select("ticker", "date", *values, *keep, F.explode(days).alias("_day"))
+    days = F.when(first_day <= last_day, F.sequence(first_day, last_day))
+    stretched = ends.withColumn("_calendar", calendar).select("ticker", "date", *values, *keep, "_calendar", F.explode(days).alias("_day"))
+    # null-safe: else the optimizer asks for a calendar in a place of its own
+    stretched = stretched.where(F.get("_calendar", F.datediff("_day", start)).eqNullSafe(F.col("_day")))
     own = F.col("_day") == F.col("date")
-    return stretched.select(
-        "ticker",
-        F.col("_day").alias("date"),
-        *[F.when(own, F.col(v)).alias(v) for v in values],
-        *keep,
-    ).join(calendar, "date", "left_semi").select("ticker", "date", *values, *keep)
+    return stretched.select("ticker", F.col("_day").alias("date"), *[F.when(own, F.col(v)).alias(v) for v in values], *keep)
+
+
+def trading_calendar(traded: DataFrame) -> Column:
+    """The dates of a table as one value: every day from the first to the last date in
+    order, NULL in place of those that don't occur. Bounded by the calendar."""
+    found = traded.agg(F.min("date").alias("start"), F.max("date").alias("end"), F.collect_set("date").alias("dates"))
+    days = F.transform(F.sequence("start", "end"), lambda day: F.when(F.array_contains("dates", day), day))
+    return found.select(days).scalar()
 
 
 def select_price_field(prices: DataFrame, output: str = "price") -> DataFrame:

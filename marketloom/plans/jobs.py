@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from marketloom.functions.scalars import NEGATIVE_WORDS, POSITIVE_WORDS
 from marketloom.operators import indicators, portfolio, reshape, sentiment, validation
@@ -65,11 +64,8 @@ def sentiment_validation_job(monthly: DataFrame, daily_returns: DataFrame, exten
 
 
 def backtest_job(weights: DataFrame, prices: DataFrame, benchmark: str | None = None) -> DataFrame:
-    """Weights and dense prices to metrics and the gap to the benchmarks."""
+    """Weights and dense prices to metrics and the gap to the benchmarks. The weights
+    are read once and the prices twice, for the portfolios and for the benchmarks."""
     curve = portfolio.equity_curve(portfolio.portfolio_returns(portfolio.normalize_weights(weights), prices))
     metrics = portfolio.performance_metrics(curve)
-    bench = portfolio.equal_weight_benchmark(prices)
-    if benchmark is not None:
-        bench = bench.unionByName(portfolio.buy_and_hold(prices, benchmark))
-    gaps = portfolio.compare_to_benchmarks(metrics, bench)
-    return metrics.join(gaps, "portfolio_id", "left").select(*metrics.columns, *[F.col(c) for c in gaps.columns[1:]])
+    return portfolio.against_benchmarks(metrics, portfolio.benchmark_metrics(prices, benchmark))

@@ -70,3 +70,10 @@ def test_source_stats_join_aggregated_rows(spark):
 def test_no_query_has_a_cross_join_or_row_python(spark, name):
     text = plan(registry.QUERIES[name][0](spark, SF))
     assert "CartesianProduct" not in text and "BatchEvalPython" not in text and "NestedLoopJoin" not in text
+
+
+@pytest.mark.parametrize(("name", "most"), [("densify", 2), ("daily_features", 2), ("portfolio_returns", 4), ("equity_curve", 4), ("backtest", 6)])
+def test_raw_prices_are_scanned_few_times(spark, name, most):
+    """Before any exchange is reused: once for the rows, once for the calendar of each price table."""
+    text = plan(registry.QUERIES[name][0](spark, SF))
+    assert len(re.findall(r"FileScan[^\n]*lineitem", text)) <= most and "LeftSemi" not in text

@@ -135,6 +135,43 @@ def test_pair_correlations_do_not_depend_on_the_blocks(monthly_returns, block):
     assert got[got.i == 2]["corr"].isna().all()
 
 
+@pytest.mark.parametrize("stretch", [21, 25, 40])
+def test_pair_correlations_do_not_depend_on_the_stretches(monthly_returns, stretch):
+    df, _ = monthly_returns
+    key = ["month_end", "i", "k"]
+    whole = correlation.rolling_pair_corr(df, 21).toPandas().sort_values(key)
+    parts = correlation.rolling_pair_corr(df, 21, stretch=stretch).toPandas().sort_values(key)
+    assert whole[key].to_numpy().tolist() == parts[key].to_numpy().tolist()
+    np.testing.assert_allclose(whole["corr"].to_numpy(float), parts["corr"].to_numpy(float), atol=1e-12, equal_nan=True)
+
+
+def test_pair_correlations_far_from_zero_and_with_gaps(spark):
+    """Levels, gaps and outliers in rows that don't count must not hide a correlation."""
+    rng = np.random.default_rng(1)
+    base = rng.normal(0, 1, 60)
+    x = 1e7 + base + 0.05 * rng.normal(0, 1, 60)
+    y = 1e7 + base
+    x[0], y[0] = 0.0, np.nan
+    tiny = base * 1e-12
+    frame = pd.DataFrame({0: x, 1: y, 2: np.full(60, 0.1), 3: tiny, 4: np.where(np.arange(60) % 3 == 0, np.nan, base)})
+    dates = pd.date_range("2020-01-01", periods=60)
+    rows = [(d.date(), int(c), None if pd.isna(frame.loc[i, c]) else float(frame.loc[i, c])) for c in frame for i, d in enumerate(dates)]
+    df = spark.createDataFrame(rows, "date date, asset_order int, r double")
+
+    def expected(a, b, first, last):
+        both = frame.loc[first:last, [a, b]].dropna().astype(np.longdouble)
+        p, q = (both[c] - both[c].mean() for c in (a, b))
+        return np.nan if not (p != 0).any() or not (q != 0).any() else float((p * q).sum() / np.sqrt((p * p).sum() * (q * q).sum()))
+
+    for r in correlation.correlation_matrix(df, "r", block=2).collect():
+        want = np.nan if 2 in (r.i, r.k) else expected(r.i, r.k, 0, 59)
+        np.testing.assert_allclose(np.nan if r["corr"] is None else r["corr"], want, atol=1e-9, equal_nan=True, err_msg=str(r))
+    for r in correlation.rolling_pair_corr(df, 21, "r", "date", block=2, stretch=30).collect():
+        at = (r.date - dates[0].date()).days
+        want = np.nan if 2 in (r.i, r.k) or at < 21 else expected(r.i, r.k, at - 20, at)
+        np.testing.assert_allclose(np.nan if r["corr"] is None else r["corr"], want, atol=1e-8, equal_nan=True, err_msg=str(r))
+
+
 def test_pair_index():
     n, j, seen = 7, 0, {}
     for i in range(n):
