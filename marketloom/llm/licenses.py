@@ -1,7 +1,7 @@
 """License scans: MinHash bands over overlapping windows, then exact containment.
 
 Texts and templates are lower-case words ``[a-z0-9]+`` and shingles of ``SHINGLE``
-words. A template of T shingles belongs to the smallest window size W with
+words. A template of T shingles belongs to the smallest window size W, a power of two, with
 T + W / 4 <= W, and windows start every W / 4 shingles (1 at least), so some window holds any
 occurrence whole. A window that contains ``CONTAINMENT`` of the template has a
 Jaccard similarity of at least 0.8 T / (W + 0.2 T) with it (0.8 T rounded up), and each of ``BANDS``
@@ -10,6 +10,9 @@ left, below 1e-3 for all templates here. Retrieved pairs are verified by the exa
 share of the template's shingles that the window holds. Windows without a shingle of
 any template have a share of 0 and are not hashed.
 
+The conditions of the two BSD licences begin alike; the three-clause one is told by its
+endorsement clause, a template of its own.
+
 Verified windows of a template that overlap are one finding: from the first to the
 last word of the template's shingles in them, with the best share. Positions count
 words. Null and empty texts, and texts of fewer words than a shingle, have no
@@ -22,6 +25,7 @@ Everything is DataFrame functions. Only the templates, a fixed list, are broadca
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,13 +33,18 @@ from pyspark.sql import functions as F
 from marketloom.llm.common import plain, row_key
 
 SHINGLE, CONTAINMENT, BANDS = 5, 0.8, 24
-SIZES = (2, 4, 8, 16, 32, 64)
 
 #: Wordings of public license notices.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0-header": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD-3-Clause-endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "BSD-disclaimer": """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+    IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT,
+    INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS;
+    OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY
+    OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE""",
     "CC-BY-4.0": "Licensed under a Creative Commons Attribution 4.0 International License",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
@@ -44,6 +53,9 @@ TEMPLATES = {
     "LGPL-3.0": "licensed under the GNU Lesser General Public License, version 3",
     "MIT": "Released under the MIT License",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "MIT-conditions": """to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+    copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission
+    notice shall be included in all copies or substantial portions of the Software""",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
 
@@ -82,13 +94,29 @@ def step_of(window: int) -> int:
     return max(1, window // 4)
 
 
+def window_of(shingles: int) -> int:
+    """The smallest window that holds a template wherever it lies on the grid."""
+    size = 2
+    while shingles + step_of(size) > size:
+        size *= 2
+    return size
+
+
 def template_table(spark: SparkSession, templates: dict[str, str] | None = None) -> DataFrame:
-    """(license, own, size): the distinct shingles of each template, its window size."""
-    listed = F.explode(F.array(*(F.struct(F.lit(n).alias("license"), F.lit(t).alias("text")) for n, t in (templates or TEMPLATES).items())))
-    rows = spark.range(1).select(listed.alias("t")).select("t.license", F.array_distinct(once(words(F.col("t.text")), shingles)).alias("own"))
-    n = F.size("own")
-    fits = F.coalesce(*(F.when(n + step_of(s) <= s, s) for s in SIZES))
-    return rows.where(n > 0).withColumn("size", fits).where("size IS NOT NULL")
+    """(license, own, size): the distinct shingles of each template, its window size.
+    Templates may be of any length from a shingle on; a shorter one is an error."""
+    templates = TEMPLATES if templates is None else templates
+    lengths = {name: len(set(_plain_shingles(text))) for name, text in templates.items()}
+    if short := sorted(name for name, n in lengths.items() if not n):
+        raise ValueError(f"templates of fewer than {SHINGLE} words: {', '.join(short)}")
+    listed = F.explode(F.array(*(F.struct(F.lit(n).alias("license"), F.lit(t).alias("text"), F.lit(window_of(lengths[n])).alias("size")) for n, t in templates.items())))
+    rows = spark.range(1).select(listed.alias("t"))
+    return rows.select("t.license", F.array_distinct(once(words(F.col("t.text")), shingles)).alias("own"), "t.size")
+
+
+def _plain_shingles(text: str) -> list[tuple[str, ...]]:
+    w = [x for x in re.split("[^a-z0-9]+", text.lower()) if x]
+    return [tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)]
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
@@ -97,6 +125,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     known = template_table(spark, templates)
     # the shingles of the templates: a fixed list
     any_of = [r[0] for r in known.select(F.explode("own")).distinct().collect()]
+    window_sizes = sorted({r[0] for r in known.select("size").collect()})
 
     def with_hits(sh: Column) -> Column:
         hits = F.filter(F.transform(sh, lambda x, i: F.when(x.isin(any_of), i)), lambda i: i.isNotNull())
@@ -105,7 +134,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     found = once(words(F.col("text")), lambda w: once(shingles(w), with_hits))
     found = F.explode(F.array(found))  # a generator, so that filters below don't compute it again
     rows = plain(docs, "doc_id", "text").select("doc_id", row_key().alias("key"), found.alias("f")).where(F.size("f.hits") > 0)
-    sizes = F.explode(F.array(*(F.lit(s) for s in SIZES))).alias("size")
+    sizes = F.explode(F.array(*(F.lit(s) for s in window_sizes))).alias("size")
     rows = rows.select("doc_id", "key", "f.sh", "f.hits", sizes).withColumn("step", F.greatest(F.lit(1), F.expr("size div 4")))
     # the windows on the grid that hold a hit
     grid = F.expr("array_distinct(flatten(transform(hits, h -> sequence(greatest(0, ceil((h - size + 1) / step)), h div step))))")

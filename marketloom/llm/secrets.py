@@ -16,6 +16,7 @@ doc_id and text are passed on untouched or ignored.
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from marketloom.llm.common import boxed, by_batch, plain, row_key, unboxed, written
+from marketloom.llm.common import boxed, by_batch, unboxed, written
 
 #: Kinds in the order in which they are listed; the first three are strong.
 KINDS = ("assign", "access", "hex", "identifier", "fragment", "endpoint")
@@ -58,29 +59,50 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
         weak += [("identifier" if m[1] else "fragment" if m[2] else "endpoint", *m.span()) for m in NAMED.finditer(text)]
     if "://" in text:
         weak += [("endpoint", *m.span()) for m in ADDRESS.finditer(text)]
-    weak = [w for w in weak if not any(w[1] < e and s < w[2] for _, s, e in strong)] if strong else weak
-    return strong, sorted(set(weak), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+    return strong, apart(sorted(set(weak), key=lambda x: (x[1], KINDS.index(x[0]), x[2])), strong)
+
+
+def apart(weak: list[tuple[str, int, int]], strong: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Those of ``weak`` that overlap none of ``strong``. The union of the strong spans is
+    a sorted list of disjoint ones, in which each weak span is looked up."""
+    starts, ends = [], []
+    for _, start, end in sorted(strong, key=lambda x: x[1]):
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+
+    def free(start: int, end: int) -> bool:
+        at = bisect.bisect_right(ends, start)
+        return at == len(ends) or starts[at] >= end
+
+    return [w for w in weak if free(w[1], w[2])] if strong else weak
 
 
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 SPANS_DDL = "array<struct<kind:string,start:long,end:long>>"
 
 
-def _scanned() -> callable:
-    def work(batch: pa.RecordBatch) -> dict:
-        got = [scan(t or "") for t in batch["text"].to_pylist()]
-        as_rows = lambda spans: [{"kind": k, "start": s, "end": e} for k, s, e in spans]
-        return {"doc_id": batch["doc_id"], "text_key": batch["text_key"], "strong": [as_rows(s) for s, _ in got], "weak": [as_rows(w) for _, w in got]}
+def _scanned(names: list[str]) -> callable:
+    def make() -> callable:
+        def work(batch: pa.RecordBatch) -> dict:
+            got = [scan(t or "") for t in batch["text"].to_pylist()]
+            as_rows = lambda spans: [{"kind": k, "start": s, "end": e} for k, s, e in spans]
+            return {n: batch[n] for n in names} | {"strong": [as_rows(s) for s, _ in got], "weak": [as_rows(w) for _, w in got]}
 
-    return work
+        return work
+
+    return make
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    df = plain(docs, "doc_id", "text").withColumn("text_key", row_key())
-    kind = to_arrow_schema(df.select("doc_id").schema).field(0)
-    schema = pa.schema([kind, ("text_key", pa.int64()), ("strong", SPANS), ("weak", SPANS)])
-    out = df.mapInArrow(by_batch(_scanned, schema), f"doc_id {df.schema['doc_id'].dataType.simpleString()}, text_key long, strong {SPANS_DDL}, weak {SPANS_DDL}")
-    return out.withColumn("row", F.monotonically_increasing_id())
+def scanned(docs: DataFrame, names: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``names``, the findings of each row's text, and ``row``, its number."""
+    df = docs.select(*(F.col(f"`{n}`") for n in dict.fromkeys((*names, "text")))).withColumn("text", F.col("text").cast("string"))
+    kept = df.select(*names)
+    schema = pa.schema([*to_arrow_schema(kept.schema), ("strong", SPANS), ("weak", SPANS)])
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), f"strong {SPANS_DDL}", f"weak {SPANS_DDL}"])
+    return df.mapInArrow(by_batch(_scanned(list(names)), schema), ddl).withColumn("row", F.monotonically_increasing_id())
 
 
 def linked(scans: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -105,10 +127,10 @@ def linked(scans: DataFrame, scope: int = SCOPE) -> DataFrame:
     return near.groupBy("row", "w").agg(*has).where(confirmed).groupBy("row").agg(F.collect_list("w").alias("added"))
 
 
-def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """doc_id, text_key, strong and spans (strong and added, by start and kind)
-    of every document."""
-    scans = written(scanned(docs), "scans")
+def find_secrets(docs: DataFrame, scope: int = SCOPE, names: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``names`` of every row, strong, and spans (strong and added, by
+    start and kind)."""
+    scans = written(scanned(docs, names), "scans")
     added = linked(scans, scope)
     kinds = F.array(*map(F.lit, KINDS))
 
@@ -117,7 +139,7 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         return F.transform(F.array_sort(ranked), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
 
     out = scans.join(added, "row", "left")
-    return out.select("doc_id", "text_key", by_start("strong").alias("strong"), by_start(F.concat("strong", F.coalesce("added", F.array().cast(SPANS_DDL)))).alias("spans"))
+    return out.select(*names, by_start("strong").alias("strong"), by_start(F.concat("strong", F.coalesce("added", F.array().cast(SPANS_DDL)))).alias("spans"))
 
 
 def _listed(spans):
@@ -154,9 +176,8 @@ def _masked() -> callable:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """All documents, every found secret replaced by its kind in brackets."""
-    found = find_secrets(docs).where(F.size("spans") > 0).select("text_key", F.col("spans").alias("found"))
-    found = written(found.dropDuplicates(["text_key"]), "found-secrets")
-    rows = boxed(docs)
-    joined = rows.withColumn("text_key", row_key()).join(found, "text_key", "left").drop("text_key")
-    return unboxed(joined.mapInArrow(by_batch(_masked, to_arrow_schema(rows.schema)), rows.schema), docs)
+    """All documents, every found secret replaced by its kind in brackets. Text and
+    findings travel in one row."""
+    found = find_secrets(boxed(docs), names=("doc", "text")).select("doc", "text", F.col("spans").alias("found"))
+    out = found.select("doc", "text")
+    return unboxed(found.mapInArrow(by_batch(_masked, to_arrow_schema(out.schema)), out.schema), docs)

@@ -26,13 +26,15 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import boxed, by_batch, plain, written
 
 #: Training documents of each class, at most. Chosen by a hash.
 TRAINING_PER_CLASS = 8000
+#: Code points of them, at most: what the driver gets of a text is some bytes a word.
+TRAINING_CHARS = 32_000_000
 VOCABULARY = 4096
 #: Likelihood ratio below which a feature is no evidence (chi-square, p = 0.001).
 LEAST_EVIDENCE = 10.8
@@ -48,18 +50,24 @@ def word_features(word: str) -> tuple[str, ...]:
     return (word, *(f"^{word[:n]}" for n in range(3, 9) if len(word) > n)) if word else ()
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = TRAINING_PER_CLASS) -> DataFrame:
-    """(text, y, weight) of labelled documents, ``per_class`` of each class at most.
-    ``weight`` is how many labels of its class a sampled one stands for, so the
-    classes keep their ratio whatever the cap. A doc_id with several labels
-    counts as toxic if any of them says so."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = TRAINING_PER_CLASS, chars: int = TRAINING_CHARS) -> DataFrame:
+    """(text, y, weight) of labelled documents: ``per_class`` of each class and
+    ``chars`` code points a class at most, taken in the order of a hash, whole
+    documents only. ``weight`` is how many labels of its class a sampled one stands
+    for, so the classes keep their ratio whatever the caps. A doc_id with several
+    labels counts as toxic if any of them says so; of several rows of a doc_id the
+    least text counts, once."""
     y = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("training"))
     chosen = y.where("y = 1").orderBy(order).limit(per_class).union(y.where("y = 0").orderBy(order).limit(per_class))
-    full = y.groupBy("y").agg((F.count("*") / F.least(F.count("*"), F.lit(per_class))).alias("weight"))
-    # 2 * per_class rows of three numbers at most, whatever the size of the input
-    chosen = chosen.join(F.broadcast(full), "y")
-    return plain(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y", "weight")
+    # 2 * per_class rows of two numbers at most, whatever the size of the input
+    rows = plain(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = written(rows.groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), "labelled")
+    taken = F.sum(F.length("text")).over(Window.partitionBy("y").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    within = written(rows.select("doc_id", "y", taken.alias("taken")).where(F.col("taken") <= chars).select("doc_id", "y"), "sampled")
+    full = y.groupBy("y").agg(F.count("*").alias("all"))
+    weight = within.groupBy("y").agg(F.count("*").alias("n")).join(full, "y").select("y", (F.col("all") / F.col("n")).alias("weight"))
+    return rows.join(F.broadcast(within.join(F.broadcast(weight), "y").select("doc_id", "weight")), "doc_id").select("text", "y", "weight")
 
 
 def _counted() -> callable:
@@ -157,8 +165,8 @@ def scorer(model: dict) -> callable:
         if not model:
             return PRIOR, []
         low = text.lower()
-        same, at, clean, found = len(low) == len(text), 0, base, []
-        for s in SENTENCE.split(low):
+        clean, bad = base, []
+        for n, s in enumerate(SENTENCE.split(low)):
             words = s.split()
             try:
                 z = sum(map(cache.__getitem__, words))
@@ -169,10 +177,12 @@ def scorer(model: dict) -> callable:
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, bias + z))))
             clean += math.log1p(-min(p, 1 - 1e-12)) - base
             if p >= 0.5:
-                at = low.index(s, at)
-                found.append((at, at + len(s), p) if same else (None, None, p))
-                at += len(s)
-        return -math.expm1(clean), found
+                bad.append((n, p))
+        if bad and len(low) == len(text):
+            ends = [m.span() for m in SENTENCE.finditer(low)]
+            starts, stops = [0, *(e for _, e in ends)], [*(b for b, _ in ends), len(low)]
+            return -math.expm1(clean), [(starts[n], stops[n], p) for n, p in bad]
+        return -math.expm1(clean), [(None, None, p) for _, p in bad]
 
     return score
 

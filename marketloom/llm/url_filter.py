@@ -10,7 +10,8 @@ links to bad hosts is bad. A host is blocked if its distrust is ``THRESHOLD`` or
 of the sum of both, and allowed if nothing reaches it.
 
 Null urls, and those without ``://``, have an empty host and path: no rule fits, no
-edge leaves them, and they are allowed. Null html has no links. Every row of a page_id
+edge leaves them, and they are allowed. Null html has no links. Of rules of the same
+length that fit, the first in the order of host and path decides. Every row of a page_id
 is judged by itself. Columns other than page_id, url and html are ignored.
 """
 
@@ -19,14 +20,16 @@ from __future__ import annotations
 import string
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import plain, written
 
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-DAMPING, ROUNDS, THRESHOLD = 0.85, 10, 0.5
+DAMPING, THRESHOLD = 0.85, 0.5
+#: Share of the seeds' weight that may still be under way at the end.
+TOLERANCE = 1e-3
 LINK = r"(?i)(?:href|src)\s*=\s*[\"']?(?:https?:)?//([^/?#\"'\s<>]+)"
 
 
@@ -66,22 +69,39 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.union(both).where("src != dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def spread_scores(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, host, score): personalised PageRank by kind. ``edges`` (kind, src, dst,
-    weight); ``seeds`` (kind, host, weight). What hosts without edges hold goes back to
-    the seeds."""
+def spread_scores(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(kind, host, score): personalised PageRank by kind, summing to 1. ``edges``
+    (kind, src, dst, weight); ``seeds`` (kind, host, weight).
+
+    Each round moves on what the last one moved, and adds it to what hosts hold,
+    until every host that can be reached is and less than ``tolerance`` of each kind's
+    seeds is under way. What reaches a host without edges out stays
+    there; returning it to the seeds would only scale all scores of the kind alike.
+    """
     total = seeds.groupBy("kind").agg(F.sum("weight").alias("all"))
-    seeds = written(seeds.join(total, "kind").select("kind", "host", (F.col("weight") / F.col("all")).alias("seed")), "seeds")
     out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("all"))
     shares = written(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("all")).alias("share")), "shares")
-    scores = seeds.withColumnRenamed("seed", "score")
-    for _ in range(rounds):
-        moved = scores.withColumnRenamed("host", "src").join(shares, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"))
-        moved = written(moved.groupBy("kind", "host").agg(F.sum("score").alias("score")), "moved")
-        lost = {k: 1 - v for k, v in moved.groupBy("kind").agg(F.sum("score")).collect()}
-        rest = F.when(F.col("kind") == "trust", lost.get("trust", 1.0)).otherwise(lost.get("distrust", 1.0))
-        scores = moved.union(seeds.select("kind", "host", F.col("seed") * rest)).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-    return written(scores, "host-scores")
+    held = seeds.join(total, "kind").select("kind", "host", (F.col("weight") / F.col("all")).alias("score"), (F.col("weight") / F.col("all")).alias("moving"))
+    held, left, reached = _written_with_sums(held)
+    before = 0
+    while left >= tolerance or reached > before:
+        before = reached
+        moved = held.where("moving > 0").select("kind", F.col("host").alias("src"), "moving").join(shares, ["kind", "src"])
+        moved = moved.select("kind", F.col("dst").alias("host"), (damping * F.col("moving") * F.col("share")).alias("score")).withColumn("moving", F.col("score"))
+        both = held.select("kind", "host", "score", F.lit(0.0).alias("moving")).union(moved)
+        held, left, reached = _written_with_sums(both.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("moving").alias("moving")))
+    whole = held.groupBy("kind").agg(F.sum("score").alias("all"))
+    return held.join(whole, "kind").select("kind", "host", (F.col("score") / F.col("all")).alias("score"))
+
+
+def _written_with_sums(held: DataFrame) -> tuple[DataFrame, float, int]:
+    """The written rows; the larger sum of ``moving`` of the kinds, and the number of
+    hosts reached, both taken while writing."""
+    seen = Observation()
+    sums = [F.sum(F.when(F.col("kind") == k, F.col("moving"))).alias(k) for k in ("trust", "distrust")]
+    out = written(held.observe(seen, *sums, F.count("*").alias("n")), "host-scores")
+    got = seen.get
+    return out, max(got["trust"] or 0.0, got["distrust"] or 0.0), got["n"]
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = THRESHOLD) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -168,21 +169,37 @@ def test_url_filter(spark):
 
 
 def test_url_graph_brute_force(spark):
+    """Against the solved equations."""
     edges = [("trust", "a", "b", 2.0), ("trust", "a", "c", 1.0), ("trust", "b", "a", 1.0), ("distrust", "c", "a", 1.0)]
     seeds = [("trust", "a", 3.0), ("trust", "d", 1.0), ("distrust", "c", 5.0)]
-    got = url_filter.spread_scores(spark.createDataFrame(edges, "kind string, src string, dst string, weight double"), spark.createDataFrame(seeds, "kind string, host string, weight double"), rounds=4).collect()
+    got = url_filter.spread_scores(spark.createDataFrame(edges, "kind string, src string, dst string, weight double"), spark.createDataFrame(seeds, "kind string, host string, weight double"), tolerance=1e-9).collect()
     for kind in ("trust", "distrust"):
-        total = sum(w for k, _, w in seeds if k == kind)
-        seed = {h: w / total for k, h, w in seeds if k == kind}
-        score = dict(seed)
-        for _ in range(4):
-            new = Counter()
-            for k, s, d, w in edges:
-                if k == kind:
-                    new[d] += 0.85 * score.get(s, 0) * w / sum(e[3] for e in edges if e[0] == k and e[1] == s)
-            lost = 1 - sum(new.values())
-            score = {h: new[h] + lost * seed.get(h, 0) for h in {*new, *seed}}
-        assert {r.host: pytest.approx(r.score) for r in got if r.kind == kind} == score
+        hosts = sorted({h for e in edges if e[0] == kind for h in e[1:3]} | {h for k, h, _ in seeds if k == kind})
+        at = {h: i for i, h in enumerate(hosts)}
+        seed = np.zeros(len(hosts))
+        for k, h, w in seeds:
+            if k == kind:
+                seed[at[h]] += w
+        seed /= seed.sum()
+        move = np.zeros((len(hosts), len(hosts)))
+        for k, s, d, w in edges:
+            if k == kind:
+                move[at[d], at[s]] += w / sum(e[3] for e in edges if e[0] == k and e[1] == s)
+        # what a host without edges holds goes back to the seeds
+        for h in hosts:
+            if not move[:, at[h]].any():
+                move[:, at[h]] = seed
+        score = np.linalg.solve(np.eye(len(hosts)) - 0.85 * move, 0.15 * seed)
+        want = {h: pytest.approx(score[at[h]], abs=1e-8) for h in hosts if score[at[h]] > 1e-12}
+        assert {r.host: r.score for r in got if r.kind == kind and r.score > 1e-12} == want
+
+
+def test_url_distrust_reaches_the_end_of_a_chain(spark):
+    """A chain of links that ends in a blocked host: all are blocked, the nearer the worse."""
+    pages = [(i, f"http://h{i}.com/", f"<a href='http://h{i + 1}.com/'>") for i in range(15)] + [(15, "http://h15.com/", "<a href='http://bad.net/x'>"), (16, "http://bad.net/x", None)]
+    got = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert {r.verdict for r in got.values()} == {"block"}
+    assert all(got[i].distrust < got[i + 1].distrust for i in range(16))
 
 
 def test_secrets(docs, rows):
@@ -218,6 +235,21 @@ def test_linked_brute_force(docs):
     assert got == want and want
 
 
+def test_scan_is_not_quadratic():
+    text = "".join(f"password = hunter{i:06d}\nuser: someone{i}\nhttps://h{i}.example.com/\n" for i in range(20_000))
+    began = time.process_time()
+    strong, weak = secrets.scan(text)
+    assert time.process_time() - began < 5 and len(strong) == 20_000 and len(weak) == 40_000
+
+
+def test_apart_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        spans = lambda n: [("k", int(a), int(a + b)) for a, b in zip(rng.integers(0, 60, n), rng.integers(1, 9, n), strict=True)]
+        strong, weak = spans(rng.integers(0, 6)), spans(12)
+        assert secrets.apart(weak, strong) == [w for w in weak if not any(w[1] < e and s < w[2] for _, s, e in strong)]
+
+
 def test_redact(docs):
     out = {r.doc_id: r for r in secrets.redact(docs).where("doc_id > 900000").collect()}
     assert "[assign]" in out[900011].text and "AKIA" not in out[900011].text and out[900011].n_chars == len(out[900011].text)
@@ -424,6 +456,40 @@ def test_licenses_brute_force(spark, docs):
     assert licenses.license_report(both.limit(0)).collect() == []
 
 
+def test_license_templates_of_any_length(spark):
+    rng = np.random.default_rng(6)
+    long = " ".join(f"w{x}" for x in rng.integers(0, 500, 900))
+    given = {"long": long, "mid": " ".join(long.split()[:60]), "short": "one two three four five"}
+    docs = spark.createDataFrame([(1, f"intro {long} end"), (2, "zero one two three four five six"), (3, " ".join(long.split()[5:300]))], "doc_id long, text string")
+    got = {(r.doc_id, r.license): (r.start, r.end, r.share) for r in licenses.scan_licenses(docs, given).collect()}
+    assert got == {(1, "long"): (1, 901, 1.0), (1, "mid"): (1, 61, 1.0), (2, "short"): (1, 6, 1.0), (3, "mid"): (0, 55, pytest.approx(51 / 56))}
+    with pytest.raises(ValueError, match="tiny"):
+        licenses.scan_licenses(docs, given | {"tiny": "four words are few"})
+    bsd3 = "\n".join(licenses.TEMPLATES[n] for n in ("BSD-3-Clause", "BSD-3-Clause-endorsement"))
+    both = spark.createDataFrame([(2, licenses.TEMPLATES["BSD-3-Clause"]), (3, bsd3)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.license) for r in licenses.license_report(both).collect()) == [(2, "BSD-3-Clause"), (3, "BSD-3-Clause"), (3, "BSD-3-Clause-endorsement")]
+
+
+def test_license_bands_find_what_containment_finds(spark):
+    """Damaged copies of the templates at or above the least containment: none is lost."""
+    rng = np.random.default_rng(7)
+    texts = []
+    for i in range(400):
+        name, text = list(licenses.TEMPLATES.items())[i % len(licenses.TEMPLATES)]
+        w = text.split()
+        if len(w) > 12:
+            w[int(rng.integers(0, len(w)))] = "changed"
+        texts.append((i, name, " ".join([*(f"f{x}" for x in rng.integers(0, 999, rng.integers(0, 90))), *w, *(f"g{x}" for x in rng.integers(0, 999, 40))])))
+    found = {(r.doc_id, r.license) for r in licenses.license_report(spark.createDataFrame([(i, t) for i, _, t in texts], "doc_id long, text string")).collect()}
+    due = 0
+    for i, name, text in texts:
+        own = set(licenses._plain_shingles(licenses.TEMPLATES[name]))
+        if len(own & set(licenses._plain_shingles(text))) >= 0.8 * len(own):
+            due += 1
+            assert (i, name) in found
+    assert due > 200
+
+
 def test_license_plan_is_native(spark, docs):
     plan = licenses.license_report(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan.replace("ArrowEval", "Arrow"))
@@ -456,6 +522,24 @@ def test_toxic_sentences(spark):
     assert toxicity.fit(toxicity.training_rows(docs, labels.where("toxic = 0"))) == {}
 
 
+def test_toxic_sentences_are_located(spark):
+    """Each by its own place, also where its text occurs inside an earlier one."""
+    score = toxicity.scorer({"": -4.0, "fool": 9.0, "nice": -9.0})
+    assert [x[:2] for x in score("you fool nice\nhello\nyou fool")[1]] == [(20, 28)]
+    assert [x[:2] for x in score("fool! fool... Fool")[1]] == [(0, 4), (5, 10), (13, 18)]
+    assert [x[:2] for x in score("İ fool")[1]] == [(None, None)]
+
+
+def test_training_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(1, f"copy {i}") for i in range(2000)] + [(2, "x" * 5000), (3, "clean"), (4, "also clean"), (5, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 0), (4, 0), (5, 0)], "doc_id long, toxic int")
+    assert toxicity.training_rows(docs, labels, per_class=1).count() == 2
+    got = toxicity.training_rows(docs, labels, chars=1000).collect()
+    # the long text is beyond the bound; the other toxic label stands for both
+    toxic = [r for r in got if r.y == 1]
+    assert len(got) == 3 + len(toxic) and all(len(r.text) < 1000 and r.weight == 2.0 for r in toxic) and len(toxic) <= 1
+
+
 def test_toxicity_cap_keeps_the_class_ratio(spark):
     rng = np.random.default_rng(3)
     rows = []
