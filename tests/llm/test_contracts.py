@@ -379,13 +379,6 @@ def test_simhash_dense_buckets(spark):
         assert groups == {frozenset(v for v in root if find(v) == r) for r in {find(v) for v in root}}
 
 
-def test_keep_first(spark):
-    base = " ".join(f"word{i}" for i in range(300))
-    docs = spark.createDataFrame([(5, base, "a"), (3, base, "b"), (9, base + " more", "c"), (1, "clean one here", None), (None, "x y z", "d"), (2, None, "e"), (4, "", "f")], "doc_id long, text string, fp string")
-    got = sorted(simhash.keep_first(docs).collect(), key=repr)
-    assert {r.doc_id for r in got} == {3, 1, None, 2} and got[0].asDict().keys() == {"doc_id", "text", "fp"}
-
-
 def test_quality_model_held_out(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
@@ -571,5 +564,5 @@ def test_toxicity_of_long_clean_text(spark):
 def test_empty_tables(spark):
     docs = table(spark, SF, "documents").limit(0)
     labels, items, pages = (table(spark, SF, n).limit(0) for n in ("labels", "benchmark", "pages"))
-    for df in (suffix_dedup.suffix_dedup_report(docs), packing.pack(docs), url_filter.filter_urls(pages), secrets.secrets_report(docs), decontaminate.decontamination_report(docs, items), quality_rules.quality_report(docs), simhash.simhash_report(docs), toxicity.toxicity_report(docs, labels), toxicity.drop_toxic(docs, labels), simhash.keep_first(docs), decontaminate.decontaminate(docs, items), secrets.redact(docs)):
+    for df in (suffix_dedup.suffix_dedup_report(docs), packing.pack(docs), url_filter.filter_urls(pages), secrets.secrets_report(docs), decontaminate.decontamination_report(docs, items), quality_rules.quality_report(docs), simhash.simhash_report(docs), toxicity.toxicity_report(docs, labels), toxicity.drop_toxic(docs, labels), decontaminate.decontaminate(docs, items), secrets.redact(docs)):
         assert df.collect() == []

@@ -11,7 +11,8 @@ import pytest
 import corpus_pipeline
 from marketloom.llm import packing, secrets, toxicity
 from marketloom.llm.common import table
-from tests.llm.test_contracts import brute_simhash, contamination
+from tests.llm.test_contracts import contamination
+from tests.llm.test_near_copies import five_words
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,16 +51,17 @@ def test_stages(spark, sf):
     assert Counter(rows_of(clean)) == Counter((d, t) for d, t in rows_of(docs) if score(t or "")[0] < 0.5)
 
     single = stages["near_duplicates"](spark, clean, sf).cache()
-    rows = rows_of(clean)
-    fps, label = [brute_simhash(t) for _, t in rows], list(range(len(rows)))
+    rows = [(d, t) for d, t in rows_of(clean) if d is not None]
+    sets, label = [five_words(t) for _, t in rows], list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            if label[i] != label[j] and (fps[i] ^ fps[j]).bit_count() <= 3:
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 low, high = sorted((label[i], label[j]))
                 label = [low if x == high else x for x in label]
-    groups = {x: [d for (d, _), y in zip(rows, label) if y == x and d is not None] for x in set(label)}
-    want = Counter(min(g) for g in groups.values() if g) + Counter(d for d, _ in rows if d is None)
+    groups = {x: [d for (d, _), y in zip(rows, label) if y == x] for x in set(label)}
+    want = Counter(min(g) for g in groups.values()) + Counter([None])
     assert Counter(d for d, _ in rows_of(single)) == want and single.columns == docs.columns
+    assert len(want) < len(rows) - 10
 
     fresh = stages["decontamination"](spark, single, sf).cache()
     items = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()]
