@@ -396,11 +396,41 @@ def test_quality_model_cap_keeps_the_class_ratio(spark):
         right = lambda a, b, good=good: a if (rng.random() < 0.7) == good else b
         rows.append((i, f"{right('fine', 'awful')} words number {i % 10}", "en", right("a", "b"), int(good)))
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, quality int")
-    views = quality_model.fit_quality(df, df, labelled=600)
-    got = quality_model.score_quality(df, views).agg(F.avg("content_score"), F.avg("metadata_score")).first()
+    features = quality_model.features_of(df)
+    views = quality_model.fit_quality(features, df, labelled=600)
+    got = quality_model.score_quality(features, views).agg(F.avg("content_score"), F.avg("metadata_score")).first()
     assert all(abs(x - 6 / 7) < 0.08 for x in got), got
 
 
+def test_quality_pool_is_searched_whole(spark):
+    """The rows a round is surest of come from the whole pool, by quantiles over it, and
+    their number follows its size; only what is fitted to is a sample."""
+    rng = np.random.default_rng(5)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["fine", "awful", "x", "y"], 8)), "en", "a") for i in range(3000)], "doc_id long, text string, lang string, source string")
+    features = quality_model.features_of(docs)
+    view = quality_model.View([])
+    view.weight = np.zeros(quality_model.WIDTH)
+    view.weight[quality_model.hashed("wfine")], view.weight[quality_model.hashed("wawful")] = 3.0, -3.0
+    odds = {r.doc_id: r.c_odds for r in quality_model.with_odds(features, (view, view), "doc_id").collect()}
+    ranked = sorted(odds, key=odds.get)
+    got = quality_model.confident(features, (view, view), 0.2, 0.5, most=10_000).where("pupil = 1").collect()
+    low, high = (sorted(odds[r.doc_id] for r in got if r.y == y) for y in (0, 1))
+    assert low == sorted(v for v in odds.values() if v <= odds[ranked[299]]) and high == sorted(v for v in odds.values() if v >= odds[ranked[-300]])
+    few = quality_model.confident(features, (view, view), 0.2, 0.5, most=50).groupBy("pupil", "y").count().collect()
+    assert {(r.pupil, r.y, r["count"]) for r in few} == {(1, 0, 50), (1, 1, 50)}
+
+
+def test_quality_labels_of_repeated_rows(spark):
+    """Rows of one labelled id reach the driver once."""
+    rows = [(1, f"fine copy {i}", "en", "a") for i in range(500)] + [(i, "awful text" if i % 2 else "fine text", "en", "a") for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0 or i == 1)) for i in range(1, 60)] * 2, "doc_id long, quality int")
+    features = quality_model.features_of(docs)
+    views = quality_model.fit_quality(features, labels, rounds=0)
+    assert views[0].n == 59
+    assert quality_model.score_quality(features, views).count() == len(rows)
+
+
 def test_quality_model_awkward(spark, docs, rows):
     labels = table(spark, SF, "labels").union(spark.createDataFrame([(900004, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int"))
     got = quality_model.quality_scores(docs, labels).collect()
@@ -564,5 +594,5 @@ def test_toxicity_of_long_clean_text(spark):
 def test_empty_tables(spark):
     docs = table(spark, SF, "documents").limit(0)
     labels, items, pages = (table(spark, SF, n).limit(0) for n in ("labels", "benchmark", "pages"))
-    for df in (suffix_dedup.suffix_dedup_report(docs), packing.pack(docs), url_filter.filter_urls(pages), secrets.secrets_report(docs), decontaminate.decontamination_report(docs, items), quality_rules.quality_report(docs), simhash.simhash_report(docs), toxicity.toxicity_report(docs, labels), toxicity.drop_toxic(docs, labels), decontaminate.decontaminate(docs, items), secrets.redact(docs)):
+    for df in (suffix_dedup.suffix_dedup_report(docs), packing.pack(docs), url_filter.filter_urls(pages), secrets.secrets_report(docs), decontaminate.decontamination_report(docs, items), quality_rules.quality_report(docs), simhash.simhash_report(docs), toxicity.toxicity_report(docs, labels), toxicity.drop_toxic(docs, labels), quality_model.quality_scores(docs, labels), licenses.license_report(docs), decontaminate.decontaminate(docs, items), secrets.redact(docs)):
         assert df.collect() == []
