@@ -7,8 +7,11 @@ most significant digit first, and equal groups are exactly the repeated strings.
 * The first digit deals suffixes out: the rarest (by a hash) of the 16-byte grams
   in a suffix's first ``DEPTH`` bytes. Neighbouring suffixes mostly share it, so they
   travel as one run of bytes, and equal strings have the same one wherever they are.
+  Grams so frequent that they would fill a bucket are passed over for the next rarest
+  one; a suffix of none but such grams goes by a hash of all its bytes. So a line
+  between differing neighbours that a third of all documents have is no one's bucket.
 * In a bucket, groups of a gram that one document has alone are dropped. Runs that
-  are equal throughout are settled as one. What is left goes through passes of
+  are equal throughout, byte by byte, are settled as one. What is left goes through passes of
   8-byte digits; each pass drops the groups that one document has alone, and after
   the last the equal suffixes remain. All but those of the smallest doc_id repeat it.
 * The same is done first within each unit of ``UNIT`` bytes of text, and what is
@@ -32,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import by_batch, plain, row_key
+from marketloom.llm.common import by_batch, plain, row_key, written
 
 DEPTH = 50
 GRAM = 16
@@ -42,6 +45,8 @@ UNIT, BUCKET = 4 << 20, 12 << 20
 SLICE = 1 << 18
 #: Bytes of runs that are hashed or sorted at once.
 PIECE = 1 << 20
+#: One document in so many is weighed to find the grams that are no use as first digit, and at most so many such grams.
+SAMPLED, MOST_HOT = 8, 1_000_000
 #: Of compression, for what is shuffled.
 LEVEL = 6
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -66,6 +71,25 @@ def rarest(h: np.ndarray, width: int) -> np.ndarray:
     return h if step == width else np.minimum(h[: len(h) - (width - step)], h[width - step :])
 
 
+def first_digit(data: np.ndarray, hot: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """For each ``depth`` bytes of a stretch, the rarest of its grams that isn't ``hot``
+    (sorted hashes); if all are, a hash of the whole."""
+    width = depth - GRAM + 1
+    h = gram_hashes(data)
+    if not len(hot):
+        return rarest(h, width)
+    at = np.searchsorted(hot, h)
+    at[at == len(hot)] = 0
+    cool = np.where(hot[at] == h, ~np.uint64(0), h)
+    v = rarest(cool, width)
+    if len(lost := np.flatnonzero(v == ~np.uint64(0))):
+        x = np.zeros(len(lost), np.uint64)
+        for place in (*range(0, depth - GRAM, GRAM), depth - GRAM):
+            x = (x ^ (x >> np.uint64(29))) * ODD[1] + h[lost + place]
+        v[lost] = x >> np.uint64(1)
+    return v
+
+
 def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """first, first + 1, ... (n of them), for each run, one after the other."""
     return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
@@ -128,6 +152,7 @@ def settle(data: np.ndarray, at: np.ndarray, n: np.ndarray, doc: np.ndarray, gra
     order = np.lexsort((doc[runs], n[runs], content, gram[runs]))
     runs, content = runs[order], content[order]
     same = (gram[runs][1:] == gram[runs][:-1]) & (content[1:] == content[:-1]) & (n[runs][1:] == n[runs][:-1])
+    same[same] = equal_runs(data, at[runs[:-1][same]], at[runs[1:][same]], n[runs[1:][same]] + depth - 1)
     head = np.append(True, ~same)
     cls = np.cumsum(head) - 1
     heads = runs[head]
@@ -149,6 +174,16 @@ def settle(data: np.ndarray, at: np.ndarray, n: np.ndarray, doc: np.ndarray, gra
     return out
 
 
+def equal_runs(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes from ``a`` and from ``b`` on are the same."""
+    out = np.ones(len(a), bool)
+    for i, j in pieces(size):
+        own = size[i:j]
+        differs = data[spread(a[i:j], own)] != data[spread(b[i:j], own)]
+        out[i:j] = ~np.logical_or.reduceat(differs, np.cumsum(own) - own)
+    return out
+
+
 def pieces(sizes: np.ndarray, border: np.ndarray | None = None, most: int = PIECE) -> list[tuple[int, int]]:
     """Ranges of at most ``most`` in all, or of one; they start at borders."""
     starts = np.arange(len(sizes)) if border is None else np.flatnonzero(border)
@@ -178,7 +213,7 @@ BLOCK = pa.schema([("bucket", pa.int64()), ("docs", pa.list_(pa.int64())), ("key
 BLOCK_DDL = "bucket long, docs array<long>, keys array<long>, per_doc binary, start binary, n binary, gram binary, data binary"
 
 
-def _dealt(buckets: int, unit: int, depth: int) -> callable:
+def _dealt(buckets: int, unit: int, depth: int, hot: np.ndarray) -> callable:
     width = depth - GRAM + 1
 
     def blocks(parts: list[tuple[int, int, int, bytes]]) -> list[tuple]:
@@ -191,7 +226,7 @@ def _dealt(buckets: int, unit: int, depth: int) -> callable:
         for b in range(0, len(data), SLICE):
             own = data[b : b + SLICE + depth - 1]
             if len(own) >= depth:
-                v = rarest(gram_hashes(own), width)
+                v = first_digit(own, hot, depth)
                 value[b : b + len(v)] = v
         valid, border = np.ones(len(data), bool), np.zeros(len(data), bool)
         border[begin] = True
@@ -325,16 +360,65 @@ def _settled(groups: int, depth: int) -> callable:
     return run
 
 
-def parts_of(docs: DataFrame, size: int = BUCKET) -> int:
-    """Buckets, and groups of documents, of about ``size`` bytes of text."""
-    return max(1, math.ceil((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / size))
+def _weighed(depth: int, hot: np.ndarray) -> callable:
+    """Bytes by gram, of those that a stretch of text has more than once: of the runs
+    that it leads; with ``hot``, of all runs it could lead among those that
+    these lead, which are the other grams of the same frequent strings."""
+    width = depth - GRAM + 1
 
+    def grams_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        v = first_digit(data, NONE, depth)
+        if not len(hot):
+            first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+            return v[first], np.diff(np.append(first, len(v))) + depth - 1
+        at = np.minimum(np.searchsorted(hot, v), len(hot) - 1)
+        led = np.flatnonzero(hot[at] == v)
+        edge = np.zeros(len(v) + width, np.int32)
+        np.add.at(edge, led, 1)
+        np.add.at(edge, led + width, -1)
+        inside = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+        return gram_hashes(data)[inside], np.full(len(inside), width + depth - 1)
 
-def repeated_spans(docs: DataFrame, parts: int, depth: int = DEPTH, unit: int = UNIT) -> DataFrame:
+    def work(batch: pa.RecordBatch) -> dict:
+        grams, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        raws = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch["text"]]
+        for raw in (r for r in raws if len(r) >= depth):
+            for b in range(0, len(raw) - depth + 1, SLICE):
+                found, size = grams_of(np.frombuffer(raw[b : b + SLICE + depth - 1], np.uint8))
+                grams.append(found)
+                sizes.append(size)
+        found, place, often = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+        weight = np.bincount(place, np.concatenate(sizes), len(found)).astype(np.int64)
+        return {"gram": found[often > 1].view(np.int64), "bytes": weight[often > 1]}
+
+    return work
+
+
+NONE = np.zeros(0, np.uint64)
+
+
+def hot_grams(docs: DataFrame, total: int, depth: int = DEPTH, bucket: int = BUCKET, share: int = SAMPLED) -> np.ndarray:
+    """Hashes of the grams that would lead a quarter of a bucket's bytes or more to one
+    bucket, and of those that could take their place, by a sample of one document in ``share``: it only balances the buckets, the
+    result doesn't depend on it. At most ``MOST_HOT``, by the least weight that counts."""
+    least = max(bucket // 4, total // MOST_HOT)
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(share)) == 0).select("text")
+    schema = pa.schema([("gram", pa.int64()), ("bytes", pa.int64())])
+
+    def heavy(hot: np.ndarray) -> np.ndarray:
+        weights = sample.mapInArrow(by_batch(lambda: _weighed(depth, hot), schema, 512), "gram long, bytes long").groupBy("gram").agg(F.sum("bytes").alias("bytes"))
+        found = weights.where(F.col("bytes") * share >= least).select("gram").toArrow()
+        return np.sort(found["gram"].to_numpy().view(np.uint64))
+
+    leading = heavy(NONE)
+    return np.union1d(leading, heavy(leading)) if len(leading) else leading
+
+
+def repeated_spans(docs: DataFrame, parts: int, hot: np.ndarray, depth: int = DEPTH, unit: int = UNIT) -> DataFrame:
     """For each bucket and group of documents, packed: the suffixes whose first
     ``depth`` bytes start in a smaller document, too."""
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text_key", "text")
-    dealt = rows.mapInArrow(_dealt(parts, unit, depth), BLOCK_DDL)
+    dealt = rows.mapInArrow(_dealt(parts, unit, depth, hot), BLOCK_DDL)
     return dealt.groupBy("bucket").applyInArrow(_settled(parts, depth), SPANS_DDL)
 
 
@@ -365,30 +449,47 @@ def _kept(schema: pa.Schema, depth: int, digest: bool) -> callable:
                 np.add.at(edge, first + n + depth - 1, -1)
             gone = np.cumsum(edge[:-1]) > 0
             kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if gone.any() else raw
-            row = (doc, len(raw), int(gone.sum()), int((np.diff(gone.view(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest() if digest else kept)
-            for c, v in zip(out, row, strict=True):
+            row = (doc, len(raw), int(gone.sum()), int((np.diff(gone.view(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest() if digest else kept, key)
+            for c, v in zip(out, row, strict=False):
                 out[c].append(v)
         return pa.table([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, depth: int = DEPTH, digest: bool = False, unit: int = UNIT, bucket: int = BUCKET) -> DataFrame:
+def remove_repeats(docs: DataFrame, depth: int = DEPTH, digest: bool = False, unit: int = UNIT, bucket: int = BUCKET, sampled: int = SAMPLED) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the bytes that are kept (with
     ``digest`` their SHA-256) of every document.
 
     Documents are dealt to as many groups as there are buckets, by id and text, so
-    a bucket answers each group with one row, and copies spread over all groups.
+    a bucket answers each group with one row, and copies spread over all groups. Of equal
+    rows of one id one is worked on, and all get its result.
     """
     df = plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text_key", row_key())
-    parts = parts_of(df, bucket)
+    rows = written(df.groupBy("doc_id", "text_key").agg(F.count("*").alias("copies"), F.sum(F.octet_length("text")).alias("bytes")), "row-counts")
+    total = rows.agg(F.sum("bytes")).first()[0] or 0
+    parts = max(1, math.ceil(total / bucket))
+    repeated = rows.where("copies > 1").select("doc_id", "text_key", "copies")
+    again = not repeated.isEmpty()
+    if again:
+        # a null doc_id is equal to another one here
+        is_copy = df["doc_id"].eqNullSafe(repeated["doc_id"]) & (df["text_key"] == repeated["text_key"])
+        once = df.join(repeated, is_copy, "left_anti")
+        df = written(once.unionByName(df.join(repeated, is_copy, "left_semi").dropDuplicates(["doc_id", "text_key"])), "single-rows")
+    hot = hot_grams(df, total, depth, bucket, sampled)
     group = F.pmod(F.coalesce("doc_id", F.lit(0)).bitwiseXOR(F.col("text_key")), F.lit(parts).cast("long"))
     raw = pa.schema([("group", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("raw", pa.binary())])
     texts = df.withColumn("group", group).mapInArrow(by_batch(_compressed, raw), "group long, doc_id long, text_key long, raw binary")
-    spans = repeated_spans(df, parts, depth, unit)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string() if digest else pa.binary())])
-    ddl = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}"
-    return texts.groupBy("group").cogroup(spans.groupBy("group")).applyInArrow(_kept(schema, depth, digest), ddl)
+    spans = repeated_spans(df, parts, hot, depth, unit)
+    names = ("doc_id", "n_bytes", "n_removed", "n_spans")
+    schema = pa.schema([*((n, pa.int64()) for n in names), ("kept", pa.string() if digest else pa.binary()), *([("text_key", pa.int64())] if again else [])])
+    ddl = ", ".join([*(f"{n} long" for n in names), f"kept {'string' if digest else 'binary'}", *(["text_key long"] if again else [])])
+    out = texts.groupBy("group").cogroup(spans.groupBy("group")).applyInArrow(_kept(schema, depth, digest), ddl)
+    if not again:
+        return out
+    of = out["doc_id"].eqNullSafe(repeated["doc_id"]) & (out["text_key"] == repeated["text_key"])
+    counted = out.join(repeated, of, "left").select(*(out[c] for c in (*names, "kept")), F.explode(F.sequence(F.lit(1), F.coalesce("copies", F.lit(1)).cast("int"))).alias("copy"))
+    return counted.drop("copy")
 
 
 def suffix_dedup_report(docs: DataFrame) -> DataFrame:

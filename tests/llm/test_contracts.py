@@ -78,10 +78,44 @@ def test_suffix_dedup(docs, rows):
         want.append((d, len(raw), int(mask.sum()), int((np.diff(mask.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
     assert sum(w[2] for w in want) > 1000
     same([tuple(r) for r in suffix_dedup.suffix_dedup_report(docs).collect()], want)
-    small = suffix_dedup.remove_repeats(docs, digest=True, unit=3000, bucket=5000)
+    small = suffix_dedup.remove_repeats(docs, digest=True, unit=3000, bucket=5000, sampled=1)
     same([tuple(r) for r in small.collect()], want)
 
 
+def test_suffix_dedup_with_a_line_in_every_document(spark):
+    """A line of 40 bytes between differing neighbours: its grams lead to no bucket."""
+    rng = np.random.default_rng(9)
+    line = "this line of forty bytes is everywhere!\n"
+    word = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    rows = [(i, "".join(f"{word(int(rng.integers(30, 60)))}{line}" for _ in range(5))) for i in range(300)]
+    rows += [(1000, rows[7][1][10:200]), (1001, line * 4), (1002, line * 3), (1003, "x" + line + rows[9][1])] + [(1004, rows[3][1])] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).withColumn("text_key", F.xxhash64("text")).cache()
+    first, want = {}, Counter()
+    for d, t in rows:
+        raw = t.encode()
+        for i in range(len(raw) - 49):
+            first[raw[i : i + 50]] = min(first.get(raw[i : i + 50], d), d)
+    for d, t in rows:
+        raw = t.encode()
+        mask = union([(i, i + 50) for i in range(len(raw) - 49) if first[raw[i : i + 50]] < d], len(raw))
+        want[d, len(raw), int(mask.sum()), int((np.diff(mask.astype(int), prepend=0) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(raw, np.uint8)[~mask])).hexdigest()] += 1
+    bucket = 8000
+    docs_once = docs.dropDuplicates().cache()
+    hot = suffix_dedup.hot_grams(docs_once, 10**6, bucket=bucket, share=1)
+    assert 0 < len(hot) < 100
+    assert Counter(map(tuple, suffix_dedup.remove_repeats(docs, digest=True, unit=4000, bucket=bucket, sampled=1).collect())) == want
+
+    def largest(grams):
+        dealt = docs_once.select("doc_id", "text_key", "text").mapInArrow(suffix_dedup._dealt(40, 4000, 50, grams), suffix_dedup.BLOCK_DDL)
+        sizes = Counter()
+        for r in dealt.where("data IS NOT NULL").collect():
+            sizes[r.bucket] += len(suffix_dedup.unpacked(r.data, "u1"))
+        return max(sizes.values()), sum(sizes.values())
+
+    before, after = largest(np.zeros(0, np.uint64)), largest(hot)
+    assert before[0] > 8 * before[1] / 40 and after[0] < 3 * after[1] / 40 and after[0] < before[0] / 2
+
+
 def test_packing(docs, rows, spark):
     from tokenizers import Tokenizer
 
