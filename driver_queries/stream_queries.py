@@ -86,12 +86,38 @@ add(
 )
 
 
+add(
+    "stream_monthly_sentiment",
+    lambda s, d: streams.stream_monthly_sentiment(event_months(s, d), shared_dir(s, "stream-month")),
+    "ticker month sentiment_mean:f6 sentiment_std:f6 news_count",
+    """spread_out AS (SELECT event_type AS ticker, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(event_id % 100 AS INTEGER)) + to_seconds(CAST(event_id % 86400 AS BIGINT)) AS moment, value FROM events),
+      q AS (SELECT ticker, strftime(moment, '%Y-%m') AS month, avg(value) AS sentiment_mean, coalesce(stddev_samp(value), 0) AS sentiment_std, count(value) AS news_count
+        FROM spread_out GROUP BY 1, 2 HAVING count(value) > 0
+        AND date_trunc('month', min(moment)) + INTERVAL 1 MONTH <= (SELECT date_trunc('day', date_trunc('millisecond', max(moment)) - INTERVAL 1 HOUR) FROM spread_out))""",
+)
+
+
+def event_months(s, d):
+    """The event stream spread over a hundred days, so that months come to an end."""
+    schema = s.read.parquet(f"{d}/events.parquet").schema
+    raw = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("event_id") % 100).cast("int"))
+    at = F.timestamp_seconds(F.unix_timestamp(day.cast("timestamp")) + F.col("event_id") % 86400)
+    return raw.select("event_id", F.col("event_type").alias("ticker"), at.alias("published_at"), F.col("value").alias("sentiment_score"))
+
+
 def _features(s, d):
-    """The dense price table arrives as files; features per micro-batch."""
-    path = shared_dir(s, "stream-prices")
-    t.dense(s, d).write.parquet(path)
-    prices = s.readStream.schema("ticker string, date date, close double").parquet(path)
-    return stream_features(prices, shared_dir(s, "stream-features"))
+    """The dense price table arrives in three parts by date, each a run of its own
+    that goes on from the state of the one before."""
+    path, out = shared_dir(s, "stream-prices"), shared_dir(s, "stream-features")
+    dense = t.dense(s, d)
+    first, last = dense.agg(F.min("date"), F.max("date")).first()
+    cuts = [first + (last - first) * k / 3 for k in (1, 2)]
+    within = [F.col("date") <= cuts[0], (F.col("date") > cuts[0]) & (F.col("date") <= cuts[1]), F.col("date") > cuts[1]]
+    for part in within:
+        dense.where(part).write.mode("append").parquet(path)
+        got = stream_features(s.readStream.schema("ticker string, date date, close double").parquet(path), out)
+    return got
 
 
 def _feature_sql() -> tuple[str, list[str]]:

@@ -2,58 +2,86 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from marketloom.operators.articles import cap_per_key
 from marketloom.operators.features import daily_features
 
 # The longest frame holds 120 returns, the oldest of which needs one more price.
 LOOKBACK = 120
+#: A ticker without rows for so long, by the dates of the stream, is forgotten.
+EXPIRY = "400 days"
+ROWS = "ticker string, date date, close double, fresh boolean"
+STATE = "days array<int>, closes array<double>"
+
+
+def _with_tail(lookback: int):
+    """Emits the remembered rows of a ticker and, marked as fresh, its new ones; remembers
+    the last ``lookback`` of both."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        days, closes = (list(x) for x in state.get) if state.exists else ([], [])
+        new = pd.concat(list(frames)).sort_values("date")
+        held = len(days)
+        days += [d.toordinal() for d in new["date"]]
+        closes += [None if pd.isna(c) else float(c) for c in new["close"]]
+        yield pd.DataFrame({
+            "ticker": key[0],
+            "date": [dt.date.fromordinal(d) for d in days],
+            "close": pd.Series(closes, dtype="float64"),
+            "fresh": [i >= held for i in range(len(days))],
+        })
+        state.update((days[-lookback:], closes[-lookback:]))
+        last = pd.Timestamp(dt.date.fromordinal(days[-1]), tz="UTC").value // 1_000_000
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
+
+    return step
 
 
-def features_of_batch(tail: DataFrame, batch: DataFrame) -> DataFrame:
-    """Features of the batch's (ticker, date) rows, by the batch definition.
+def with_history(prices: DataFrame, expiry: str = EXPIRY, lookback: int = LOOKBACK) -> DataFrame:
+    """Each micro-batch's new rows and, of the tickers in it, the rows before them that
+    the features need: (ticker, date, close, fresh).
 
-    ``tail`` holds the last LOOKBACK rows of every ticker before the batch;
-    only those of the touched tickers take part.
+    The state is keyed by ticker, holds ``lookback`` rows of each and is dropped
+    once the stream's dates have left the ticker's last row ``expiry`` behind.
     """
-    touched = batch.select("ticker").distinct()
-    rows = tail.join(touched, "ticker", "left_semi").unionByName(batch)
-    return daily_features(rows, dense=True).join(batch.select("ticker", "date"), ["ticker", "date"], "left_semi")
+    stamped = prices.select("ticker", "date", "close", F.col("date").cast("timestamp").alias("stamp")).withWatermark("stamp", expiry)
+    return stamped.groupBy("ticker").applyInPandasWithState(_with_tail(lookback), ROWS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def next_tail(tail: DataFrame, batch: DataFrame) -> DataFrame:
-    """The last LOOKBACK rows of every ticker after the batch."""
-    rows = tail.unionByName(batch).withColumn("_age", -F.unix_date("date"))
-    return cap_per_key(rows, ["ticker"], LOOKBACK, ["_age"]).drop("_age")
+def features_of_batch(rows: DataFrame) -> DataFrame:
+    """Features of the fresh rows, by the batch definition."""
+    fresh = rows.where("fresh").select("ticker", "date")
+    return daily_features(rows.drop("fresh"), dense=True).join(fresh, ["ticker", "date"], "left_semi")
 
 
-def stream_features(prices: DataFrame, path: str) -> DataFrame:
+def stream_features(prices: DataFrame, path: str, expiry: str = EXPIRY) -> DataFrame:
     """Feature rows for a price stream (ticker, date, close), in arrival order.
 
-    A micro-batch reads the tail left by the one before, a bounded number of
-    rows per ticker, never the whole history. Both outputs of a micro-batch go
-    to a folder of its own id and are overwritten on a retry, so replays do not
-    repeat rows. Rows must arrive in date order per ticker and be complete per
-    date, as a daily feed is.
+    A micro-batch reads and writes what its own tickers need: their last rows, from
+    keyed state, and their new ones. Its output goes to a folder of its own id and is
+    overwritten on a retry, so replays do not repeat rows. Rows must arrive in date
+    order per ticker and be complete per date, as a daily feed is; rows older than the
+    newest date by more than ``expiry`` are late and dropped.
     """
     spark = prices.sparkSession
-    columns = ["ticker", "date", "close"]
-    schema = prices.select(*columns).schema
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.select(*columns).persist()
-        if batch_id == 0:
-            tail = spark.createDataFrame([], schema)
-        else:
-            tail = spark.read.schema(schema).parquet(f"{path}/tail/batch={batch_id - 1}")
-        features_of_batch(tail, batch).write.mode("overwrite").parquet(f"{path}/features/batch={batch_id}")
-        next_tail(tail, batch).write.mode("overwrite").parquet(f"{path}/tail/batch={batch_id}")
-        batch.unpersist()
+        # the state may be asked once only
+        rows = batch.persist()
+        features_of_batch(rows).write.mode("overwrite").parquet(f"{path}/features/batch={batch_id}")
+        rows.unpersist()
 
     query = (
-        prices.writeStream.foreachBatch(handle)
+        with_history(prices, expiry).writeStream.foreachBatch(handle)
         .option("checkpointLocation", f"{path}/state")
         .trigger(availableNow=True)
         .start()

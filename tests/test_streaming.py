@@ -80,3 +80,42 @@ def test_stream_features_equal_batch(spark, tmp_path):
     expected = daily_features(dense, dense=True)
     order = ["ticker", "date"]
     pd.testing.assert_frame_equal(got.orderBy(*order).toPandas()[expected.columns], expected.orderBy(*order).toPandas())
+
+
+def test_stream_features_touch_only_their_tickers(spark, tmp_path):
+    """A micro-batch emits the history of its own tickers alone; idle ones expire."""
+    from marketloom.streaming.features import with_history
+
+    def arrive(rows):
+        spark.createDataFrame(rows, "ticker string, date date, close double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        prices = spark.readStream.schema("ticker string, date date, close double").parquet(str(tmp_path / "in"))
+        run_available(with_history(prices, "10 days", lookback=3), str(tmp_path / "out"))
+        return spark.read.parquet(str(tmp_path / "out" / "data")).collect()
+
+    day = dt.date(2024, 1, 1)
+    at = lambda n: day + dt.timedelta(n)
+    seen = arrive([(k, at(i), float(i)) for k in "AB" for i in range(5)])
+    assert len(seen) == 10 and all(r.fresh for r in seen)
+    more = arrive([("A", at(5), None)])
+    new = sorted([r for r in more if r not in seen or (r.ticker == "A" and not r.fresh)], key=lambda r: (r.date, r.fresh))
+    assert [(r.ticker, (r.date - day).days, r.close, r.fresh) for r in new] == [("A", 2, 2.0, False), ("A", 3, 3.0, False), ("A", 4, 4.0, False), ("A", 5, None, True)]
+    # B's last row is now more than ten days behind: when it comes back, it has no history
+    arrive([("A", at(40), 40.0)])
+    last = arrive([("B", at(41), 41.0)])
+    assert [r for r in last if r.ticker == "B" and not r.fresh] == [] and ("B", at(41), 41.0, True) in map(tuple, last)
+
+
+def test_streamed_months_equal_the_batch(spark, tmp_path):
+    """Month by month over three runs; the last month is still open."""
+    rows = [article(i, i * 5.3, score=((i * 37) % 100) / 50 - 1, ticker="AB"[i % 2]) for i in range(420)] + [article(900, 24 * 33, ticker="C"), {**article(901, 24 * 33, ticker="D"), "sentiment_score": None}]
+    rows.sort(key=lambda r: r["published"])
+    for k in range(3):
+        write(tmp_path / "in", f"{k}.json", rows[k * 141 : (k + 1) * 141])
+        got = streams.stream_monthly_sentiment(streams.stream_articles(spark, str(tmp_path / "in")), str(tmp_path / "out"))
+    got = {(r.ticker, r.month): (r.sentiment_mean, r.sentiment_std, r.news_count) for r in got.collect()}
+    clean = streams.clean_articles(spark.read.schema(stream_schema()).json(str(tmp_path / "in")))
+    batch = clean.groupBy("ticker", "month").agg(F.avg("sentiment_score").alias("mean"), F.coalesce(F.stddev_samp("sentiment_score"), F.lit(0.0)).alias("std"), F.count("sentiment_score").alias("n")).where("n > 0 AND month < '2024-04'").collect()
+    assert got.keys() == {(r.ticker, r.month) for r in batch} and len(got) == 7
+    for r in batch:
+        mean, std, n = got[r.ticker, r.month]
+        assert abs(mean - r["mean"]) < 1e-12 and abs(std - r["std"]) < 1e-12 and n == r.n
