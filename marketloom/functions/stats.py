@@ -24,21 +24,6 @@ def safe_corr(x: Column | str, y: Column | str) -> Column:
     return _clip_unit(F.try_divide(F.covar_samp(xs, ys), F.stddev_samp(xs) * F.stddev_samp(ys)))
 
 
-def corr_from_moments(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column, varies: Column) -> Column:
-    """Pearson r from sums, for data that was pre-aggregated before a join. ``varies``
-    says that neither series is constant (its least value is below its greatest)."""
-    vx = n * sxx - sx * sx
-    vy = n * syy - sy * sy
-    real = varies & (vx > 0) & (vy > 0)
-    return _clip_unit(F.when(real, F.try_divide(n * sxy - sx * sy, F.sqrt(vx) * F.sqrt(vy))))
-
-
-def std_from_moments(n: Column, s: Column, ss: Column, varies: Column) -> Column:
-    """Sample standard deviation from sums; NULL below two values, 0 if constant."""
-    v = F.when(varies, F.greatest(n * ss - s * s, F.lit(0.0))).otherwise(F.lit(0.0))
-    return F.when(n > 1, F.sqrt(v / (n * (n - F.lit(1)))))
-
-
 #: Terms of the continued fraction; what has not settled by then is no value.
 TERMS = 20_000
 

@@ -78,8 +78,9 @@ def bootstrap_corr(
 
     Every replicate draws as many months as the asset has; the draw is a digest
     of (replicate, slot, seed), so it depends neither on partitioning nor on
-    the engine. An asset has one row per month, so its rows fit one short array
-    and nothing is joined or computed twice. Output:
+    the engine. An asset has one row per month, so its rows fit one short array,
+    and all replicates are computed inside it: what leaves the asset's row is one
+    number a replicate. Output:
     (ticker, n, corr, corr_mean, corr_low, corr_high, share_positive).
     """
     pairs = merged.where(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -88,18 +89,40 @@ def bootstrap_corr(
         F.count(F.lit(1)).alias("n"),
         safe_corr(x, y).alias("corr"),
     )
-    rep = per_asset.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    slots = rep.select("ticker", "n", "corr", "rep", "_rows", F.posexplode("_rows").alias("slot", "_own"))
-    digest = F.md5(F.concat_ws("-", F.col("rep").cast("string"), F.col("slot").cast("string"), F.lit(str(seed))))
-    draw = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % F.col("n")).cast("int")
-    sampled = slots.select("ticker", "n", "corr", "rep", F.get("_rows", draw).alias("s"))
-    per_rep = sampled.groupBy("ticker", "n", "corr", "rep").agg(safe_corr("s.x", "s.y").alias("r"))
+
+    def drawn(rep: Column, slot: Column) -> Column:
+        digest = F.md5(F.concat_ws("-", rep.cast("string"), slot.cast("string"), F.lit(str(seed))))
+        return F.get("_rows", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % F.col("n")).cast("int"))
+
+    def replicate(rep: Column) -> Column:
+        """The draws of a replicate, bound to a name so that they are made once."""
+        draws = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1), lambda slot: drawn(rep, slot))
+        return F.transform(F.array(draws), _array_corr)[0]
+
+    per_rep = per_asset.select("ticker", "n", "corr", F.explode(F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), replicate)).alias("r"))
     return per_rep.groupBy("ticker", "n", "corr").agg(
         F.avg("r").alias("corr_mean"), F.percentile("r", F.lit(0.025)).alias("corr_low"),
         F.percentile("r", F.lit(0.975)).alias("corr_high"), F.avg((F.col("r") > 0).cast("double")).alias("share_positive"),
     )
 
 
+def _array_corr(draws: Column) -> Column:
+    """Pearson r of an array of (x, y): NULL on zero variance. Sums of distances from
+    the first element, corrected for its distance from the mean."""
+    n = F.size(draws).cast("double")
+    zero = F.struct(*(F.lit(0.0).alias(c) for c in ("x", "y", "xx", "yy", "xy")))
+
+    def add(acc: Column, d: Column) -> Column:
+        p, q = d["x"] - draws[0]["x"], d["y"] - draws[0]["y"]
+        return F.struct((acc["x"] + p).alias("x"), (acc["y"] + q).alias("y"), (acc["xx"] + p * p).alias("xx"), (acc["yy"] + q * q).alias("yy"), (acc["xy"] + p * q).alias("xy"))
+
+    def finish(acc: Column) -> Column:
+        sxx, syy, sxy = acc["xx"] - acc["x"] * acc["x"] / n, acc["yy"] - acc["y"] * acc["y"] / n, acc["xy"] - acc["x"] * acc["y"] / n
+        return F.when((sxx > 0) & (syy > 0), F.least(F.greatest(sxy / (F.sqrt(sxx) * F.sqrt(syy)), F.lit(-1.0)), F.lit(1.0)))
+
+    return F.aggregate(draws, zero, add, finish)
+
+
 def inverse_vol_weights(prices: DataFrame, n: int = 12, value: str = "log_return", name: str = "Inverse-Volatility") -> DataFrame:
     """Weights proportional to 1 / trailing volatility per date; dates on which
     no asset has a positive volatility drop out."""

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.scalars import significance_label, strength_bucket
-from marketloom.functions.stats import corr_from_moments, pearson_pvalue, safe_corr, std_from_moments
+from marketloom.functions.stats import pearson_pvalue, safe_corr
 from marketloom.functions.windows import series
 
 EPS = 1e-10
@@ -96,8 +96,8 @@ def validate_wide(sentiment: DataFrame, returns: DataFrame) -> DataFrame:
     are read once: they are stacked, not joined.
     """
     missing = F.lit(None).cast("double")
-    rows = sentiment.select("ticker", "date", F.col("value").alias("s"), missing.alias("r"), F.lit(1).alias("is_s"), F.lit(0).alias("is_r")).unionByName(
-        returns.select("ticker", "date", missing.alias("s"), F.col("value").alias("r"), F.lit(0).alias("is_s"), F.lit(1).alias("is_r"))
+    rows = sentiment.select("ticker", F.col("date").cast("date").alias("date"), F.col("value").alias("s"), missing.alias("r"), F.lit(1).alias("is_s"), F.lit(0).alias("is_r")).unionByName(
+        returns.select("ticker", F.col("date").cast("date").alias("date"), missing.alias("s"), F.col("value").alias("r"), F.lit(0).alias("is_s"), F.lit(1).alias("is_r"))
     )
     both = rows.groupBy("ticker", "date").agg(
         F.max("s").alias("s"), F.max("r").alias("r"), F.max("is_s").alias("is_s"), F.max("is_r").alias("is_r")
@@ -107,7 +107,7 @@ def validate_wide(sentiment: DataFrame, returns: DataFrame) -> DataFrame:
     place = dates.select(
         "date", F.row_number().over(Window.orderBy("date")).alias("_pos"), F.count(F.lit(1)).over(Window.partitionBy()).alias("sample_size")
     )
-    placed = both.join(F.broadcast(place), "date")
+    placed = both.join(place, "date")
     by_date = series()
     follows = F.lead("_pos").over(by_date) == F.col("_pos") + 1
     pairs = placed.withColumn("next_r", F.when(follows, F.lead("r").over(by_date)))
@@ -137,10 +137,11 @@ def strength_counts(breakdown: DataFrame) -> DataFrame:
 
 
 def article_moments(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """Count and sums of the score per key, with partial aggregation."""
+    """Count, mean and sum of squared distances from the mean of the score per key,
+    with partial aggregation: moments that merge without loss of digits."""
     s = F.col("sentiment_score")
     return scored.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"), F.count(s).alias("n"), F.sum(s).alias("s"), F.sum(s * s).alias("ss"),
+        F.count(F.lit(1)).alias("rows"), F.count(s).alias("n"), F.avg(s).alias("mean"), (F.var_pop(s) * F.count(s)).alias("m2"),
         F.min(s).alias("low"), F.max(s).alias("high"),
     )
 
@@ -148,21 +149,41 @@ def article_moments(scored: DataFrame, keys: list[str]) -> DataFrame:
 def source_return_stats(scored: DataFrame, returns: DataFrame, sources: list[str] | None = None) -> DataFrame:
     """Per source: rows, score spread and correlation of the article scores
     with the return of their (ticker, month). Only articles whose month has a
-    return take part."""
+    return take part.
+
+    Cells of (source, ticker, month) are merged as groups: distances within a cell are
+    its own, those between cells are taken from the source's mean, which comes
+    first. So the result keeps its digits whatever the level of scores and returns.
+    """
     cells = article_moments(scored, ["source", "ticker", "month"])
     joined = cells.join(returns, ["ticker", "month"], "inner")
-    r = F.col("monthly_return")
-    sums = joined.groupBy("source").agg(
-        F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"),
-        F.sum(F.when(r.isNotNull(), F.col("n") * r)).alias("r"),
-        F.sum(F.when(r.isNotNull(), F.col("n") * r * r)).alias("rr"),
-        F.sum(F.when(r.isNotNull(), F.col("s") * r)).alias("sr"),
-        (F.min("low") < F.max("high")).alias("scores_vary"), (F.min(r) < F.max(r)).alias("returns_vary"),
-    )
-    n, s, ss, vary = F.col("n"), F.col("s"), F.col("ss"), F.col("scores_vary")
+    n, m, r = F.col("n"), F.col("mean"), F.col("monthly_return")
+    paired = F.when(r.isNotNull() & (n > 0), n)
+    means = joined.groupBy("source").agg(
+        F.try_divide(F.sum(n * m), F.sum(F.when(n > 0, n))).alias("_m"), F.try_divide(F.sum(paired * m), F.sum(paired)).alias("_x"),
+        F.try_divide(F.sum(paired * r), F.sum(paired)).alias("_y"),
+    )
+    d, x, y = m - F.col("_m"), m - F.col("_x"), r - F.col("_y")
+    # equal scores, or returns, have no spread, however their mean was rounded
+    sums = joined.join(means, "source").groupBy("source").agg(
+        F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.sum("m2").alias("within"), F.sum(n * d).alias("d"), F.sum(n * d * d).alias("dd"),
+        F.sum(paired).alias("k"), F.sum(F.when(paired.isNotNull(), F.col("m2"))).alias("paired_within"), F.sum(paired * x).alias("x"), F.sum(paired * x * x).alias("xx"),
+        F.sum(paired * y).alias("y"), F.sum(paired * y * y).alias("yy"), F.sum(paired * x * y).alias("xy"),
+        (F.min("low") < F.max("high")).alias("vary"),
+        (F.min(F.when(paired.isNotNull(), F.col("low"))) < F.max(F.when(paired.isNotNull(), F.col("high")))).alias("x_varies"), (F.min(F.when(paired.isNotNull(), r)) < F.max(F.when(paired.isNotNull(), r))).alias("y_varies"),
+    )
+
+    def centred(square: str, a: str, b: str, count: str) -> Column:
+        """Sum of products around the exact means: the first ones were rounded."""
+        return F.col(square) - F.try_divide(F.col(a) * F.col(b), F.col(count))
+
+    spread = F.when(F.col("vary"), F.greatest(F.col("within") + centred("dd", "d", "d", "n"), F.lit(0.0))).otherwise(F.lit(0.0))
+    std = F.when(F.col("n") > 1, F.sqrt(F.try_divide(spread, (F.col("n") - 1).cast("double"))))
+    sxx, syy = F.col("paired_within") + centred("xx", "x", "x", "k"), centred("yy", "y", "y", "k")
+    r_value = F.try_divide(centred("xy", "x", "y", "k"), F.sqrt(F.greatest(sxx, F.lit(0.0))) * F.sqrt(F.greatest(syy, F.lit(0.0))))
     return sums.select(
-        "source", "rows", std_from_moments(n, s, ss, vary).alias("std"),
-        corr_from_moments(n, s, F.col("r"), ss, F.col("rr"), F.col("sr"), vary & F.col("returns_vary")).alias("corr"),
+        "source", "rows", std.alias("std"),
+        F.when(F.col("x_varies") & F.col("y_varies") & r_value.isNotNull(), F.least(F.greatest(r_value, F.lit(-1.0)), F.lit(1.0))).alias("corr"),
     )
 
 

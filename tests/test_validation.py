@@ -111,3 +111,38 @@ def test_breakdown_counts_and_order(spark):
     assert tuple(validation.significance_counts(summary).first()) == (1, 2, 3, 4)
     assert [r.ticker for r in validation.signal_strength(summary).collect()] == ["D", "C", "B", "A", "E"]
     assert [r.ticker for r in validation.top_by_corr(summary, 2).collect()] == ["A", "B"]
+
+
+def test_source_statistics_keep_their_digits_at_any_level(spark):
+    """Scores and returns around 1e8 with a spread of 1, merged over many cells."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows, returns = [], []
+    for t in range(6):
+        for m in range(1, 13):
+            r = 1e8 + float(rng.normal())
+            returns.append((f"T{t}", f"2024-{m:02d}", r if (t, m) != (0, 1) else None))
+            rows += [(s, f"T{t}", f"2024-{m:02d}", 1e8 + 0.5 * (r - 1e8) + float(rng.normal()), r if (t, m) != (0, 1) else None) for s in ("a", "b") for _ in range(int(rng.integers(1, 5)))]
+    rows += [("flat", "T1", "2024-01", 0.1, returns[12][2])] * 7 + [("empty", "T1", "2024-01", None, returns[12][2])]
+    scored = spark.createDataFrame([r[:4] for r in rows], "source string, ticker string, month string, sentiment_score double")
+    got = {r.source: r for r in validation.source_return_stats(scored, spark.createDataFrame(returns, "ticker string, month string, monthly_return double")).collect()}
+    for source in ("a", "b"):
+        own = [(np.longdouble(x), y) for s, _, _, x, y in rows if s == source]
+        x = np.array([v for v, _ in own]) - 100_000_000
+        p = np.array([(v - 100_000_000, np.longdouble(y) - 100_000_000) for v, y in own if y is not None])
+        p = p - p.mean(axis=0)
+        assert abs(got[source].std - float(x.std(ddof=1))) < 1e-7
+        assert abs(got[source]["corr"] - float((p[:, 0] * p[:, 1]).sum() / np.sqrt((p[:, 0] ** 2).sum() * (p[:, 1] ** 2).sum()))) < 1e-7
+    assert (got["flat"].std, got["flat"]["corr"]) == (0.0, None) and (got["empty"].rows, got["empty"].std, got["empty"]["corr"]) == (1, None, None)
+
+
+def test_bootstrap_makes_no_row_a_slot(spark):
+    from marketloom.operators.research import bootstrap_corr
+
+    df = spark.createDataFrame([("A", f"2024-{m:02d}", float(m % 5), float(m % 3)) for m in range(1, 13)] + [("B", "2024-01", 1.0, 1.0)], "ticker string, month string, sentiment_weighted double, monthly_return double")
+    out = bootstrap_corr(df, 50)
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Generate ") == 1 and text.count("Exchange hashpartitioning(ticker") <= 2
+    got = {r.ticker: r for r in out.collect()}
+    assert got["A"].n == 12 and got["A"].corr_low <= got["A"].corr_mean <= got["A"].corr_high and got["B"].corr_mean is None
