@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import written
+from marketloom.llm.common import released, written
 
 
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
@@ -16,7 +16,8 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     its larger neighbours to its smallest neighbour; in the second, it does so
     with its smaller neighbours. Both keep components whole and end in stars.
     A step is an aggregate with map-side combine and a join of two written
-    tables, which Spark splits where a node has very many edges.
+    tables, which Spark splits where a node has very many edges. The tables of a step are deleted
+    when the next edges are written.
     """
     spark = edges.sparkSession
     pairs = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
@@ -27,9 +28,10 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, "large")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = written(small.select("e.u", "e.v").where("u != v").distinct(), "edges")
+        lowest = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(lowest, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        done, now = now, written(small.select("e.u", "e.v").where("u != v").distinct(), "edges")
+        released(done, least, large, lowest)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
         if state == before:
             break

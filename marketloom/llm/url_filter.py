@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import plain, written
+from marketloom.llm.common import plain, released, written
 
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -89,7 +89,9 @@ def spread_scores(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING,
         moved = held.where("moving > 0").select("kind", F.col("host").alias("src"), "moving").join(shares, ["kind", "src"])
         moved = moved.select("kind", F.col("dst").alias("host"), (damping * F.col("moving") * F.col("share")).alias("score")).withColumn("moving", F.col("score"))
         both = held.select("kind", "host", "score", F.lit(0.0).alias("moving")).union(moved)
+        done = held
         held, left, reached = _written_with_sums(both.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("moving").alias("moving")))
+        released(done)
     whole = held.groupBy("kind").agg(F.sum("score").alias("all"))
     return held.join(whole, "kind").select("kind", "host", (F.col("score") / F.col("all")).alias("score"))
 
