@@ -247,3 +247,40 @@ def prefix_trie(conversations: DataFrame, seed: int = 1) -> DataFrame:
     every = deep.unionByName(flat).unionByName(root.withColumn("parent_conv_id", F.lit(None).cast("long")))
     every = every.join(digests, KEY, "left")
     return every.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", none).alias("ends_sha256"))
+
+
+#: The same in DuckDB, on lists of turns. crc32 is folded over the digits of the id.
+TRIE_SQL = r"""
+WITH RECURSIVE turns AS (
+    SELECT CAST(conv_id AS BIGINT) AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS q
+    FROM conversations WHERE conv_id IS NOT NULL
+), crc AS (
+    SELECT c, xor(list_reduce(list_prepend(4294967295, list_transform(split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 6 AS h
+    FROM (SELECT DISTINCT c FROM turns)
+), rebuilt AS (
+    SELECT c, list(struct_pack(role := role, text := text) ORDER BY own, q) AS seq FROM (
+        SELECT k.c, t.role, t.text, t.q, 0 AS own FROM crc k JOIN turns t ON t.c = k.c - ((k.c % 100) + 100) % 100 AND t.q <= k.h
+        UNION ALL SELECT k.c, t.role, t.text, t.q, 1 FROM crc k JOIN turns t ON t.c = k.c AND t.q > k.h) GROUP BY c
+), convs AS (
+    SELECT c, coalesce(seq, []) AS seq, coalesce(len(seq), 0) AS total FROM crc LEFT JOIN rebuilt USING (c)
+), prefixes AS (
+    SELECT c, d, seq[1:d] AS p, total = d AS ends FROM convs, (SELECT unnest(range(0, (SELECT max(total) + 1 FROM convs))) AS d) WHERE d <= total
+), nodes AS (
+    SELECT p, CAST(d AS BIGINT) AS depth, min(c) AS conv_id, count(*) AS n_convs, coalesce(sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends)), sha256('')) AS ends_sha256,
+           CASE WHEN d > 0 THEN length(p[d].text) ELSE 0 END AS chars
+    FROM prefixes GROUP BY p, d
+), shaped AS (
+    SELECT n.*, u.conv_id AS parent_conv_id  FROM nodes n LEFT JOIN nodes u ON u.depth = n.depth - 1 AND u.p = n.p[1:n.depth - 1]
+), kids AS (
+    SELECT depth - 1 AS depth, p[1:depth - 1] AS p, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL
+), full_nodes AS (
+    SELECT s.depth, s.p, s.conv_id, s.parent_conv_id, s.n_convs, coalesce(k.n, 0) AS n_children, s.ends_sha256, s.chars FROM shaped s LEFT JOIN kids k ON k.depth = s.depth AND k.p = s.p
+), below AS (
+    SELECT a.depth, a.p, sum(CASE WHEN b.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((b.n_convs - 1) * b.chars) AS saved
+    FROM (SELECT n.depth, n.p, unnest(range(0, n.depth + 1)) AS up, n.n_children, n.n_convs, n.chars FROM full_nodes n) b JOIN full_nodes a ON a.depth = b.up AND a.p = b.p[1:b.up] GROUP BY a.depth, a.p
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, CAST(n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends_sha256
+FROM full_nodes JOIN below USING (depth, p)
+"""

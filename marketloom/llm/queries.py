@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, each with its SQL or None.
 
-All but the search have none: they sort suffixes, pack, follow graphs, link intervals,
+All but two have none: they sort suffixes, pack, follow graphs, link intervals,
 stream an automaton or learn. tests/llm holds them against brute force.
 """
 
@@ -22,5 +22,5 @@ Q: dict = {
     "op10_toxicity": (lambda spark, d: toxicity.toxicity_report(table(spark, d, "documents"), table(spark, d, "labels")), None),
     "op11_lexical_search": (lambda spark, d: lexical_search.lexical_search(table(spark, d, "documents"), table(spark, d, "benchmark")), lexical_search.SEARCH_SQL),
     "op12_harmonic_packing": (lambda spark, d: harmonic_packing.pack_harmonic(table(spark, d, "documents")), None),
-    "op13_prefix_trie": (lambda spark, d: prefix_trie.prefix_trie(table(spark, d, "conversations")), None),
+    "op13_prefix_trie": (lambda spark, d: prefix_trie.prefix_trie(table(spark, d, "conversations")), prefix_trie.TRIE_SQL),
 }

@@ -4,6 +4,7 @@ import hashlib
 import zlib
 from collections import defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +96,10 @@ def test_no_turns_and_no_rows(spark, conversations):
     c = next(c for c in range(1, 99) if zlib.crc32(str(c).encode()) % 6 > 1)
     one = spark.createDataFrame([(c, 1, "user", "gone")], SCHEMA)
     assert [tuple(r) for r in prefix_trie.prefix_trie(one).collect()] == brute([(c, 1, "user", "gone")])
+
+
+def test_sql_says_the_same(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
+    want = con.execute(prefix_trie.TRIE_SQL).fetchall()
+    assert len(want) > 300 and sorted(map(repr, want)) == sorted(map(repr, brute(rows_of(table(spark, SF, "conversations")))))
