@@ -4,7 +4,9 @@ A document is a bag of sentences. The document's score is a noisy-or: the bias,
 a document, and what each sentence adds to it,
 1 - (1 - p0) * prod(min(1, (1 - p) / (1 - p0))), with p the sentence's logistic score
 and p0 that of the bias alone. For one sentence that is p; a sentence without evidence,
-or with evidence against, adds nothing however many there are. Only documents have labels:
+or with evidence against, adds nothing however many there are. Nor does, in a finished
+model's scores, one below ``EVIDENCE``: else the faint suspicions of a very long clean
+text would add up. Only documents have labels:
 the gradient of the document's log-loss reaches the sentences through the
 noisy-or, so the sentences that explain a toxic label get high scores and can be
 pointed out afterwards.
@@ -38,6 +40,8 @@ TRAINING_CHARS = 32_000_000
 VOCABULARY = 4096
 #: Likelihood ratio below which a feature is no evidence (chi-square, p = 0.001).
 LEAST_EVIDENCE = 10.8
+#: Sentence score below which a sentence adds nothing to its document's score.
+EVIDENCE = 0.2
 PRIOR = 0.05
 SENTENCE = re.compile(r"[.!?\n]+")
 EDGE = "\"'()[]{}<>,;:*#$%&|/\\-_=+~`^…«»¿¡"
@@ -175,6 +179,8 @@ def scorer(model: dict) -> callable:
             if z <= 0:
                 continue
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, bias + z))))
+            if p < EVIDENCE:
+                continue
             clean += math.log1p(-min(p, 1 - 1e-12)) - base
             if p >= 0.5:
                 bad.append((n, p))

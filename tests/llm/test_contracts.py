@@ -625,6 +625,12 @@ def test_toxicity_of_long_clean_text(spark):
     assert toxicity.score_toxicity(spark.createDataFrame([(1, long)], "doc_id long, text string"), model).first().score < 0.5
 
 
+def test_faint_evidence_does_not_add_up():
+    score = toxicity.scorer({"": -5.0, "meh": 3.0, "bad": 4.5, "gronk": 8.0})
+    assert score("meh. " * 5000)[0] == pytest.approx(score("")[0]) and score("")[0] < 0.01
+    assert score("bad.")[0] < 0.5 < score("bad. bad.")[0] and score("meh. gronk.")[0] > 0.9
+
+
 def test_empty_tables(spark):
     docs = table(spark, SF, "documents").limit(0)
     labels, items, pages = (table(spark, SF, n).limit(0) for n in ("labels", "benchmark", "pages"))

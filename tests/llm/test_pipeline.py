@@ -8,6 +8,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from marketloom.llm import packing, secrets, toxicity
 from marketloom.llm.common import table
@@ -29,7 +31,9 @@ def sf(spark, tmp_path_factory):
         (900006, "my password = hunter22hunter22 here"), (900007, "word " * 5000), (None, "no id, but kept"),
     ]
     extra = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'xx' AS lang", "NULL AS source", "CAST(length(text) AS long) AS n_chars")
-    docs.unionByName(extra).repartition(3).write.parquet(os.path.join(path, "documents.parquet"))
+    # names that the stages use inside
+    clash = {c: F.lit("clash") for c in ("doc", "score", "offending", "hit_words", "n_words", "item_ids", "node", "text_key", "_id", "_key", "keeps", "found", "spans", "row", "fp")}
+    docs.unionByName(extra).withColumns(clash).repartition(3).write.parquet(os.path.join(path, "documents.parquet"))
     for name in ("labels", "benchmark"):
         table(spark, SF, name).write.parquet(os.path.join(path, f"{name}.parquet"))
     return path
@@ -91,6 +95,12 @@ def test_stages(spark, sf):
     assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in whole) == want
 
 
+def test_empty_documents(spark, sf, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        table(spark, sf, name).limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_nothing_else_needs_the_subpackage():
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     for folder, _, names in os.walk(root):
