@@ -233,10 +233,13 @@ def prefix_trie(conversations: DataFrame, seed: int = 1) -> DataFrame:
     below = written(nodes.join(sums, KEY), "measured")
 
     # the root has no turn; its measures are sums of the nodes of depth 1
+    missing = F.lit(None).cast("long")
+    members = convs.agg(F.min("c").alias("conv_id"), F.count("*").alias("n_convs"))
     ones = below.where("depth = 1").agg(F.count("*").alias("n_children"), F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens"))
-    root = convs.agg(F.min("c").alias("conv_id"), F.count("*").alias("n_convs")).where("n_convs > 0").withColumn("depth", F.lit(0).cast("long"))
-    root = root.join(ones.withColumn("depth", F.lit(0).cast("long")), "depth").select(
-        *KEY[:1], F.lit(0).cast("long").alias("hi"), F.lit(0).cast("long").alias("lo"), "n_convs", "n_children", "conv_id", F.lit(None).cast("long").alias("up_hi"), F.lit(None).cast("long").alias("up_lo"),
+    both = members.select("conv_id", "n_convs", *(missing.alias(c) for c in ones.columns)).union(ones.select(missing, missing, *ones.columns))
+    root = both.agg(*(F.max(c).alias(c) for c in both.columns)).where("n_convs > 0")
+    root = root.select(
+        *(F.lit(0).cast("long").alias(k) for k in KEY), "n_convs", "n_children", "conv_id", missing.alias("up_hi"), missing.alias("up_lo"),
         F.coalesce("n_leaves", F.lit(1)).alias("n_leaves"), F.coalesce("saved_tokens", F.lit(0)).alias("saved_tokens"),
     )
     root = written(root, "root")
