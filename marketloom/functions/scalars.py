@@ -205,6 +205,7 @@ def sentiment_score(label: Column | str, confidence: Column | str) -> Column:
 
 def significance_label(p: Column | str) -> Column:
     p = _col(p)
+    # The limits and labels.
     return (
         F.when(p < 0.001, "highly significant")
         .when(p < 0.01, "very significant")

@@ -10,6 +10,7 @@ from marketloom.functions.windows import rolling_avg, rolling_std, series, trail
 from marketloom.operators.reshape import densify, log_return
 
 SHARPE_EPS = 1e-8
+# The names of the features.
 DAILY_COLUMNS = [
     "log_return", "sma10", "sma30", "volatility_10",
     "log_return_mean_60", "log_return_std_60", "sharpe_60",

@@ -12,6 +12,7 @@ from marketloom.functions.windows import rolling, so_far
 from marketloom.operators.correlation import pair_index, rolling_pair_corr
 from marketloom.operators.reshape import align_dates
 
+# The names of the indicators.
 INDICATORS = ["sharpe", "sortino", "calmar", "volatility", "max_drawdown"]
 
 

@@ -27,6 +27,7 @@ from marketloom.schemas import SOURCES
 SOURCE_WEIGHTS = {"yahoo": 0.4, "google": 0.4, "reddit": 0.2}
 OTHER_SOURCE_WEIGHT = 0.1
 EPS = 1e-10
+# The labels of a sentiment model.
 LABELS = ["positive", "negative", "neutral"]
 
 
