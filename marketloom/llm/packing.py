@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import string
 import zlib
 from array import array
 from collections import Counter
@@ -34,6 +35,8 @@ CAPACITY = 2048
 END = 0
 #: Words whose ids a task remembers, and as many older ones; longer ones than this are not remembered.
 CACHE, CACHED_WORD = 250_000, 40
+#: The signs of ASCII, which the tokenizer cuts from the letters before them.
+SIGNS = string.punctuation
 
 
 def default_tokenizer() -> str:
@@ -46,41 +49,41 @@ def encoder(path: str) -> callable:
     """texts -> ids of each as little-endian 32-bit bytes.
 
     The tokenizer never joins what white space parts, so each part is encoded once
-    and remembered. It doesn't join letters with a full stop or comma either, and it
+    and remembered. It doesn't join letters with signs after them either, and it
     lower-cases, so a word of letters up to ``ÿ`` is remembered for all its spellings
     and goes straight to the tokenizer's model, as the bytes its byte level names.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer, cache, older = Tokenizer.from_file(path), {"": b""}, {}
+    tokenizer, older = Tokenizer.from_file(path), {}
     tokenize, names = tokenizer.model.tokenize, byte_names()
 
-    def whole(words: list[str]) -> dict[str, bytes]:
-        return {w: array("I", e.ids).tobytes() for w, e in zip(words, tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True)}
-
-    def learned(new: list[str]) -> dict[str, bytes]:
-        """Ids of the parts too long to remember; the others go to the cache."""
-        rest = []
-        for w in new:
-            if w in older:
-                cache[w] = older[w]
-                continue
-            core = w.rstrip(".,")
-            if len(w) > CACHED_WORD or not core.isalpha() or max(core) > "\xff":
-                rest.append(w)
-                continue
-            low, tail = core.lower(), w[len(core) :]
-            if (ids := cache.get(low, older.get(low))) is None:
-                cache[low] = ids = array("I", [t.id for t in tokenize(low.encode().decode("latin-1").translate(names))]).tobytes()
-            if tail:
-                if tail not in cache:
-                    cache.update(whole([tail]))
-                ids += cache[tail]
-            cache[w] = ids
-        found = whole(rest) if rest else {}
-        cache.update((w, b) for w, b in found.items() if len(w) <= CACHED_WORD)
-        return {w: b for w, b in found.items() if len(w) > CACHED_WORD}
+    def whole(word: str) -> bytes:
+        return array("I", tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids).tobytes()
+
+    class Cache(dict):
+        """The ids of words, encoded where they are first asked for."""
+
+        def __missing__(self, word: str) -> bytes:
+            if len(word) > CACHED_WORD:
+                return whole(word)
+            if (ids := older.get(word)) is None:
+                core = word.rstrip(SIGNS)
+                if not core.isalpha() or max(core) > "\xff":
+                    ids = whole(word)
+                else:
+                    low = core.lower()
+                    if (ids := self.get(low)) is None and (ids := older.get(low)) is None:
+                        name = low if low.isascii() else low.encode().decode("latin-1").translate(names)
+                        ids = array("I", [t.id for t in tokenize(name)]).tobytes()
+                    self[low] = ids
+                    if len(core) < len(word):
+                        ids += self[word[len(core) :]]
+            self[word] = ids
+            return ids
+
+    cache = Cache({"": b""})
 
     def encode(texts: list[str]) -> list[bytes]:
         if len(cache) > CACHE:
@@ -88,12 +91,7 @@ def encoder(path: str) -> callable:
             older.update(cache)
             cache.clear()
             cache[""] = b""
-        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = [w for w in set().union(*parts) if w not in cache]
-        long = learned(new) if new else {}
-        if long:
-            return [b"".join(cache[w] if w in cache else long[w] for w in p) for p in parts]
-        return [b"".join(map(cache.__getitem__, p)) for p in parts]
+        return [b"".join(map(cache.__getitem__, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) for t in texts]
 
     return encode
 
