@@ -15,7 +15,10 @@ to ``MOST`` of them all around. What passes is compared exactly on the sets them
 A bucket of up to ``SMALL`` nodes yields all its pairs. In a larger one a node is linked to
 the ``PARTNERS`` nearest of those near it (``SHALLOW`` once it had ``DEEP`` chains to meet them
 in), and parts that would stay apart by one link more; a bucket beyond ``BLOCK`` is cut into blocks each pair of which is one group. So links grow
-with the nodes, not with the square of a group.
+with the nodes, not with the square of a group. The buckets that left out links of theirs are met
+again once the classes of the others are known: every pair near in them whose ends lie in two classes
+is compared, too, so the classes are those of all pairs that meet in a bucket. Of these, pairs whose
+sets surely differ too much are told by ``parities``, a lower bound, before the sets are read.
 
 Rows without doc_id take no part. Texts without words are copies of each other.
 Columns other than doc_id and text are ignored. An empty table gives no rows.
@@ -24,6 +27,7 @@ Columns other than doc_id and text are ignored. An empty table gives no rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +45,8 @@ MOST = 0.23
 SMALL, BLOCK = 10, 2048
 #: Partners of a node in a large bucket: of the first ``DEEP`` chains, and of the others.
 DEEP, PARTNERS, SHALLOW = 16, 8, 1
+#: Parities kept of a set.
+PARITIES = 2048
 NAMES = ("w0", "w1", "w2", "w3")
 #: The constants of a common 64-bit mixing step.
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -69,6 +75,12 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """For each of ``PARITIES`` classes of hashes, whether a set holds an odd number of
+    them. Where two sets' parities differ, so do the sets: in that many hashes at least."""
+    return np.packbits(np.bincount((hashes & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1 == 1).tobytes()
+
+
 def _sketched(shingle: int) -> callable:
     def make() -> callable:
         def work(batch: pa.RecordBatch) -> dict:
@@ -76,7 +88,7 @@ def _sketched(shingle: int) -> callable:
             both = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
             halves = np.array([(b >> 64, b & (1 << 64) - 1) for b in both], np.uint64).reshape(-1, 2).view(np.int64)
             words = np.array([sketch(s) for s in sets], np.uint64).reshape(-1, WORDS).view(np.int64)
-            out = {"doc_id": batch["doc_id"], "text_key": batch["text_key"], "n": [len(s) for s in sets], "hi": halves[:, 0], "lo": halves[:, 1]}
+            out = {"doc_id": batch["doc_id"], "text_key": batch["text_key"], "n": [len(s) for s in sets], "hi": halves[:, 0], "lo": halves[:, 1], "parities": [parities(s) for s in sets]}
             return out | {name: words[:, i] for i, name in enumerate(NAMES)}
 
         return work
@@ -85,10 +97,11 @@ def _sketched(shingle: int) -> callable:
 
 
 def sketched(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, text_key, n (shingles), hi and lo (which set), and the words of the SimHash."""
+    """doc_id, text_key, n (shingles), hi and lo (which set), the words of the SimHash, and the parities."""
     df = plain(docs, "doc_id", "text").where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text_key", row_key())
     names = ["doc_id", "text_key", "n", "hi", "lo", *NAMES]
-    return df.mapInArrow(by_batch(_sketched(shingle), pa.schema([(n, pa.int64()) for n in names]), 256), ", ".join(f"{n} long" for n in names))
+    schema = pa.schema([*((n, pa.int64()) for n in names), ("parities", pa.binary())])
+    return df.mapInArrow(by_batch(_sketched(shingle), schema, 256), ", ".join(f"{n} long" for n in names) + ", parities binary")
 
 
 def agreement(similarity: float) -> float:
@@ -102,7 +115,7 @@ def chains(nodes: int, similarity: float = SIMILARITY, recall: float = RECALL) -
     return bits, math.ceil(math.log(1 - recall) / math.log1p(-(agreement(similarity) ** bits)))
 
 
-def _bucketed(bits: int, tables: int) -> callable:
+def _bucketed(bits: int, tables: int, others: tuple[str, ...]) -> callable:
     def make() -> callable:
         per_ring = WIDTH // bits
         orders = []
@@ -116,7 +129,7 @@ def _bucketed(bits: int, tables: int) -> callable:
             turned = np.concatenate([np.ascontiguousarray(np.packbits(np.take(single, o, axis=1), axis=1, bitorder="little")).view(np.int64) for o in orders])
             n = batch.num_rows
             out = {"part": np.repeat(np.arange(tables), n), "key": turned[:, 0] & ((1 << bits) - 1)}
-            return out | {"node": np.tile(batch["node"].to_numpy(), tables), "n": np.tile(batch["n"].to_numpy(), tables)} | {name: turned[:, i] for i, name in enumerate(NAMES)}
+            return out | {name: np.tile(batch[name].to_numpy(), tables) for name in others} | {name: turned[:, i] for i, name in enumerate(NAMES)}
 
         return work
 
@@ -139,11 +152,16 @@ def near(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, similarity:
 
 
 def pairs_of_group(w: np.ndarray, n: np.ndarray, own: np.ndarray | None, similarity: float, most: float, partners: int = PARTNERS) -> list[tuple[int, int]]:
+    """The pairs of ``links_of_group``."""
+    return links_of_group(w, n, own, similarity, most, partners)[0]
+
+
+def links_of_group(w: np.ndarray, n: np.ndarray, own: np.ndarray | None, similarity: float, most: float, partners: int = PARTNERS) -> tuple[list[tuple[int, int]], bool]:
     """Links in a large bucket: every row to the ``partners`` nearest of those near it, and
     one wherever two parts would stay apart though some of their rows are near. The
     nearest are much the same in all buckets, so what the buckets of a group say
     together stays linear in its rows. ``own``: two values if only links across the
-    two count."""
+    two count. And whether these are all pairs of rows that are near."""
     size = len(w)
     ok, far = np.zeros((size, size), bool), np.full((size, size), WIDTH + 1, np.int16)
     for i in range(0, size, 64):
@@ -171,27 +189,93 @@ def pairs_of_group(w: np.ndarray, n: np.ndarray, own: np.ndarray | None, similar
             if part[i] != part[j]:
                 out.add((min(i, j), max(i, j)))
                 merged(i, j)
-    return sorted(out)
+    return sorted(out), 2 * len(out) == int(ok.sum())
+
+
+def pairs_across(w: np.ndarray, n: np.ndarray, odd: np.ndarray, own: np.ndarray | None, component: np.ndarray, similarity: float, most: float) -> Iterator[np.ndarray]:
+    """All pairs of rows of a group that are near, lie in two components and may be similar
+    by their parities, in arrays (left, right). One row of such a pair lies outside the
+    largest component, so only these rows are held against the others."""
+    names, of = np.unique(component, return_inverse=True)
+    rest = np.flatnonzero(of != np.bincount(of).argmax()) if len(names) > 1 else np.zeros(0, np.int64)
+    first = np.full(len(w), len(rest))
+    first[rest] = np.arange(len(rest))
+    for at in range(0, len(rest), 16):
+        i = rest[at : at + 16]
+        ok = near(w[i, None], w[None], n[i, None], n[None], similarity, most) & (of[i, None] != of[None]) & (first[i, None] < first[None])
+        if own is not None:
+            ok &= own[i, None] != own[None]
+        left, right = np.nonzero(ok)
+        left = i[left]
+        differ = np.bitwise_count(odd[left] ^ odd[right]).sum(axis=1, dtype=np.int64)
+        some = differ <= (1 - similarity) / (1 + similarity) * (n[left] + n[right]) + 1e-6
+        yield np.stack([left[some], right[some]])
 
 
-def candidate_links(nodes: DataFrame, bits: int, tables: int, similarity: float = SIMILARITY, most: float = MOST, block: int = BLOCK, deep: int = DEEP) -> DataFrame:
-    """(a, b) from nodes (node, n, words)."""
-    schema = pa.schema([(n, pa.int64()) for n in ("part", "key", "node", "n", *NAMES)])
-    rows = nodes.select("node", "n", *NAMES).mapInArrow(by_batch(_bucketed(bits, tables), schema, 512), ", ".join(f"{f.name} long" for f in schema))
-    large = rows.groupBy("part", "key").count().where(F.col("count") > block).select("part", "key", F.ceil(F.col("count") / block).alias("blocks"))
-    rows = rows.join(written(large, "large-buckets"), ["part", "key"], "left")
+def bucket_rows(nodes: DataFrame, bits: int, tables: int, *others: str) -> DataFrame:
+    """part and key (the bucket), node, n, others and the turned words of every node in every chain."""
+    names = ("node", "n", *others)
+    schema = pa.schema([(n, pa.int64()) for n in ("part", "key", *names, *NAMES)])
+    return nodes.select(*names, *NAMES).mapInArrow(by_batch(_bucketed(bits, tables, names), schema, 512), ", ".join(f"{f.name} long" for f in schema))
+
+
+def large_buckets(nodes: DataFrame, bits: int, tables: int, block: int = BLOCK) -> DataFrame:
+    """part, key and blocks of the buckets beyond ``block``."""
+    counts = bucket_rows(nodes, bits, tables).groupBy("part", "key").count().where(F.col("count") > block)
+    return written(counts.select("part", "key", F.ceil(F.col("count") / block).alias("blocks")), "large-buckets")
+
+
+GROUP = ["part", "key", "i", "j"]
+
+
+def by_group(rows: DataFrame, large: DataFrame, found: Callable[[dict[str, np.ndarray]], Iterator[dict[str, np.ndarray]]], schema: pa.Schema) -> DataFrame:
+    """What ``found`` gives for whole groups: buckets, or pairs of blocks of the large ones."""
+    columns = [c for c in rows.columns if c not in GROUP]
+    rows = rows.join(large, ["part", "key"], "left")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)).cast("int") - 1)))
-    rows = rows.select("part", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", *NAMES)
-    names = ["part", "key", "i", "j"]
+    rows = rows.select("part", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *columns)
+
+    def given(cols: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for out in found(cols):
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+
+    def run(batches):
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = {x: batch[x].to_numpy(zero_copy_only=False) for x in (*GROUP, "own", *columns)}
+            if held:
+                cols = {x: np.concatenate([held[x], c]) for x, c in cols.items()}
+            last = np.flatnonzero(np.any([cols[x] != cols[x][-1] for x in GROUP], axis=0))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield from given({x: c[:cut] for x, c in cols.items()})
+            held = {x: c[cut:].copy() for x, c in cols.items()}
+        if held and len(held["node"]):
+            yield from given(held)
+        pa.default_memory_pool().release_unused()
+
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "node").mapInArrow(run, ", ".join(f"{f.name} long" for f in schema))
+
+
+def group_bounds(cols: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Where the groups of sorted rows start, and their sizes."""
+    starts = np.append(0, np.flatnonzero(np.any([cols[x][1:] != cols[x][:-1] for x in GROUP], axis=0)) + 1)
+    return starts, np.diff(np.append(starts, len(cols["node"])))
 
-    def found(cols: dict[str, np.ndarray]) -> pa.RecordBatch:
+
+def first_links(nodes: DataFrame, bits: int, tables: int, large: DataFrame, similarity: float = SIMILARITY, most: float = MOST, deep: int = DEEP) -> DataFrame:
+    """(a, b, part, key) from nodes (node, n, words): the links of every bucket, and, with
+    a and b null, the buckets with pairs that are near and not among their links."""
+
+    def found(cols: dict[str, np.ndarray]) -> Iterator[dict]:
         w, n, node = np.stack([cols[x] for x in NAMES], axis=1).view(np.uint64), cols["n"], cols["node"]
-        starts = np.append(0, np.flatnonzero(np.any([cols[x][1:] != cols[x][:-1] for x in names], axis=0)) + 1)
-        size = np.diff(np.append(starts, len(node)))
+        starts, size = group_bounds(cols)
         end = np.repeat(starts + size, size)
         across = cols["i"] != cols["j"]
-        left, right = [], []
+        left, right, cut = [], [], []
         at = np.flatnonzero(np.repeat(size, size) <= SMALL)
         for step in range(1, SMALL):
             at = at[at + step < end[at]]
@@ -202,32 +286,43 @@ def candidate_links(nodes: DataFrame, bits: int, tables: int, similarity: float
             right.append(node[at[ok] + step])
         for f, k in zip(starts[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
             partners = PARTNERS if cols["part"][f] < deep else SHALLOW
-            pairs = pairs_of_group(w[f : f + k], n[f : f + k], cols["own"][f : f + k] if across[f] else None, similarity, most, partners)
+            pairs, whole = links_of_group(w[f : f + k], n[f : f + k], cols["own"][f : f + k] if across[f] else None, similarity, most, partners)
             if pairs:
                 p = np.array(pairs) + f
                 left.append(node[p[:, 0]])
                 right.append(node[p[:, 1]])
+            if not whole:
+                cut.append(f)
         a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        none = np.zeros(len(a), np.int64)
+        yield {"a": np.minimum(a, b), "b": np.maximum(a, b), "part": none, "key": none}
+        yield {"a": pa.nulls(len(cut)), "b": pa.nulls(len(cut)), "part": cols["part"][cut], "key": cols["key"][cut]}
 
-    def run(batches):
-        held: dict[str, np.ndarray] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = {x: batch[x].to_numpy() for x in (*names, "own", "node", "n", *NAMES)}
-            if held:
-                cols = {x: np.concatenate([held[x], c]) for x, c in cols.items()}
-            last = np.flatnonzero(np.any([cols[x] != cols[x][-1] for x in names], axis=0))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut:
-                yield found({x: c[:cut] for x, c in cols.items()})
-            held = {x: c[cut:].copy() for x, c in cols.items()}
-        if held and len(held["node"]):
-            yield found(held)
-        pa.default_memory_pool().release_unused()
+    return by_group(bucket_rows(nodes, bits, tables), large, found, pa.schema([(x, pa.int64()) for x in ("a", "b", "part", "key")]))
+
+
+def candidate_links(nodes: DataFrame, bits: int, tables: int, similarity: float = SIMILARITY, most: float = MOST, block: int = BLOCK, deep: int = DEEP) -> DataFrame:
+    """(a, b) from nodes (node, n, words): the links of ``first_links``, once each."""
+    links = first_links(nodes, bits, tables, large_buckets(nodes, bits, tables, block), similarity, most, deep)
+    return links.where("a IS NOT NULL").select("a", "b").distinct()
+
+
+def other_links(nodes: DataFrame, cut: DataFrame, bits: int, tables: int, large: DataFrame, similarity: float = SIMILARITY, most: float = MOST) -> DataFrame:
+    """(a, b) from nodes (node, n, words, parities, component): every pair that is near in one
+    of the buckets ``cut``, lies in two components and may be similar, once each."""
+
+    def found(cols: dict[str, np.ndarray]) -> Iterator[dict]:
+        w, n, node = np.stack([cols[x] for x in NAMES], axis=1).view(np.uint64), cols["n"], cols["node"]
+        for f, k in zip(*(x.tolist() for x in group_bounds(cols)), strict=True):
+            g = slice(f, f + k)
+            own = cols["own"][g] if cols["i"][f] != cols["j"][f] else None
+            odd = np.frombuffer(b"".join(cols["parities"][g]), np.uint64).reshape(k, -1)
+            for pairs in pairs_across(w[g], n[g], odd, own, cols["component"][g], similarity, most):
+                a, b = node[g][pairs]
+                yield {"a": np.minimum(a, b), "b": np.maximum(a, b)}
 
-    return rows.repartition(*names).sortWithinPartitions(*names, "node").mapInArrow(run, "a long, b long").distinct()
+    rows = bucket_rows(nodes, bits, tables, "component").join(cut, ["part", "key"]).join(nodes.select("node", "parities"), "node")
+    return by_group(rows, large, found, pa.schema([("a", pa.int64()), ("b", pa.int64())])).distinct()
 
 
 def _sets(shingle: int) -> callable:
@@ -258,15 +353,24 @@ def near_copy_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float
     smallest doc_id, and whether the row is the one that stands for its class."""
     rows = written(sketched(docs, shingle), "sketches")
     first = F.struct("doc_id", "text_key")
-    nodes = rows.groupBy("hi", "lo").agg(F.min(first).alias("first"), F.first("n").alias("n"), *(F.first(x).alias(x) for x in NAMES))
+    nodes = rows.groupBy("hi", "lo").agg(F.min(first).alias("first"), F.first("n").alias("n"), *(F.first(x).alias(x) for x in (*NAMES, "parities")))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     filled = nodes.where("n > 0")
     bits, tables = chains(filled.count(), similarity, recall)
-    candidates = written(candidate_links(filled, bits, tables, similarity, most, deep=deep), "candidates")
+    large = large_buckets(filled, bits, tables)
+    links = written(first_links(filled, bits, tables, large, similarity, most, deep), "first-links")
+    candidates = written(links.where("a IS NOT NULL").select("a", "b").distinct(), "candidates")
     found = written(verified_links(docs, nodes, candidates, shingle, similarity), "links")
-    named = nodes.select("node", "hi", "lo", "first").join(components(found, "a", "b"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = written(nodes.join(components(found, "a", "b"), "node", "left").withColumn("component", F.coalesce("component", "node")), "parts")
+    cut = written(links.where("a IS NULL").select("part", "key").distinct(), "cut-buckets")
+    others = other_links(parts.where("n > 0"), cut, bits, tables, large, similarity, most)
+    others = written(others.join(candidates, ["a", "b"], "left_anti"), "other-candidates")
+    more = written(verified_links(docs, nodes, others, shingle, similarity), "other-links")
+    ends = more.join(parts.select(F.col("node").alias("a"), F.col("component").alias("u")), "a").join(parts.select(F.col("node").alias("b"), F.col("component").alias("v")), "b")
+    tops = components(ends.select("u", "v"), "u", "v").toDF("component", "top")
+    named = parts.select("node", "hi", "lo", "first", "component").join(tops, "component", "left").withColumn("component", F.coalesce("top", "component"))
     named = written(named, "named")
-    released(candidates, found)
+    released(large, links, candidates, found, parts, cut, others, more)
     smallest = named.groupBy("component").agg(F.min("first").alias("least"))
     classes = named.join(smallest, "component").select("hi", "lo", "least")
     out = rows.select("doc_id", "text_key", "hi", "lo").join(classes, ["hi", "lo"])

@@ -113,6 +113,55 @@ def test_links_of_a_group_keep_it_whole():
         assert len(got) == len(set(got)) <= 120 * (near_copies.PARTNERS + 1)
 
 
+def test_far_partners_in_a_large_bucket_are_compared(spark):
+    """A pair of copies, each with more lookalikes near it in every bucket than it gets
+    links there: the lookalikes are nearer by their SimHash, but not similar. The pair is found."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, *(f"v{i}" for i in range(90))]))]
+    rows += [(10 + i, f"other {i} text") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    class Alike:
+        """SimHashes of the lookalikes: one bit off the first copy; the second is 20 off."""
+
+        first = near_copies.sketch(near_copies.shingle_set(rows[0][1]))
+
+        def of(self, doc_id):
+            w = self.first.copy()
+            for bit in range(100, 120) if doc_id == 2 else [doc_id] if doc_id >= 10 else []:
+                w[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+            return [int(x) for x in w.view(np.int64)]
+
+    alike = Alike()
+    plain = {r.doc_id: r for r in near_copies.sketched(docs).collect()}
+    made = [(d, r.text_key, 400, r.hi, r.lo, *alike.of(d), bytes(r.parities)) for d, r in plain.items()]
+    columns = "doc_id long, text_key long, n long, hi long, lo long, w0 long, w1 long, w2 long, w3 long, parities binary"
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(near_copies, "sketched", lambda docs, shingle: spark.createDataFrame(made, columns))
+        m.setattr(near_copies, "PARTNERS", 1)
+        got = {r.doc_id: r.component_id for r in near_copies.near_copy_classes(docs, deep=0).collect()}
+    assert got == {d: 1 if d == 2 else d for d, _ in rows}
+
+
+def test_pairs_across_components():
+    """All near pairs of two components that their parities leave possible, by brute force."""
+    rng = np.random.default_rng(5)
+    sets = [np.unique(np.concatenate([np.arange(300), rng.integers(10**6, 10**9, rng.integers(0, 120))])).astype(np.uint64) * np.uint64(near_copies.MIX[0]) for _ in range(70)]
+    w, n = np.array([near_copies.sketch(s) for s in sets]), np.array([len(s) for s in sets])
+    odd = np.frombuffer(b"".join(map(near_copies.parities, sets)), np.uint64).reshape(70, -1)
+    component = rng.integers(0, 6, 70)
+    for own in (None, np.arange(70) % 2):
+        got = [(min(i, j), max(i, j)) for pairs in near_copies.pairs_across(w, n, odd, own, component, 0.8, 0.5) for i, j in pairs.T.tolist()]
+        similar = set()
+        for i in range(70):
+            for j in range(i + 1, 70):
+                shared = len(np.intersect1d(sets[i], sets[j]))
+                if component[i] != component[j] and (own is None or own[i] != own[j]) and shared >= 0.8 * (n[i] + n[j] - shared):
+                    similar.add((i, j))
+        assert len(got) == len(set(got)) and similar <= set(got) and len(similar) > 50 and all(component[i] != component[j] for i, j in got)
+        assert len(got) < 70 * 69 / 2 * 0.7
+
+
 def test_chains_grow_with_the_nodes():
     small, large = near_copies.chains(1000), near_copies.chains(10**9)
     assert small[0] == 14 and large[0] == 30
