@@ -255,26 +255,42 @@ def _text_keys(text: str, kinds: Sequence[str]) -> Column:
     return F.concat(*parts)
 
 
-def match_terms(df: DataFrame, text: str, terms: DataFrame, keep: Sequence[str]) -> DataFrame:
+#: Bytes of terms up to which they go to every task instead of being met in a shuffle.
+SMALL_TERMS = 1 << 24
+
+
+def match_terms(df: DataFrame, text: str, terms: DataFrame, keep: Sequence[str], small: int = SMALL_TERMS) -> DataFrame:
     """Rows whose text contains a search term, once per (ticker, term_rank, term).
 
     ``terms`` is a table (ticker, term, term_rank) of any size, such as
     ``search_terms`` makes. It is indexed by one key per term, and the distinct
-    keys of the texts meet it in an equi-join. The texts themselves don't take part
-    in that: what meets is known by the text's hash, joined to the rows by
-    it and verified by ``contains``, so two texts of one hash do no harm. Only
+    keys of each text meet it in an equi-join, verified by ``contains``. Whose a term is
+    is added after that, so a term of many tickers is looked for once a text. Terms
+    of up to ``small`` bytes are broadcast, and nothing of the texts is shuffled. With more,
+    the texts themselves don't take part in the join: what meets is known by the text's
+    hash, joined to the rows by it, so two texts of one hash do no harm. Only
     the kinds of keys that the terms have (at most nine) are read before. NULL
     and empty terms and NULL texts match nothing; a term listed twice counts once.
     """
-    index = _term_keys(terms.select("ticker", "term", "term_rank").distinct())
-    kinds = sorted(r[0] for r in index.select("_kind").distinct().collect())
+    listed = terms.select("ticker", "term", "term_rank").distinct()
+    index = _term_keys(listed)
+    bytes_ = F.octet_length("term") + F.coalesce(F.octet_length(F.col("ticker").cast("string")), F.lit(0)) + 32
+    found = index.groupBy("_kind").agg(F.sum(bytes_).alias("bytes")).collect()
+    kinds = sorted(r["_kind"] for r in found)
     if not kinds:
         empty = [F.lit(None).cast(terms.schema[c].dataType).alias(c) for c in ("ticker", "term_rank")]
         return df.select(*keep, *empty).where(F.lit(False))
-    keyed = df.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("_hash"), F.inline(_text_keys(text, kinds)))
-    met = keyed.join(index, ["_kind", "_key"]).select("_hash", "ticker", "term", "term_rank").distinct()
-    rows = df.select(*keep, F.col(text).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
-    return rows.join(met, "_hash").where(F.expr("contains(_text, term)")).select(*keep, "ticker", "term_rank")
+    rows = df.select(*keep, F.col(text).alias("_text")).where("_text IS NOT NULL")
+    if sum(r["bytes"] for r in found) <= small:
+        owned = index.groupBy("_kind", "_key", "term").agg(F.collect_list(F.struct("ticker", "term_rank")).alias("_owners"))
+        # the keys are made in a step of their own, so the texts aren't copied for each of them
+        keyed = rows.withColumn("_keys", _text_keys("_text", kinds)).select(*keep, "_text", F.inline("_keys"))
+        met = keyed.join(F.broadcast(owned), ["_kind", "_key"]).where(F.expr("contains(_text, term)"))
+        return met.select(*keep, F.inline("_owners"))
+    keyed = rows.select(F.xxhash64("_text").alias("_hash"), F.inline(_text_keys("_text", kinds)))
+    met = keyed.join(index.select("_kind", "_key", "term").distinct(), ["_kind", "_key"]).select("_hash", "term").distinct()
+    held = rows.withColumn("_hash", F.xxhash64("_text")).join(met, "_hash").where(F.expr("contains(_text, term)")).select(*keep, "term")
+    return held.join(listed, "term").select(*keep, "ticker", "term_rank")
 
 
 def explode_news(df: DataFrame, news: str = "news") -> DataFrame:

@@ -135,6 +135,21 @@ def test_match_terms_is_contains(spark):
     assert none.columns == ["id", "ticker", "term_rank"] and none.collect() == []
 
 
+def test_match_terms_of_many_tickers(spark):
+    """Few terms: no shuffle but of the terms. Many: the same rows, repeated texts and NULL tickers included."""
+    texts = [(1, "alpha beta"), (2, "alpha beta"), (2, "alpha beta"), (3, "gamma"), (4, None), (5, "xalphax")]
+    terms = [(f"T{i}", x, i) for i in range(40) for x in ("alph", "beta", "a b")] + [(None, "gam", None), ("T1", "delta", 1)]
+    df = spark.createDataFrame(texts, "id int, text string")
+    table = spark.createDataFrame(terms, "ticker string, term string, term_rank int")
+    want = sorted((i, str(k), str(r)) for i, x in texts if x for k, t, r in terms if t in x)
+    for small in (articles.SMALL_TERMS, 0):
+        got = articles.match_terms(df, "text", table, ["id"], small=small)
+        assert got.columns == ["id", "ticker", "term_rank"]
+        assert sorted((r.id, str(r.ticker), str(r.term_rank)) for r in got.collect()) == want
+    plan = articles.match_terms(df, "text", table, ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1 and "_hash" not in plan
+
+
 def test_explode_news_and_union(spark):
     news = {"A": {"yahoo": [{"title": "x", "date": "2024-01-01"}], "google": []}, "B": {}}
     df = spark.createDataFrame([(news,)], schemas.COLLECTED_NEWS)
