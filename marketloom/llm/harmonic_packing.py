@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from marketloom.llm.common import plain
-from marketloom.llm.packing import byte_names
+from marketloom.llm.packing import SIGNS, byte_names
 
 CAPACITY = 2048
 END = 1
@@ -45,6 +45,8 @@ WAITING, RESERVE = 64, 32 * CAPACITY
 CACHE, CACHED_WORD = 250_000, 40
 #: White space around a space: there the tokenizer's split depends on what is outside the word.
 LOOSE = re.compile(r"\s (?:\s|\Z)")
+#: What parts lines and columns; between two words that have no white space there, it is split alone.
+BREAKS = re.compile(r"([\t\n\r]+)")
 
 
 def default_tokenizer() -> str:
@@ -57,56 +59,60 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """texts -> ids of each as little-endian 32-bit bytes.
 
     The tokenizer's split puts a space to the word after it and never joins across
-    it, so each word with its space is encoded once and remembered. Letters up to
-    U+024F are split from a full stop or comma after them, so such words go straight
-    to the tokenizer's model as the bytes its byte level names. Texts with spaces next
-    to other white space, or with the string of an added token, are encoded whole.
+    it, so each word with its space is encoded once and remembered. It parts lines
+    from the words around them, too, and letters up to U+024F from the signs after
+    them, so such letters are remembered for all signs and go straight to the
+    tokenizer's model as the bytes its byte level names. Texts with spaces next to
+    other white space, or with the string of an added token, are encoded whole.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer, cache, older, tails = Tokenizer.from_file(path), {}, {}, {"": b""}
+    tokenizer, older = Tokenizer.from_file(path), {}
     tokenize, names = tokenizer.model.tokenize, byte_names()
     added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
     def whole(texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learned(new: list[str]) -> dict[str, bytes]:
-        """Ids of the words too long to remember; the others go to the cache."""
-        rest = []
-        for w in new:
-            if w in older:
-                cache[w] = older[w]
-                continue
-            core = w.rstrip(".,")
-            if len(w) > CACHED_WORD or not core.isalpha() or max(core) > "ɏ":
-                rest.append(w)
-                continue
-            ids = array("I", [t.id for t in tokenize(f" {core}".encode().decode("latin-1").translate(names))]).tobytes()
-            tail = w[len(core) :]
-            if tail not in tails:
-                tails[tail] = whole([tail])[0]
-            cache[w] = ids + tails[tail]
-        found = dict(zip(rest, whole([f" {w}" for w in rest]), strict=True)) if rest else {}
-        cache.update((w, b) for w, b in found.items() if len(w) <= CACHED_WORD)
-        return {w: b for w, b in found.items() if len(w) > CACHED_WORD}
+    class Cache(dict):
+        """The ids of a space and the word, encoded where they are first asked for; a
+        key that begins with a space means its word without one."""
+
+        def __missing__(self, key: str) -> bytes:
+            if (ids := older.get(key)) is None:
+                bare, word = (" ", key[1:]) if key[:1] == " " else ("", key)
+                core = word.rstrip(SIGNS)
+                if core.isalpha() and (core.isascii() or max(core) <= "ɏ"):
+                    if len(core) < len(word):
+                        ids = self[bare + core] + self[f" {word[len(core) :]}"]
+                    else:
+                        name = word if word.isascii() else word.encode().decode("latin-1").translate(names)
+                        ids = array("I", [t.id for t in tokenize(name if bare else names[32] + name)]).tobytes()
+                elif len(lines := BREAKS.split(word)) > 1 and all([n and not n[0].isspace() and not n[-1].isspace() for n in lines[::2]]):
+                    parts = [self[bare + lines[0]]]
+                    for gap, line in zip(lines[1::2], lines[2::2], strict=True):
+                        # the last sign of a gap before a word is split from the others
+                        parts += self[f" {gap[:-1]}"], self[f" {gap[-1]}"], self[f" {line}"]
+                    return b"".join(parts)  # not remembered: the same words seldom meet again
+                else:
+                    ids = whole([word if bare else f" {word}"])[0]
+            if len(key) <= CACHED_WORD:
+                self[key] = ids
+            return ids
+
+    cache = Cache()
 
     def encode(texts: list[str]) -> list[bytes]:
+        nonlocal cache, older
         if len(cache) > CACHE:
-            older.clear()
-            older.update(cache)
-            cache.clear()
+            cache, older = Cache(), cache
         odd = [n for n, t in enumerate(texts) if LOOSE.search(t) or any(a in t for a in added)]
         skip = set(odd)
         parts = [[] if n in skip else t.split(" ") for n, t in enumerate(texts)]
-        firsts = [p.pop(0) if p else "" for p in parts]
-        long = learned([w for w in set().union(*parts) if w not in cache])
-        if long:
-            out = [b"".join(cache[w] if w in cache else long[w] for w in p) for p in parts]
-        else:
-            out = [b"".join(map(cache.__getitem__, p)) for p in parts]
-        out = [a + b for a, b in zip(whole(firsts), out, strict=True)]
+        for words in filter(None, parts):
+            words[0] = f" {words[0]}"
+        out = [b"".join(map(cache.__getitem__, words)) for words in parts]
         for n, ids in zip(odd, whole([texts[n] for n in odd]) if odd else [], strict=True):
             out[n] = ids
         return out

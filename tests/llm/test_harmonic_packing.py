@@ -1,6 +1,7 @@
 """Harmonic packing: exact round trip, no padding, whole short documents."""
 
 import random
+import string
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -53,6 +54,36 @@ def test_encoder_forgets(monkeypatch):
     assert [encode([t])[0] for t in texts] == [array("I", ids).tobytes() for ids in tokens(texts)]
 
 
+def test_known_words_are_not_encoded_again(monkeypatch):
+    import tokenizers
+
+    inner, asked = tokenizers.Tokenizer.from_file(harmonic_packing.default_tokenizer()), []
+
+    class Counting:
+        model = property(lambda self: self)
+        get_added_tokens_decoder = inner.get_added_tokens_decoder
+        from_file = classmethod(lambda cls, path: cls())
+
+        def tokenize(self, name):
+            asked.append(name)
+            return inner.model.tokenize(name)
+
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return inner.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counting)
+    encode = harmonic_packing.encoder("")
+    words, signs, breaks = ["word", "Other", "été"], [*string.punctuation, "!?"], ["\n", "\n\n\n", "\t"]
+    encode([f"{w} {w}" for w in words] + [f"x{s}" for s in signs] + [f"x{b}x" for b in breaks])
+    asked.clear()
+    texts = [f"{v}{s}{b}{w} {v}{s}" for v in words for w in words for s in signs for b in breaks]
+    got = encode(texts)
+    assert asked == []
+    monkeypatch.undo()
+    assert got == [array("I", ids).tobytes() for ids in tokens(texts)]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_packer(seed):
     rng = random.Random(seed)
