@@ -27,6 +27,7 @@ from marketloom.functions.scalars import (
     month_key,
     parse_date_flexible,
 )
+from marketloom.functions.terms import held_terms
 
 RECORD = ["ticker", "date", "month", "headline", "title", "source"]
 
@@ -255,7 +256,7 @@ def _text_keys(text: str, kinds: Sequence[str]) -> Column:
     return F.concat(*parts)
 
 
-#: Bytes of terms up to which they go to every task instead of being met in a shuffle.
+#: Bytes of distinct terms up to which they go to every task instead of being met in a shuffle.
 SMALL_TERMS = 1 << 24
 
 
@@ -263,30 +264,36 @@ def match_terms(df: DataFrame, text: str, terms: DataFrame, keep: Sequence[str],
     """Rows whose text contains a search term, once per (ticker, term_rank, term).
 
     ``terms`` is a table (ticker, term, term_rank) of any size, such as
-    ``search_terms`` makes. It is indexed by one key per term, and the distinct
-    keys of each text meet it in an equi-join, verified by ``contains``. Whose a term is
-    is added after that, so a term of many tickers is looked for once a text. Terms
-    of up to ``small`` bytes are broadcast, and nothing of the texts is shuffled. With more,
+    ``search_terms`` makes. Whose a term is is added after a match, so a term of many
+    tickers is looked for once a text. Distinct terms of up to ``small`` bytes are read and
+    go to every task, which reads each text once for all of them (``held_terms``); nothing of
+    the texts is shuffled, and the tickers are broadcast up to four times that size.
+    Larger tables are indexed by one key per term, and the distinct
+    keys of each text meet it in an equi-join, verified by ``contains``. There
     the texts themselves don't take part in the join: what meets is known by the text's
     hash, joined to the rows by it, so two texts of one hash do no harm. Only
     the kinds of keys that the terms have (at most nine) are read before. NULL
     and empty terms and NULL texts match nothing; a term listed twice counts once.
     """
     listed = terms.select("ticker", "term", "term_rank").distinct()
-    index = _term_keys(listed)
-    bytes_ = F.octet_length("term") + F.coalesce(F.octet_length(F.col("ticker").cast("string")), F.lit(0)) + 32
-    found = index.groupBy("_kind").agg(F.sum(bytes_).alias("bytes")).collect()
-    kinds = sorted(r["_kind"] for r in found)
-    if not kinds:
+    bytes_ = F.octet_length("term") + F.lit(32)
+    owner = bytes_ + F.coalesce(F.octet_length(F.col("ticker").cast("string")), F.lit(0))
+    named = listed.where(F.length("term") > 0)
+    by_term = named.groupBy("term")
+    [size] = by_term.agg(F.sum(owner).alias("owners")).agg(F.sum(bytes_).alias("terms"), F.sum("owners").alias("owners")).collect()
+    if size["terms"] is None:
         empty = [F.lit(None).cast(terms.schema[c].dataType).alias(c) for c in ("ticker", "term_rank")]
         return df.select(*keep, *empty).where(F.lit(False))
     rows = df.select(*keep, F.col(text).alias("_text")).where("_text IS NOT NULL")
-    if sum(r["bytes"] for r in found) <= small:
-        owned = index.groupBy("_kind", "_key", "term").agg(F.collect_list(F.struct("ticker", "term_rank")).alias("_owners"))
-        # the keys are made in a step of their own, so the texts aren't copied for each of them
-        keyed = rows.withColumn("_keys", _text_keys("_text", kinds)).select(*keep, "_text", F.inline("_keys"))
-        met = keyed.join(F.broadcast(owned), ["_kind", "_key"]).where(F.expr("contains(_text, term)"))
-        return met.select(*keep, F.inline("_owners"))
+    raw = F.col("term").cast("string").cast("binary").alias("_term")
+    if size["terms"] <= small:
+        found = [bytes(r["_term"]) for r in named.select(raw).distinct().collect()]
+        owned = by_term.agg(F.collect_list(F.struct("ticker", "term_rank")).alias("_owners")).select(raw, "_owners")
+        # outer, since a filter on empty arrays would find the terms a second time; the join drops the NULLs
+        met = rows.select(*keep, held_terms("_text", found).alias("_terms")).select(*keep, F.explode_outer("_terms").alias("_term"))
+        return met.join(F.broadcast(owned) if size["owners"] <= 4 * small else owned, "_term").select(*keep, F.inline("_owners"))
+    index = _term_keys(listed)
+    kinds = sorted(r["_kind"] for r in index.select("_kind").distinct().collect())
     keyed = rows.select(F.xxhash64("_text").alias("_hash"), F.inline(_text_keys("_text", kinds)))
     met = keyed.join(index.select("_kind", "_key", "term").distinct(), ["_kind", "_key"]).select("_hash", "term").distinct()
     held = rows.withColumn("_hash", F.xxhash64("_text")).join(met, "_hash").where(F.expr("contains(_text, term)")).select(*keep, "term")

@@ -150,6 +150,30 @@ def test_match_terms_of_many_tickers(spark):
     assert plan.count("Join Inner") == 1 and "_hash" not in plan
 
 
+def test_match_terms_reads_a_text_once(spark):
+    """All terms in one pass over a text: no candidate is verified by a search of its own, and no text is in the join."""
+    terms = [(f"T{i % 7}", f"abcd{i}", i) for i in range(300)] + [("T0", "abcd", 900), ("T1", 'the "Abc Corp"', 901), ("T2", "é語", 902)]
+    texts = [(i, f"{i} abcd{i} xabcd{i * 7}é語 " + 'the "Abc Corp"' * (i % 2)) for i in range(60)] + [(900, "abc"), (901, None), (902, "")]
+    df = spark.createDataFrame(texts + texts[:3], "id int, text string")
+    table = spark.createDataFrame(terms, "ticker string, term string, term_rank int")
+    got = articles.match_terms(df, "text", table, ["id"])
+    want = sorted((i, k, r) for i, x in texts + texts[:3] if x for k, t, r in terms if t in x)
+    assert sorted(tuple(r) for r in got.collect()) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "contains(" not in plan.lower() and plan.count("ArrowEvalPython") == 1
+
+
+def test_match_terms_of_more_tickers_than_terms(spark):
+    """Terms that go to every task, with more bytes of tickers than are broadcast: the same rows."""
+    terms = [(f"T{i}", x, i) for i in range(50) for x in ("alph", "beta")]
+    df = spark.createDataFrame([(1, "alpha beta"), (1, "alpha beta"), (2, "xalphax"), (3, None)], "id int, text string")
+    got = articles.match_terms(df, "text", spark.createDataFrame(terms, "ticker string, term string, term_rank int"), ["id"], small=100)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "broadcast" not in plan
+    want = sorted((i, f"T{k}", k) for i, n in ((1, 4), (2, 1)) for k in range(50) for _ in range(n))
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
 def test_explode_news_and_union(spark):
     news = {"A": {"yahoo": [{"title": "x", "date": "2024-01-01"}], "google": []}, "B": {}}
     df = spark.createDataFrame([(news,)], schemas.COLLECTED_NEWS)
