@@ -129,7 +129,7 @@ add(
 def _word_terms(s, d):
     """First words of the parts' names as terms of their brand: hundreds of terms, some inside longer words."""
     word = F.lower(F.regexp_extract("p_name", "^([A-Za-z]+)", 1))
-    firsts = t.load(s, d, "documents").select(F.concat(F.lit("Brand#"), (F.col("doc_id") % 25 + 1).cast("string")).alias("ticker"), F.substring(F.split("text", " ")[0], 1, 5).alias("term"))
+    firsts = t.load(s, d, "documents").select(F.concat(F.lit("Brand#"), (F.col("doc_id") % 25 + 1).cast("string")).alias("ticker"), F.substring(F.substring_index("text", " ", 1), 1, 5).alias("term"))
     return firsts.unionByName(t.load(s, d, "part").select(F.col("p_brand").alias("ticker"), word.alias("term"))).distinct().withColumn("term_rank", F.length("term"))
 
 
